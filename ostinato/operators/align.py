@@ -124,7 +124,7 @@ def standardize(df: DataFrame, norm: DataFrame) -> DataFrame:
     packed = norm.agg(F.array_sort(F.collect_list(F.struct(
         "channel", F.col("mean").cast("float").alias("m"), F.col("std").cast("float").alias("s")))).alias("p"))
     with_norm = df.withColumn("_p", packed.scalar())
-    z = F.transform("values", lambda x, i: (x.cast("float") - F.get("_p", i)["m"]) / F.get("_p", i)["s"])
+    z = F.transform("values", lambda x, i: ((x.cast("float") - F.get("_p", i)["m"]) / F.get("_p", i)["s"]).cast("float"))
     kept = F.zip_with(z, "valid", lambda v, ok: F.when(~ok, F.lit(0.0).cast("float")).when(
         v.isNull() | is_bad_number(v), F.raise_error(F.lit("standardized values must be finite")).cast("float")).otherwise(v))
     return with_norm.withColumn("values", kept).drop("_p")

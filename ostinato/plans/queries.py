@@ -316,20 +316,21 @@ def best_repeat(spark, sf):
 GAPS = ONSETS + ", gaps as (select id, t, t - lag(t) over (partition by id order by t, event_id) as ioi from onsets)"
 
 
-@query("ioi_stats", f"""with {GAPS} select id, {r('coalesce(avg(ioi), 0)', 4)} as ioi_mean, {r('coalesce(stddev_pop(ioi), 0)', 4)} as ioi_std,
- {r('case when avg(ioi) > 0 then stddev_pop(ioi) / avg(ioi) else 0 end')} as ioi_cv, {r('coalesce(quantile_cont(ioi, 0.25), 0)', 4)} as ioi_p25,
- {r('coalesce(quantile_cont(ioi, 0.5), 0)', 4)} as ioi_p50, {r('coalesce(quantile_cont(ioi, 0.75), 0)', 4)} as ioi_p75 from gaps group by id""")
+@query("ioi_stats", f"""with {GAPS} select id, {r('coalesce(avg(ioi), 0) / 3600', 7)} as ioi_mean, {r('coalesce(stddev_pop(ioi), 0) / 3600', 7)} as ioi_std,
+ {r('case when avg(ioi) > 0 then stddev_pop(ioi) / avg(ioi) else 0 end', 7)} as ioi_cv, {r('coalesce(quantile_cont(ioi, 0.25), 0) / 3600', 7)} as ioi_p25,
+ {r('coalesce(quantile_cont(ioi, 0.5), 0) / 3600', 7)} as ioi_p50, {r('coalesce(quantile_cont(ioi, 0.75), 0) / 3600', 7)} as ioi_p75 from gaps group by id""")
 def ioi_stats(spark, sf):
     out = events.ioi_stats(onsets(spark, sf))
-    return out.select("id", *[(F.round(c, 6 if c == "ioi_cv" else 4) + F.lit(0.0)).alias(c) for c in out.columns[1:]])
+    # hours, whose decimals do not end: rounding then never meets a tie
+    return rounded(out.select("id", *[(F.col(c) if c == "ioi_cv" else F.col(c) / 3600).alias(c) for c in out.columns[1:]]), 7)
 
 
-@query("strength_stats", f"""select user_id as id, {r('avg(value)')} as mean, {r('stddev_pop(value)')} as std, max(value) as max,
- {r('quantile_cont(value, 0.25)')} as p25, {r('quantile_cont(value, 0.5)')} as p50, {r('quantile_cont(value, 0.75)')} as p75,
- {r('quantile_cont(value, 0.95)')} as p95 from events group by user_id""")
+@query("strength_stats", f"""select user_id as id, {r('avg(value)', 9)} as mean, {r('stddev_pop(value)', 9)} as std, max(value) as max,
+ {r('quantile_cont(value, 0.25)', 9)} as p25, {r('quantile_cont(value, 0.5)', 9)} as p50, {r('quantile_cont(value, 0.75)', 9)} as p75,
+ {r('quantile_cont(value, 0.95)', 9)} as p95 from events group by user_id""")
 def strength_stats(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("value").alias("strength"))
-    return rounded(events.strength_stats(rows))
+    return rounded(events.strength_stats(rows), 9)
 
 
 def _density_sql() -> str:
@@ -394,13 +395,14 @@ WINDOWS = f"""{ENVELOPE}, {windows_sql(HOURS, STEP, 'elens')},
 
 
 @query("event_windows", f"""with {WINDOWS} select id, start, t_start, t_end, {r('onset_density', 9)} as onset_density,
- {r('onset_strength_mean', 5)} as onset_strength_mean, {r('onset_strength_std', 5)} as onset_strength_std,
- {r('onset_strength_max', 5)} as onset_strength_max, {r('ioi_mean', 4)} as ioi_mean, {r('ioi_std', 4)} as ioi_std, {r('ioi_cv', 5)} as ioi_cv from ew""")
+ {r('onset_strength_mean', 7)} as onset_strength_mean, {r('onset_strength_std', 5)} as onset_strength_std,
+ {r('onset_strength_max', 7)} as onset_strength_max, {r('ioi_mean / 3600', 7)} as ioi_mean, {r('ioi_std / 3600', 5)} as ioi_std, {r('ioi_cv', 5)} as ioi_cv from ew""")
 def event_windows(spark, sf):
     out = _event_windows(spark, sf)
-    digits = {"onset_density": 9, "ioi_mean": 4, "ioi_std": 4}
+    digits = {"onset_density": 9, "onset_strength_std": 5, "ioi_std": 5, "ioi_cv": 5}
+    hours = lambda c: F.col(c) / 3600 if c in ("ioi_mean", "ioi_std") else F.col(c)
     return out.select("id", "start", "t_start", "t_end", *[
-        (F.round(c, digits.get(c, 5)) + F.lit(0.0)).alias(c) for c in out.columns[4:]])
+        (F.round(hours(c), digits.get(c, 7)) + F.lit(0.0)).alias(c) for c in out.columns[4:]])
 
 
 @query("window_tempo")
@@ -511,10 +513,10 @@ def standardize(spark, sf):
 SCORED = f"{GRADED}, scored as (select model, truth, score from graded), {METRICS_SQL}"
 
 
-@query("evaluate", f"""with {SCORED} select model, n, {r('tau')} as kendall_tau_c, {r('rho')} as spearman, {r('mae')} as mae, {r('mse')} as mse,
- {r('acc')} as acc_pm1, cast(null as varchar) as correlation_note from metrics""")
+@query("evaluate", f"""with {SCORED} select model, n, {r('tau', 9)} as kendall_tau_c, {r('rho', 9)} as spearman, {r('mae', 9)} as mae, {r('mse', 9)} as mse,
+ {r('acc', 9)} as acc_pm1, cast(null as varchar) as correlation_note from metrics""")
 def evaluate(spark, sf):
-    return rounded(metrics.evaluate(graded(spark, sf), ["model"]))
+    return rounded(metrics.evaluate(graded(spark, sf), ["model"]), 9)
 
 
 @query("tau_c", f"with {SCORED} select model, {r('tau', 9)} as kendall_tau_c from metrics")
@@ -528,31 +530,31 @@ def spearman(spark, sf):
 
 
 @query("mean_baseline", f"""with {SPLIT}, m as (select avg(grade) as s from split where part = 'train')
- select part, count(*) as n, cast(null as double) as kendall_tau_c, cast(null as double) as spearman, {r('avg(abs(s - grade))')} as mae,
- {r('avg((s - grade) * (s - grade))')} as mse, {r('avg(case when abs(floor(s + 0.5) - grade) <= 1 then 1.0 else 0.0 end)')} as acc_pm1,
+ select part, count(*) as n, cast(null as double) as kendall_tau_c, cast(null as double) as spearman, {r('avg(abs(s - grade))', 9)} as mae,
+ {r('avg((s - grade) * (s - grade))', 9)} as mse, {r('avg(case when abs(floor(s + 0.5) - grade) <= 1 then 1.0 else 0.0 end)', 9)} as acc_pm1,
  'Undefined for constant truth or predictions' as correlation_note from split, m where part <> 'train' group by part""")
 def mean_baseline(spark, sf):
-    return rounded(metrics.mean_baseline(split_items(spark, sf), truth="grade"))
+    return rounded(metrics.mean_baseline(split_items(spark, sf), truth="grade"), 9)
 
 
 @query("grade_band_stats", f"""with {GRADED}, e as (select model, truth as grade, case when truth <= 3 then 'Low0-3' when truth <= 6 then 'Mid4-6'
  else 'High7-10' end as band, score - truth as err from graded)
  select model, case when grouping(grade) = 0 then 'grade' when grouping(band) = 0 then 'band' else 'overall' end as level, grade, band,
- count(*) as n, {r('avg(abs(err))')} as mae, {r('avg(err)')} as bias, {r('avg(case when abs(err) <= 1 then 1.0 else 0.0 end)')} as acc_pm1
+ count(*) as n, {r('avg(abs(err))', 9)} as mae, {r('avg(err)', 9)} as bias, {r('avg(case when abs(err) <= 1 then 1.0 else 0.0 end)', 9)} as acc_pm1
  from e group by grouping sets ((model, grade), (model, band), (model))""")
 def grade_band_stats(spark, sf):
-    return rounded(metrics.grade_stats(graded(spark, sf)))
+    return rounded(metrics.grade_stats(graded(spark, sf)), 9)
 
 
 @query("model_report", f"""with {SCORED}, e as (select model, case when truth <= 3 then 'Low0-3' when truth <= 6 then 'Mid4-6'
  else 'High7-10' end as band, score - truth as err from graded)
- select e.model, band, count(*) as n, {r('avg(abs(err))')} as mae, {r('avg(err)')} as bias, {r('any_value(tau)')} as kendall_tau_c
+ select e.model, band, count(*) as n, {r('avg(abs(err))', 9)} as mae, {r('avg(err)', 9)} as bias, {r('any_value(tau)', 9)} as kendall_tau_c
  from e join metrics m on m.model = e.model group by e.model, band""")
 def model_report(spark, sf):
     """Which model ranks best, and where does it err."""
     rows = graded(spark, sf)
     bands = metrics.grade_stats(rows).filter("level = 'band'").select("model", "band", "n", "mae", "bias")
-    return rounded(bands.join(metrics.rank_metrics(rows, ["model"]).select("model", "kendall_tau_c"), "model"))
+    return rounded(bands.join(metrics.rank_metrics(rows, ["model"]).select("model", "kendall_tau_c"), "model"), 9)
 
 
 @query("pivot_predictions", f"""with {GRADED} select id, any_value(truth) as truth, """ + ", ".join(
