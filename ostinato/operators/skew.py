@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +23,19 @@ def row_count():
     return F.count(F.lit(1)).alias(ROWS)
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", keep: bool = True) -> DataFrame:
     """Add the columns of `per_key` (unique on `keys`, with `_rows` = rows of the key in `df`).
 
     Few keys: broadcast, its size having been counted. Many keys: shuffle join, except that keys
     larger than one task may hold are joined by broadcast; there are at most rows / rows_per_task.
+    `keep` holds the summary for its second use; not needed where it is a written table.
     """
     spark = df.sparkSession
     keys = list(keys)
     limit = rows_per_task(spark)
+    # one row per key, read by the look below and by the join; spills to disk, recomputed where lost
+    if keep:
+        per_key = per_key.persist(StorageLevel.MEMORY_AND_DISK)
     n_keys, largest = per_key.agg(F.count(F.lit(1)), F.coalesce(F.max(ROWS), F.lit(0))).first()
     summary = per_key.drop(ROWS)
     if n_keys <= broadcast_keys(spark):

@@ -9,7 +9,7 @@ from ostinato.functions.columns import GRADES, recording_id
 from ostinato.functions.text import composer_key
 from ostinato.operators.ordering import positions
 from ostinato.operators.skew import ROWS, attach, row_count
-from ostinato.session import ensure_checkpoint_dir
+from ostinato.session import settled
 
 PARTS = ("train", "val", "test")
 
@@ -22,44 +22,60 @@ def piece_tokens(pieces: DataFrame) -> DataFrame:
     return composer.unionByName(video.filter("token is not null"))
 
 
-def _changed(edges: DataFrame) -> tuple:
-    """Size and content of an edge set, independent of its order."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _unsettled(links: DataFrame) -> bool:
+    """True while some node has two links, or is both a leaf and a root."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return not nodes.filter("leaf > 1 or leaf = 1 and root = 1").isEmpty()
 
 
-def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Group of each item: the smallest item reachable over shared tokens. edges(item, token) -> id, group.
+def _settle_links(links: DataFrame, max_rounds: int) -> DataFrame:
+    """Star links (u, root) of an edge set (u, v): alternating large-star and small-star steps.
 
-    Alternating large-star and small-star steps over an edge set that does not grow. A step takes the
-    minimum neighbour per node (a combinable aggregate) and joins it back with `attach`, so that a token
-    shared by a third of all items is neither gathered nor shuffled to one task. Each round is written
-    to the checkpoint folder, which cuts the lineage and survives lost executors.
+    The edge set does not grow. A step takes the minimum neighbour per node (a combinable aggregate) and
+    joins it back with `attach`, so a node with a third of all edges is neither gathered nor shuffled to
+    one task. Each step is written to the shared folder, which cuts the lineage and survives lost
+    executors.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    # "0" items sort before "1" tokens, so a group is named by an item
-    named = edges.select(F.concat(F.lit("1:"), F.col("token").cast("string")).alias("u"),
-                         F.concat(F.lit("0:"), F.col("item").cast("string")).alias("v"))
-    current = named.distinct().checkpoint()
-    seen = _changed(current)
+    current = settled(links.distinct())
     for _ in range(max_rounds):
+        if not _unsettled(current):
+            return current.select("u", F.col("v").alias("root"))
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), row_count())
-        large = (attach(both.filter("v > u"), lowest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u != v").distinct())
-        lower = large.groupBy("u").agg(F.min("v").alias("m"), row_count())
-        small = (attach(large, lower, ["u"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), row_count()).persist()
+        large = settled(attach(both.filter("v > u"), lowest, ["u"], keep=False)
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), row_count()).persist()
+        small = (attach(large, lower, ["u"], keep=False).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
-        current = small.checkpoint()
-        now = _changed(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("groups did not settle")
-    plain = lambda c: F.substring(c, 3, 1 << 30)
-    items = edges.select(F.concat(F.lit("0:"), F.col("item").cast("string")).alias("u")).distinct()
-    return items.join(current, "u", "left").select(
-        plain(F.col("u")).alias("id"), plain(F.coalesce("v", "u")).alias("group"))
+        current = settled(small)
+        lowest.unpersist()
+        lower.unpersist()
+    raise RuntimeError("groups did not settle")
+
+
+def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Group of each item: the smallest item reachable over shared tokens. edges(item, token) -> id, group.
+
+    Only what can connect takes part in the rounds: tokens of a single item are left out, and items
+    with one remaining token just follow it. The rounds run over links between tokens.
+    """
+    named = settled(edges.select(F.col("item").cast("string").alias("item"), F.col("token").cast("string").alias("token")).distinct())
+    tokens = settled(named.groupBy("token").agg(F.min("item").alias("low"), row_count()))
+    shared = settled(attach(named, tokens.withColumn("_many", F.col(ROWS) > 1), ["token"], keep=False).filter("_many").select("item", "token"))
+    first = settled(shared.groupBy("item").agg(F.min("token").alias("first"), row_count()))
+    core = attach(shared, first, ["item"], keep=False).filter("token != first")
+    roots = _settle_links(core.select(F.col("token").alias("u"), F.col("first").alias("v")), max_rounds)
+    # the root of each shared token, and the smallest item below a root
+    rooted = settled(tokens.filter(F.col(ROWS) > 1).join(roots.withColumnRenamed("u", "token"), "token", "left")
+                     .withColumn("root", F.coalesce("root", "token")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("group"), row_count())
+    by_token = attach(rooted.select("token", "root", F.col(ROWS).alias("_items")), lowest, ["root"]).select(
+        F.col("token").alias("first"), "group", F.col("_items").alias(ROWS))
+    grouped = attach(first.select("item", "first"), by_token, ["first"]).select("item", "group")
+    return named.select("item").distinct().join(grouped, "item", "left").select(
+        F.col("item").alias("id"), F.coalesce("group", "item").alias("group"))
 
 
 def group_split(groups: DataFrame, seed: int = 42, min_groups: int = 5) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows that one task may hold for one key. Keys with more rows are split.
 ROWS_PER_TASK = "spark.ostinato.rowsPerTask"
@@ -40,12 +41,17 @@ def broadcast_keys(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_KEYS, "100000"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back to a local one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    context.setCheckpointDir(configured)
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; a local one only where none is set."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once, short lineage, known size."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
