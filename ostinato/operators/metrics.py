@@ -105,11 +105,12 @@ def grade_stats(df: DataFrame, model: str = "model", truth: str = "truth", score
 
 def pivot_predictions(df: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per id, one score column per model; fails where models disagree on the truth."""
-    wide = df.groupBy("id").pivot("model", list(models)).agg(F.first("score"))
-    truth = df.groupBy("id").agg(F.min("truth").alias("_lo"), F.max("truth").alias("_hi"))
+    per_model = [F.first(F.when(F.col("model") == m, F.col("score")), ignorenulls=True).alias(m) for m in models]
+    rows = df.filter(F.col("model").isin(list(models)))
+    wide = rows.groupBy("id").agg(F.min("truth").alias("_lo"), F.max("truth").alias("_hi"), *per_model)
     agreed = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
         F.raise_error(F.lit("models disagree on the truth of an id")).cast("int"))
-    return truth.select("id", agreed.alias("truth")).join(wide, "id")
+    return wide.select("id", agreed.alias("truth"), *models)
 
 
 def verify_predictions(predictions: DataFrame, members: DataFrame, reported: DataFrame,

@@ -43,19 +43,18 @@ def _split_plan(df: DataFrame, keys: list[str], order: list[str]) -> list[tuple[
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=7)
     by_key: dict[tuple, list] = {}
-    sentinel = lambda row: tuple((v is not None, v) for v in row)  # nulls first, as Spark sorts them
     for row in sample.collect():
         values = tuple(row)
         by_key.setdefault(values[: len(keys)], []).append(values[len(keys):])
     plan = []
     for key, n in hot_sizes.items():
-        points = sorted(by_key.get(key, []), key=sentinel)
+        points = sorted(p for p in by_key.get(key, []) if None not in p)
         parts = -(-n // limit)
         cuts = []
         for i in range(1, parts):
             if points:
                 point = points[i * len(points) // parts]
-                if None not in point and (not cuts or cuts[-1] != point):
+                if not cuts or cuts[-1] != point:
                     cuts.append(point)
         plan.append((key, cuts))
     return plan
@@ -160,11 +159,6 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return df.drop(SEG, ALL)
 
 
-def global_positions(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """0-based position over the whole table by (`value`, `tie`)."""
-    return positions(df, [], [value, tie], name)
-
-
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
     """Exact linear percentiles per key, one row per key.
 

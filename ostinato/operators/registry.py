@@ -62,7 +62,11 @@ def verify_index(windows: DataFrame, index: DataFrame, labels: DataFrame, win_se
 
 def run_status(experiments: DataFrame, runs: DataFrame) -> DataFrame:
     """Every attempt of every experiment; one `not_started` row where there is none."""
-    return experiments.join(runs, "experiment_id", "left").withColumn("status", F.coalesce("status", F.lit("not_started")))
+    sizes = runs.groupBy("experiment_id").agg(row_count())
+    # an experiment may hold most of the runs, so runs take up their experiment, not the other way round
+    tried = attach(runs, experiments.join(sizes, "experiment_id"), ["experiment_id"])
+    untried = experiments.join(sizes, "experiment_id", "left_anti").withColumn("status", F.lit("not_started"))
+    return tried.unionByName(untried, allowMissingColumns=True).withColumn("status", F.coalesce("status", F.lit("not_started")))
 
 
 def comparable(runs: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def digest_tree(ids: DataFrame, column: str = "id", levels: int | None = None) -
     again, then level by level with two digits less. `levels` follows from the number of ids, so that
     no group holds more than a few thousand hashes.
     """
-    hashed = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h"))
+    hashed = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
     if levels is None:
         levels = max(2, math.ceil(math.log(max(1, hashed.count() / 4096), 256)))
     rows = hashed.select(F.substring("h", 1, 2 * levels).alias("p"), "h")
