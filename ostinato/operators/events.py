@@ -241,7 +241,7 @@ def local_peaks(envelope: DataFrame, before: int, after: int, mean_before: int,
                 value: str = "strength") -> DataFrame:
     """Frames above all `before` frames ahead of them, not below the next `after`, and above the local mean.
 
-    The strict comparison backwards keeps any two peaks more than `before` frames apart.
+    Two peaks are more than min(before, after) frames apart, as one comparison is strict.
     """
     around = with_halo(envelope, "frame", max(before, mean_before), max(after, mean_after))
     by = Window.partitionBy("id", BLOCK).orderBy("frame")
