@@ -116,11 +116,11 @@ def channel_slice(spark, sf):
     return rounded(align.channel_range(long, 48, 63)).select("id", "frame", F.col("channel").cast("long").alias("channel"), "x")
 
 
-@query("peak_normalize", f"""select event_id, {r('case when p > 0 then value * (0.99e0 / p) else value end')} as x
+@query("peak_normalize", f"""select event_id, {r('case when p > 0 then value * (0.99e0 / p) else value end', 9)} as x
  from (select event_id, value, max(abs(value)) over (partition by user_id) as p from events)""")
 def peak_normalize(spark, sf):
     samples = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", F.col("value").alias("x"))
-    return rounded(align.peak_normalize(samples).select("event_id", "x"))
+    return rounded(align.peak_normalize(samples).select("event_id", "x"), 9)
 
 
 @query("nonmonotonic", """select id, event_id from (select user_id as id, event_id, value,
@@ -316,13 +316,13 @@ def best_repeat(spark, sf):
 GAPS = ONSETS + ", gaps as (select id, t, t - lag(t) over (partition by id order by t, event_id) as ioi from onsets)"
 
 
-@query("ioi_stats", f"""with {GAPS} select id, {r('coalesce(avg(ioi), 0) / 3600', 7)} as ioi_mean, {r('coalesce(stddev_pop(ioi), 0) / 3600', 7)} as ioi_std,
- {r('case when avg(ioi) > 0 then stddev_pop(ioi) / avg(ioi) else 0 end', 7)} as ioi_cv, {r('coalesce(quantile_cont(ioi, 0.25), 0) / 3600', 7)} as ioi_p25,
- {r('coalesce(quantile_cont(ioi, 0.5), 0) / 3600', 7)} as ioi_p50, {r('coalesce(quantile_cont(ioi, 0.75), 0) / 3600', 7)} as ioi_p75 from gaps group by id""")
+@query("ioi_stats", f"""with {GAPS} select id, {r('coalesce(avg(ioi), 0) / 3600', 4)} as ioi_mean, {r('coalesce(stddev_pop(ioi), 0) / 3600', 4)} as ioi_std,
+ {r('case when avg(ioi) > 0 then stddev_pop(ioi) / avg(ioi) else 0 end', 4)} as ioi_cv, {r('coalesce(quantile_cont(ioi, 0.25), 0) / 3600', 4)} as ioi_p25,
+ {r('coalesce(quantile_cont(ioi, 0.5), 0) / 3600', 4)} as ioi_p50, {r('coalesce(quantile_cont(ioi, 0.75), 0) / 3600', 4)} as ioi_p75 from gaps group by id""")
 def ioi_stats(spark, sf):
     out = events.ioi_stats(onsets(spark, sf))
-    # hours, whose decimals do not end: rounding then never meets a tie
-    return rounded(out.select("id", *[(F.col(c) if c == "ioi_cv" else F.col(c) / 3600).alias(c) for c in out.columns[1:]]), 7)
+    # in hours, as rounded microseconds would often end in a tie
+    return rounded(out.select("id", *[(F.col(c) if c == "ioi_cv" else F.col(c) / 3600).alias(c) for c in out.columns[1:]]), 4)
 
 
 @query("strength_stats", f"""select user_id as id, {r('avg(value)', 9)} as mean, {r('stddev_pop(value)', 9)} as std, max(value) as max,
@@ -396,10 +396,10 @@ WINDOWS = f"""{ENVELOPE}, {windows_sql(HOURS, STEP, 'elens')},
 
 @query("event_windows", f"""with {WINDOWS} select id, start, t_start, t_end, {r('onset_density', 9)} as onset_density,
  {r('onset_strength_mean', 7)} as onset_strength_mean, {r('onset_strength_std', 5)} as onset_strength_std,
- {r('onset_strength_max', 7)} as onset_strength_max, {r('ioi_mean / 3600', 7)} as ioi_mean, {r('ioi_std / 3600', 5)} as ioi_std, {r('ioi_cv', 5)} as ioi_cv from ew""")
+ {r('onset_strength_max', 7)} as onset_strength_max, {r('ioi_mean / 3600', 4)} as ioi_mean, {r('ioi_std / 3600', 4)} as ioi_std, {r('ioi_cv', 5)} as ioi_cv from ew""")
 def event_windows(spark, sf):
     out = _event_windows(spark, sf)
-    digits = {"onset_density": 9, "onset_strength_std": 5, "ioi_std": 5, "ioi_cv": 5}
+    digits = {"onset_density": 9, "onset_strength_std": 5, "ioi_mean": 4, "ioi_std": 4, "ioi_cv": 5}
     hours = lambda c: F.col(c) / 3600 if c in ("ioi_mean", "ioi_std") else F.col(c)
     return out.select("id", "start", "t_start", "t_end", *[
         (F.round(hours(c), digits.get(c, 7)) + F.lit(0.0)).alias(c) for c in out.columns[4:]])

@@ -43,10 +43,12 @@ def broadcast_keys(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a local one only where none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+              or context.getConf().get("spark.checkpoint.dir", None))
     if folder is None:
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
