@@ -32,20 +32,18 @@ def intervals(onsets: DataFrame, tie: str | None = None) -> DataFrame:
 def ioi_stats(onsets: DataFrame) -> DataFrame:
     """Mean, deviation, variation and quartiles of the intervals; all 0 with fewer than two onsets."""
     gaps = intervals(onsets).select("id", "ioi")
-    moments = gaps.groupBy("id").agg(F.avg("ioi").alias("ioi_mean"), F.stddev_pop("ioi").alias("ioi_std"))
-    quartiles = exact_percentiles(gaps, ["id"], "ioi", {"ioi_p25": 0.25, "ioi_p50": 0.5, "ioi_p75": 0.75})
+    stats = exact_percentiles(gaps, ["id"], "ioi", {"ioi_p25": 0.25, "ioi_p50": 0.5, "ioi_p75": 0.75},
+                              [F.avg("ioi").alias("ioi_mean"), F.stddev_pop("ioi").alias("ioi_std")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     cv = F.when(F.col("ioi_mean") > 0, F.col("ioi_std") / F.col("ioi_mean")).otherwise(0.0)
-    return moments.join(quartiles, "id", "left").select(
+    return stats.select(
         "id", zero("ioi_mean"), zero("ioi_std"), cv.alias("ioi_cv"), zero("ioi_p25"), zero("ioi_p50"), zero("ioi_p75"))
 
 
 def strength_stats(envelope: DataFrame, value: str = "strength") -> DataFrame:
     """Mean, deviation, maximum and four percentiles of a scalar series."""
-    moments = envelope.groupBy("id").agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(value).alias("max"))
-    spread = exact_percentiles(envelope, ["id"], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
-    return moments.join(spread, "id", "left")
+    return exact_percentiles(envelope, ["id"], value, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95},
+                             [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(value).alias("max")])
 
 
 def event_density(onsets: DataFrame, durations: DataFrame, bins: int = 8) -> DataFrame:

@@ -71,15 +71,19 @@ def error_metrics(df: DataFrame, by: Sequence[str], truth: str = "truth", score:
 def evaluate(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", score: str = "score",
              ranking: str | None = None) -> DataFrame:
     """All metrics per `by`; `ranking` names another column to rank with."""
-    by = list(by) or ["_whole"]
-    if by == ["_whole"]:
-        df = df.withColumn("_whole", F.lit(0))
+    by = list(by)
     df = checked(df, truth, score)
     if ranking is not None:
         df = checked(df, truth, ranking)
-    both = rank_metrics(df, by, truth, ranking or score).join(error_metrics(df, by, truth, score), by)
+    errors = error_metrics(df, by, truth, score)
+    if by:
+        both = rank_metrics(df, by, truth, ranking or score).join(errors, by)
+    else:
+        ranks = rank_metrics(df.withColumn("_whole", F.lit(0)), ["_whole"], truth, ranking or score).drop("_whole")
+        one = errors.select(F.struct("mae", "mse", "acc_pm1")).scalar()
+        both = ranks.withColumn("_e", one).select(*ranks.columns, "_e.*")
     note = F.when(F.col("kendall_tau_c").isNull(), "Undefined for constant truth or predictions")
-    return both.withColumn("correlation_note", note).drop("_whole")
+    return both.withColumn("correlation_note", note)
 
 
 def mean_baseline(df: DataFrame, part: str = "part", truth: str = "truth") -> DataFrame:

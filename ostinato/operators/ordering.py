@@ -159,23 +159,25 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return df.drop(SEG, ALL)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
-    """Exact linear percentiles per key, one row per key.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float],
+                      also: Sequence[Column] = ()) -> DataFrame:
+    """Exact linear percentiles per key, with the aggregates `also`, one row per key; nulls do not count.
 
-    Keys that fit into a task use the built-in aggregate. Larger keys are reduced to counts per value;
-    the wanted ranks are then found with running counts.
+    Keys that fit into a task use the built-in aggregate, in the same pass as `also`. Larger keys are
+    reduced to counts per value; the wanted ranks are then found with running counts.
     """
     keys = list(keys)
-    df = df.select(*keys, value).filter(F.col(value).isNotNull())
     builtin = [F.percentile(value, F.lit(f)).alias(n) for n, f in named.items()]
     limit = rows_per_task(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(row_count())
+    sizes = df.groupBy(*keys).agg(F.count(value).alias(ROWS))
     largest = sizes.agg(F.coalesce(F.max(ROWS), F.lit(0))).first()[0]
     if largest <= limit:
-        return df.groupBy(*keys).agg(*builtin)
+        return df.groupBy(*keys).agg(*also, *builtin)
     hot = F.broadcast(sizes.filter(F.col(ROWS) > limit))
-    cold = df.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).agg(*builtin)
-    counts = df.join(hot.select(*keys), keys, "left_semi").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    values = df.select(*keys, value)
+    cold = values.join(hot.select(*keys), keys, "left_anti").groupBy(*keys).agg(*builtin)
+    counts = (values.filter(F.col(value).isNotNull()).join(hot.select(*keys), keys, "left_semi")
+              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_sums(counts, keys, [value], {"_before": "_c"}).join(hot, keys)
     picks = []
     for i, fraction in enumerate(named.values()):
@@ -188,4 +190,5 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Map
     for i, (name, fraction) in enumerate(named.items()):
         at = (F.col(ROWS) - 1) * F.lit(float(fraction))
         results.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(name))
-    return cold.unionByName(found.select(*keys, *results))
+    all_keys = cold.unionByName(found.select(*keys, *results))
+    return df.groupBy(*keys).agg(*also).join(all_keys, keys) if also else all_keys

@@ -112,7 +112,7 @@ def reduced_length(spark, sf):
 
 @query("channel_slice", f"with {FRAMES} select id, frame, channel, {r('x')} as x from cells where channel between 48 and 63")
 def channel_slice(spark, sf):
-    long = spectral.channel_rows(frames(spark, sf), "id", "frame")
+    long = spectral.channel_rows(frames(spark, sf, stored=False), "id", "frame")
     return rounded(align.channel_range(long, 48, 63)).select("id", "frame", F.col("channel").cast("long").alias("channel"), "x")
 
 
@@ -190,7 +190,7 @@ def frame_windows(spark, sf):
 
 @query("frame_summary", f"""with {FRAMES} select id, channel, {r('avg(x)')} as mean, {r('stddev_pop(x)')} as std from cells group by id, channel""")
 def frame_summary(spark, sf):
-    return rounded(spectral.summarize_frames(frames(spark, sf))).withColumn("channel", F.col("channel").cast("long"))
+    return rounded(spectral.summarize_frames(frames(spark, sf, stored=False))).withColumn("channel", F.col("channel").cast("long"))
 
 
 CHANGE = """change as (select id, frame, avg(greatest(x - before, 0)) as change from (select id, frame, channel, x,
@@ -199,7 +199,7 @@ CHANGE = """change as (select id, frame, avg(greatest(x - before, 0)) as change
 
 @query("spectral_flux", f"with {FRAMES}, {CHANGE} select l.id, {r('coalesce(avg(change), 0)')} as flux from lens l left join change c on c.id = l.id group by l.id")
 def spectral_flux(spark, sf):
-    return rounded(spectral.spectral_flux(frames(spark, sf)))
+    return rounded(spectral.spectral_flux(frames(spark, sf, stored=False)))
 
 
 SCORES = f"""{FRAMES}, {CHANGE}, {windows_sql(WIN, HOP)},
@@ -320,7 +320,7 @@ GAPS = ONSETS + ", gaps as (select id, t, t - lag(t) over (partition by id order
  {r('case when avg(ioi) > 0 then stddev_pop(ioi) / avg(ioi) else 0 end', 4)} as ioi_cv, {r('coalesce(quantile_cont(ioi, 0.25), 0) / 3600', 4)} as ioi_p25,
  {r('coalesce(quantile_cont(ioi, 0.5), 0) / 3600', 4)} as ioi_p50, {r('coalesce(quantile_cont(ioi, 0.75), 0) / 3600', 4)} as ioi_p75 from gaps group by id""")
 def ioi_stats(spark, sf):
-    out = events.ioi_stats(onsets(spark, sf))
+    out = events.ioi_stats(onsets(spark, sf, stored=False))
     # in hours, as rounded microseconds would often end in a tie
     return rounded(out.select("id", *[(F.col(c) if c == "ioi_cv" else F.col(c) / 3600).alias(c) for c in out.columns[1:]]), 4)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ostinato.operators.ordering import positions
 from ostinato.operators.skew import attach, row_count
 from ostinato.operators.splits import assign_split
+from ostinato.session import settled
 
 MODELS = {"hgb_cqt": 7919, "hgb_cqt_rhythm": 6101, "hgb_cqt_structure": 9973, "hgb_cqt_rhythm_structure": 3571}
 HOUR = 3600
@@ -28,9 +29,11 @@ def r(expression: str, digits: int = 6) -> str:
     return f"(round(cast({expression} as double), {digits}) + 0.0)"
 
 
-def frames(spark: SparkSession, sf: str) -> DataFrame:
+def frames(spark: SparkSession, sf: str, stored: bool = True) -> DataFrame:
+    """Vectors of one label in their order; stored once where a query reads them more than once."""
     rows = table(spark, sf, "embeddings").select(F.col("label").alias("id"), "vec_id", F.col("embedding").alias("values"))
-    return positions(rows, ["id"], ["vec_id"], "frame").drop("vec_id")
+    numbered = positions(rows, ["id"], ["vec_id"], "frame").drop("vec_id")
+    return settled(numbered) if stored else numbered
 
 
 FRAMES = """frames as (select label as id, row_number() over (partition by label order by vec_id) - 1 as frame,
@@ -44,12 +47,13 @@ def windows_sql(win: int, hop: int, lens: str = "lens", name: str = "wins") -> s
             f" [greatest(n - {win}, 0)]))) as start from {lens})")
 
 
-def onsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Events per user; t counts seconds from the user's first event."""
+def onsets(spark: SparkSession, sf: str, stored: bool = True) -> DataFrame:
+    """Events per user; t counts seconds from the user's first event. Stored as `frames` are."""
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
     first = events.groupBy("id").agg(F.min("us").alias("us0"), row_count())
-    return attach(events, first, ["id"]).select("id", "event_id", ((F.col("us") - F.col("us0")) / 1e6).alias("t"), "value")
+    timed = attach(events, first, ["id"]).select("id", "event_id", ((F.col("us") - F.col("us0")) / 1e6).alias("t"), "value")
+    return settled(timed) if stored else timed
 
 
 ONSETS = """onsets as (select user_id as id, event_id, value,
@@ -65,7 +69,7 @@ def envelope(on: DataFrame) -> DataFrame:
     sums = on.groupBy("id", F.floor(F.col("t") / HOUR).alias("frame")).agg(F.sum("value").alias("s"))
     span = on.groupBy("id").agg(F.max(F.floor(F.col("t") / HOUR)).alias("last"))
     grid = span.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame"))
-    return grid.join(sums, ["id", "frame"], "left").select("id", "frame", F.coalesce("s", F.lit(0.0)).alias("strength"))
+    return settled(grid.join(sums, ["id", "frame"], "left").select("id", "frame", F.coalesce("s", F.lit(0.0)).alias("strength")))
 
 
 ENVELOPE = ONSETS + f""",
@@ -107,10 +111,10 @@ METRICS_SQL = """cellsm as (select model, truth, score, count(*) as c from score
 
 
 def split_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts with brand as the group, label and assigned part."""
+    """Parts with brand as the group, label and assigned part; a split is made once and then read."""
     items = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("group"), (F.col("p_size") % 11).alias("grade"), "p_type", "p_name")
-    return assign_split(items)
+    return settled(assign_split(items))
 
 
 SPLIT = """brands as (select p_brand as grp, row_number() over (order by sha256('42:' || p_brand)) - 1 as pos, count(*) over () as g
