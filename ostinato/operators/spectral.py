@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ostinato.functions.columns import is_bad_number
 from ostinato.operators.blocks import BLOCK, CORE, with_halo
 from ostinato.operators.ordering import positions
-from ostinato.operators.skew import ROWS, attach, row_count
-from ostinato.operators.windows import covering_starts, series_lengths
+from ostinato.operators.skew import attach, restrict, row_count
+from ostinato.operators.windows import covering_starts, frame_windows, series_lengths
+from ostinato.session import settled
 
 
 def channel_rows(frames: DataFrame, *keep: str, values: str = "values") -> DataFrame:
@@ -52,18 +53,13 @@ def top_fraction(df: DataFrame, key: str, score: str, tie: str, fraction: float)
     return attach(ranked, sizes, [key]).filter(F.col("_position") < wanted).drop("_down", "_late", "_position", "_size")
 
 
-def _windowed_channels(frames: DataFrame, win: int, hop: int) -> tuple[DataFrame, DataFrame]:
-    """(window scores, window channel statistics)."""
-    lengths = series_lengths(frames)
-    # The change is taken first: its shuffle puts neighbouring frames together, so that the partial
-    # aggregation below meets all frames of a window in one task.
-    sized = attach(frame_change(frames), lengths, ["id"])
-    windows = sized.withColumn("start", F.explode(covering_starts(F.col("frame"), F.col("n"), win, hop)))
-    scores = windows.groupBy("id", "start").agg(
-        F.coalesce(F.avg(F.when(F.col("frame") > F.col("start"), F.col("change"))), F.lit(0.0)).alias("flux"))
-    channels = channel_rows(windows, "id", "start").groupBy("id", "start", "channel").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return scores, channels
+def window_change(frames: DataFrame, win: int, hop: int) -> DataFrame:
+    """Mean change inside each window: id, n, start, flux. A window's first frame has no change of its own."""
+    changes = frame_change(frames).select("id", "frame", "change")
+    sized = attach(changes, series_lengths(frames), ["id"])
+    rows = sized.withColumn("start", F.explode(covering_starts(F.col("frame"), F.col("n"), win, hop)))
+    inside = F.when(F.col("frame") > F.col("start"), F.col("change"))
+    return rows.groupBy("id", "n", "start").agg(F.coalesce(F.avg(inside), F.lit(0.0)).alias("flux"))
 
 
 def hard_windows(frames: DataFrame, win: int = 50, hop: int = 25, fraction: float = 0.2) -> DataFrame:
@@ -71,11 +67,15 @@ def hard_windows(frames: DataFrame, win: int = 50, hop: int = 25, fraction: floa
 
     The windows with the strongest change are pooled by mean and by maximum.
     """
-    scores, channels = _windowed_channels(frames, win, hop)
-    hard = top_fraction(scores, "id", "flux", "start", fraction).select("id", "start")
+    scores = window_change(frames, win, hop)
+    hard = settled(top_fraction(scores, "id", "flux", "start", fraction).select("id", "start"))
+    # channels are opened up for the frames of the chosen windows only
+    windows = restrict(frame_windows(frames, win, hop), hard, ["id", "start"])
+    channels = channel_rows(windows, "id", "start").groupBy("id", "start", "channel").agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     stats = F.explode(F.array(F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("x")),
                               F.struct(F.lit("std").alias("stat"), F.col("std").alias("x")))).alias("s")
-    chosen = channels.join(hard, ["id", "start"]).select("id", "channel", stats)
+    chosen = channels.select("id", "channel", stats)
     pooled = chosen.groupBy("id", "channel", F.col("s.stat").alias("stat")).agg(
         F.avg("s.x").alias("a"), F.max("s.x").alias("b"))
     pools = F.explode(F.array(F.struct(F.lit("hard_mean").alias("block"), F.col("a").alias("value")),
@@ -89,10 +89,7 @@ def hard_windows(frames: DataFrame, win: int = 50, hop: int = 25, fraction: floa
 
 def hard_window_diagnostics(frames: DataFrame, win: int = 50, hop: int = 25, fraction: float = 0.2) -> DataFrame:
     """Frame, window and chosen-window counts and the change scores per series."""
-    sized = attach(frame_change(frames), series_lengths(frames), ["id"])
-    windows = sized.withColumn("start", F.explode(covering_starts(F.col("frame"), F.col("n"), win, hop)))
-    scores = windows.groupBy("id", "n", "start").agg(
-        F.coalesce(F.avg(F.when(F.col("frame") > F.col("start"), F.col("change"))), F.lit(0.0)).alias("flux"))
+    scores = window_change(frames, win, hop)
     count = F.count(F.lit(1))
     return scores.groupBy("id").agg(
         F.first("n").alias("n_frames"), count.alias("n_windows"),
