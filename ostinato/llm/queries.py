@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import bpe, exact_dedup, quality_rules, warc
+from ostinato.llm import bpe, exact_dedup, langid, quality_gbt, quality_rules, toxicity, warc
+from ostinato.llm.batches import bucket_of
 
 QUERIES = {}
 ORACLE = {}
@@ -79,3 +80,31 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                              outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def fold_of(modulus: int, own: int):
+    """Whether crc32(doc_id as text) leaves `own`; false for a null id."""
+    return F.coalesce(bucket_of("doc_id", modulus) == own, F.lit(False))
+
+
+@query("op4_toxic_sentences")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.train(docs, labels.filter(~fold_of(3, 1)))
+    return toxicity.score(docs, model).select("doc_id", fold_of(3, 1).alias("held_out"), "score",
+                                              (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_sentences", "offending")
+
+
+@query("op8_language_spans")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.filter(~fold_of(5, 0)))
+    return langid.identify(docs, model).select("doc_id", fold_of(5, 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op10_quality_trees")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_gbt.train(docs, labels.filter(~fold_of(4, 2)))
+    return quality_gbt.score(docs, model).select("doc_id", fold_of(4, 2).alias("held_out"), "score",
+                                                 (F.col("score") >= 0.7).cast("int").alias("predicted"))
