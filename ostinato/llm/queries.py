@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import bpe, exact_dedup, langid, quality_gbt, quality_rules, toxicity, warc
+from ostinato.llm import bpe, exact_dedup, langid, packing, quality_gbt, quality_rules, toxicity, warc
 from ostinato.llm.batches import bucket_of
 
 QUERIES = {}
@@ -108,3 +108,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     model = quality_gbt.train(docs, labels.filter(~fold_of(4, 2)))
     return quality_gbt.score(docs, model).select("doc_id", fold_of(4, 2).alias("held_out"), "score",
                                                  (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_least_squares_packing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
