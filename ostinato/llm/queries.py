@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import bpe, exact_dedup, langid, lm, packing, quality_gbt, quality_rules, toxicity, warc
+from ostinato.llm import bpe, exact_dedup, langid, lm, ngram_join, packing, quality_gbt, quality_rules, toxicity, warc
 from ostinato.llm.batches import bucket_of
 
 QUERIES = {}
@@ -120,3 +120,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     own = F.coalesce(bucket_of("doc_id", 10) != 0, F.lit(True))
     return lm.lm_score(table(spark, sf, "documents"), own, public_tokenizers.path("piece_bpe_32k.model")).select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_prefix_trie_join")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
