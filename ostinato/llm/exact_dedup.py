@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.storage import written
+from ostinato.llm.storage import drop_rows, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS, FAN_IN = 64, 8
@@ -64,6 +64,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows that stay, with all their columns. `docs` must be a table as read, so that row numbers repeat."""
-    gone = exact_groups(docs, id_col, text_col, keep).filter("not kept").select(F.col("row_no").alias("_gone"))
-    numbered = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return numbered.join(gone, F.col("_row_no") == F.col("_gone"), "left_anti").drop("_row_no")
+    return drop_rows(docs, exact_groups(docs, id_col, text_col, keep).filter("not kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.batches import Words, flat, fold, map_texts
 from ostinato.llm.graph import components
-from ostinato.llm.storage import dropped, written
+from ostinato.llm.storage import drop_rows, dropped, written
 
 SIZE = 4                      # words of an n-gram
 PERCENT = 85
@@ -328,6 +328,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(similar_groups(docs, id_col, text_col, percent))
     first = written(rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no")).alias("first"))
                     .select("component", F.col("first.row_no").alias("kept_row")))
-    gone = rows.join(first, "component").filter("row_no != kept_row").select(F.col("row_no").alias("_gone"))
-    counted = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return counted.join(gone, F.col("_row_no") == F.col("_gone"), "left_anti").drop("_row_no")
+    return drop_rows(docs, rows.join(first, "component").filter("row_no != kept_row"))

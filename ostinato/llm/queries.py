@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,3 +126,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_prefix_trie_join")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ostinato.session import shared_folder
 
@@ -28,3 +29,13 @@ def dropped(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._step)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, row_no: str = "row_no") -> DataFrame:
+    """`docs`, a table as read, without the rows whose numbers (monotonically_increasing_id) are in `gone`.
+
+    The names used for the join are new, so no column of `docs` clashes.
+    """
+    own, other = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(gone.select(F.col(row_no).alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
