@@ -61,9 +61,10 @@ def soft_flags(seconds: Column, peak: Column, rms: Column, clip_fraction: Column
 def recording_id(url: Column) -> Column:
     """Eleven-character video id of the known hosts, else null."""
     text = F.trim(url)
-    host = F.lower(F.try_parse_url(text, F.lit("HOST")))
-    path = F.split(F.regexp_replace(F.coalesce(F.try_parse_url(text, F.lit("PATH")), F.lit("")), "^/+|/+$", ""), "/")
-    query = F.try_parse_url(text, F.lit("QUERY"), F.lit("v"))
+    # by patterns, not by a strict parser: links with illegal characters or blank parameters still have an id
+    host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.split(F.regexp_replace(F.regexp_extract(text, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "^/+|/+$", ""), "/")
+    query = F.url_decode(F.regexp_replace(F.regexp_extract(F.regexp_extract(text, r"^[^?#]*\?([^#]*)", 1), r"(?:^|&)v=([^&]+)", 1), "%(?![0-9A-Fa-f]{2})", "%25"))
     from_path = F.when(F.get(path, F.lit(0)).isin("embed", "shorts", "v"), F.get(path, F.lit(1)))
     long_form = F.coalesce(F.when(F.length(query) > 0, query), from_path)
     is_long = (host == "youtube.com") | host.endswith(".youtube.com") | (host == "youtube-nocookie.com")

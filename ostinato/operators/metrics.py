@@ -108,8 +108,10 @@ def grade_stats(df: DataFrame, model: str = "model", truth: str = "truth", score
 
 
 def pivot_predictions(df: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One row per id, one score column per model; fails where models disagree on the truth."""
-    per_model = [F.first(F.when(F.col("model") == m, F.col("score")), ignorenulls=True).alias(m) for m in models]
+    """One row per id, one score column per model; fails where models disagree on the truth or repeat an id."""
+    of = lambda m: F.col("model") == m
+    per_model = [F.when(F.count_if(of(m)) > 1, F.raise_error(F.lit(f"{m} scores an id twice")).cast("double"))
+                 .otherwise(F.max(F.when(of(m), F.col("score")))).alias(m) for m in models]
     rows = df.filter(F.col("model").isin(list(models)))
     wide = rows.groupBy("id").agg(F.min("truth").alias("_lo"), F.max("truth").alias("_hi"), *per_model)
     agreed = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(

@@ -30,22 +30,32 @@ def check_features(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 def assemble_features(truth: DataFrame, tables: Iterable[DataFrame]) -> DataFrame:
     """Columns of all tables side by side for the ids of truth(id, grade).
 
-    Each table has id and grade. A missing id or another grade fails the job, whichever table it is in.
+    Each table has id and grade. A missing or repeated id, another grade or none, and a value that is no finite
+    number fail the job, whichever table it is in.
     """
     out = truth.select("id", "grade")
     for i, table in enumerate(tables):
-        side = table.withColumnRenamed("grade", f"_g{i}").withColumn(f"_in{i}", F.lit(True))
-        absent = F.raise_error(F.concat(F.lit(f"missing in feature table {i}: "), F.col("id").cast("string"))).cast("int")
-        differs = F.raise_error(F.concat(F.lit(f"label differs in feature table {i}: "), F.col("id").cast("string"))).cast("int")
-        grade = F.when(F.col(f"_in{i}").isNull(), absent).when(F.col(f"_g{i}") != F.col("grade"), differs).otherwise(F.col("grade"))
-        out = out.join(side, "id", "left").withColumn("grade", grade).drop(f"_g{i}", f"_in{i}")
+        bad = F.lit(False)
+        for c in table.columns:
+            if c not in ("id", "grade"):
+                bad = bad | F.col(c).isNull() | is_bad_number(F.col(c).cast("double"))
+        rows = F.count(F.lit(1)).over(Window.partitionBy("id"))      # on the shuffle that the join needs anyway
+        side = table.withColumn(f"_in{i}", rows).withColumn(f"_bad{i}", bad).withColumnRenamed("grade", f"_g{i}")
+        absent, differs, repeated, unusable = (
+            F.raise_error(F.concat(F.lit(f"{what} feature table {i}: "), F.col("id").cast("string"))).cast("int")
+            for what in ("missing in", "label differs in", "repeated in", "no finite number in"))
+        grade = F.when(F.col(f"_in{i}").isNull(), absent).when(
+            ~F.coalesce(F.col(f"_g{i}") == F.col("grade"), F.lit(False)), differs).when(F.col(f"_in{i}") > 1, repeated).when(
+            F.col(f"_bad{i}"), unusable).otherwise(F.col("grade"))
+        out = out.join(side, "id", "left").withColumn("grade", grade).drop(f"_g{i}", f"_in{i}", f"_bad{i}")
     return out
 
 
 def missing_features(truth: DataFrame, table: DataFrame) -> DataFrame:
     """Ids of truth that the table lacks or labels otherwise: id, problem."""
-    side = table.select("id", F.col("grade").alias("_g"))
-    problem = F.when(F.col("_g").isNull(), "missing").when(F.col("_g") != F.col("grade"), "label_differs")
+    side = table.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("grade").alias("_g"), F.count("grade").alias("_labels"), F.max("grade").alias("_h"))
+    same = F.coalesce((F.col("_g") == F.col("grade")) & (F.col("_h") == F.col("grade")), F.lit(False)) & (F.col("_labels") == F.col("_n"))
+    problem = F.when(F.col("_n").isNull(), "missing").when(~same, "label_differs").when(F.col("_n") > 1, "duplicate_id")
     return truth.join(side, "id", "left").select("id", problem.alias("problem")).filter("problem is not null")
 
 

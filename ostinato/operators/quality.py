@@ -16,6 +16,12 @@ def with_grade(pieces: DataFrame, column: str = "ps") -> DataFrame:
     return pieces.withColumn("grade", F.when(F.coalesce(known, F.lit(False)), F.col(column).cast("int")).otherwise(bad))
 
 
+def grade_or_invalid(pieces: DataFrame, column: str = "ps") -> DataFrame:
+    """Add `grade` (null off the scale) and `invalid`: the report of what `with_grade` refuses, over all rows."""
+    known = F.coalesce(F.col(column).isin([str(g) for g in GRADES]), F.lit(False))
+    return pieces.withColumn("grade", F.when(known, F.col(column).cast("int"))).withColumn("invalid", ~known)
+
+
 def inventory(meta: DataFrame, files: DataFrame) -> DataFrame:
     """Each id once with its status: matched, missing (metadata only) or orphan (file only)."""
     left = meta.select("id").distinct().withColumn("_m", F.lit(1))

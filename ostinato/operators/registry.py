@@ -12,6 +12,7 @@ from ostinato.functions.columns import is_bad_number
 from ostinato.operators.ordering import positions, running
 from ostinato.operators.skew import attach, row_count
 
+DIGEST_DIGITS = 8
 METRICS = ("kendall_tau_c", "spearman", "mae", "mse", "acc_pm1")
 
 
@@ -38,8 +39,8 @@ def verify_manifest(items: DataFrame, manifest: DataFrame, hashes: Sequence[str]
     changed = F.lit(False)
     for h in hashes:
         changed = changed | ~F.col(h).eqNullSafe(F.col(f"_{h}"))
-    problem = (F.when(F.col("_in").isNull(), "absent").when(F.col("_status") != "included", "not_included")
-               .when(F.col("label") != F.col("_label"), "label_differs").when(changed, "content_changed"))
+    problem = (F.when(F.col("_in").isNull(), "absent").when(~F.col("_status").eqNullSafe("included"), "not_included")
+               .when(F.col("label").isNull() | ~F.col("label").eqNullSafe(F.col("_label")), "label_differs").when(changed, "content_changed"))
     return items.join(right, "id", "left").select("id", problem.alias("problem")).filter("problem is not null")
 
 
@@ -53,20 +54,21 @@ def verify_index(windows: DataFrame, index: DataFrame, labels: DataFrame, win_se
     """Ids whose windows, label, hash or window sizes differ from the index: id, problem."""
     actual = windows.groupBy("id").agg(F.count(F.lit(1)).alias("_length")).join(
         labels.select("id", F.col("y").alias("_y"), F.col("audio_sha256").alias("_hash")), "id", "left")
-    problem = (F.when(F.col("length").isNull(), "not_indexed").when(F.col("length") != F.col("_length"), "length_differs")
+    problem = (F.when(F.col("_in").isNull(), "not_indexed").when(~F.col("length").eqNullSafe(F.col("_length")), "length_differs")
                .when(~F.col("y").eqNullSafe(F.col("_y")), "label_differs")
                .when(~F.col("audio_sha256").eqNullSafe(F.col("_hash")), "hash_differs")
-               .when((F.col("win_sec") != win_sec) | (F.col("hop_sec") != hop_sec), "window_differs"))
-    return actual.join(index, "id", "left").select("id", problem.alias("problem")).filter("problem is not null")
+               .when(~F.col("win_sec").eqNullSafe(win_sec) | ~F.col("hop_sec").eqNullSafe(hop_sec), "window_differs"))
+    return actual.join(index.withColumn("_in", F.lit(True)), "id", "left").select("id", problem.alias("problem")).filter("problem is not null")
 
 
 def run_status(experiments: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every attempt of every experiment; one `not_started` row where there is none."""
+    """Every attempt of every experiment, `unmanaged` where it has no status; one `not_started` row where there is none."""
     sizes = runs.groupBy("experiment_id").agg(row_count())
     # an experiment may hold most of the runs, so runs take up their experiment, not the other way round
-    tried = attach(runs, experiments.join(sizes, "experiment_id"), ["experiment_id"])
+    tried = attach(runs, experiments.join(sizes, "experiment_id"), ["experiment_id"]).withColumn(
+        "status", F.coalesce("status", F.lit("unmanaged")))
     untried = experiments.join(sizes, "experiment_id", "left_anti").withColumn("status", F.lit("not_started"))
-    return tried.unionByName(untried, allowMissingColumns=True).withColumn("status", F.coalesce("status", F.lit("not_started")))
+    return tried.unionByName(untried, allowMissingColumns=True)
 
 
 def comparable(runs: DataFrame) -> DataFrame:
@@ -96,32 +98,21 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.col("kendall_tau_c").desc_nulls_last(), F.col("run").asc())
 
 
-def digest_tree(ids: DataFrame, column: str = "id", levels: int | None = None) -> DataFrame:
-    """One digest of a set of ids, whatever their order.
+def ids_digest(ids: DataFrame, column: str = "id") -> DataFrame:
+    """One digest of a set of ids, whatever their order and number.
 
-    Each id is hashed; hashes with the same first 2*levels hex digits are joined in order and hashed
-    again, then level by level with two digits less. `levels` follows from the number of ids, so that
-    no group holds more than a few thousand hashes.
+    Each id is hashed. The hashes that share their first 8 hex digits are joined in order by line feeds and hashed
+    again, then those that share 6, 4, 2 and no digits. The depth is the same for every size, so that a set
+    keeps its definition when it grows; above the first level a group has at most 256 members.
     """
-    hashed = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
-    if levels is None:
-        levels = max(2, math.ceil(math.log(max(1, hashed.count() / 4096), 256)))
-    rows = hashed.select(F.substring("h", 1, 2 * levels).alias("p"), "h")
-    for depth in range(levels, -1, -1):
+    rows = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct().select(F.substring("h", 1, DIGEST_DIGITS).alias("p"), "h")
+    for digits in range(DIGEST_DIGITS, -1, -2):
         digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("p", "h"))).getField("h"), "\n"), 256)
-        key = F.substring("p", 1, 2 * depth) if depth else F.lit("")
+        key = F.substring("p", 1, digits) if digits else F.lit("")
         rows = rows.groupBy(key.alias("q")).agg(digest.alias("h")).select(F.col("q").alias("p"), "h")
     return rows.select(F.col("h").alias("digest"))
 
 
-def ids_digest(ids: DataFrame, column: str = "id", limit: int = 100_000) -> DataFrame:
-    """SHA-256 of the sorted ids joined by line feeds; past `limit` ids the digest tree."""
-    if ids.count() > limit:
-        return digest_tree(ids, column)
-    joined = F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n")
-    return ids.agg(F.sha2(joined, 256).alias("digest"))
-
-
 def best_epoch(history: DataFrame, by: str = "run") -> DataFrame:
     """Epoch of the largest tau, then the smallest error, then the earliest; a missing tau ranks last."""
     order = F.struct(F.col("tau_c").isNotNull(), F.coalesce("tau_c", F.lit(0.0)), -F.col("mse"), -F.col("epoch"))

@@ -9,7 +9,7 @@ from ostinato.functions.columns import GRADES, recording_id
 from ostinato.functions.text import composer_key
 from ostinato.operators.ordering import positions
 from ostinato.operators.skew import ROWS, attach, row_count
-from ostinato.session import settled
+from ostinato.session import forget, settled
 
 PARTS = ("train", "val", "test")
 
@@ -30,7 +30,7 @@ def _unsettled(links: DataFrame) -> bool:
     return not nodes.filter("leaf > 1 or leaf = 1 and root = 1").isEmpty()
 
 
-def _settle_links(links: DataFrame, max_rounds: int) -> DataFrame:
+def _settle_links(links: DataFrame) -> DataFrame:
     """Star links (u, root) of an edge set (u, v): alternating large-star and small-star steps.
 
     The edge set does not grow. A step takes the minimum neighbour per node (a combinable aggregate) and
@@ -39,23 +39,23 @@ def _settle_links(links: DataFrame, max_rounds: int) -> DataFrame:
     executors.
     """
     current = settled(links.distinct())
-    for _ in range(max_rounds):
-        if not _unsettled(current):
-            return current.select("u", F.col("v").alias("root"))
+    while _unsettled(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), row_count()).persist()
         large = settled(attach(both.filter("v > u"), lowest, ["u"], keep=False)
                         .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
         lower = large.groupBy("u").agg(F.min("v").alias("m"), row_count()).persist()
+        forget(current)
         small = (attach(large, lower, ["u"], keep=False).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
         current = settled(small)
+        forget(large)
         lowest.unpersist()
         lower.unpersist()
-    raise RuntimeError("groups did not settle")
+    return current.select("u", F.col("v").alias("root"))
 
 
-def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame) -> DataFrame:
     """Group of each item: the smallest item reachable over shared tokens. edges(item, token) -> id, group.
 
     Only what can connect takes part in the rounds: tokens of a single item are left out, and items
@@ -66,7 +66,7 @@ def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared = settled(attach(named, tokens.withColumn("_many", F.col(ROWS) > 1), ["token"], keep=False).filter("_many").select("item", "token"))
     first = settled(shared.groupBy("item").agg(F.min("token").alias("first"), row_count()))
     core = attach(shared, first, ["item"], keep=False).filter("token != first")
-    roots = _settle_links(core.select(F.col("token").alias("u"), F.col("first").alias("v")), max_rounds)
+    roots = _settle_links(core.select(F.col("token").alias("u"), F.col("first").alias("v")))
     # the root of each shared token, and the smallest item below a root
     rooted = settled(tokens.filter(F.col(ROWS) > 1).join(roots.withColumnRenamed("u", "token"), "token", "left")
                      .withColumn("root", F.coalesce("root", "token")))
@@ -117,14 +117,17 @@ def validate_split(split: DataFrame, items: DataFrame) -> DataFrame:
     per_id = split.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("p"))
     repeated = per_id.filter("n > 1").select(
         F.when(F.col("p") > 1, "id_in_two_parts").otherwise("duplicate_id").alias("problem"), text("id").alias("subject"), "n")
-    known = items.select("id", "group").dropDuplicates(["id"])
+    member = items.select("id", "group").distinct()
+    known = items.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    doubled = known.filter("n > 1").select(F.lit("duplicate_item").alias("problem"), text("id").alias("subject"), "n")
+    known = known.select("id")
     unknown = per_id.join(known, "id", "left_anti").select(F.lit("unknown_id").alias("problem"), text("id").alias("subject"), "n")
     uncovered = known.join(per_id, "id", "left_anti").select(
         F.lit("uncovered_id").alias("problem"), text("id").alias("subject"), F.lit(1).cast("long").alias("n"))
-    leaks = (split.select("id", "part").join(known, "id").groupBy("group").agg(F.count_distinct("part").alias("n"))
+    leaks = (split.select("id", "part").join(member, "id").groupBy("group").agg(F.count_distinct("part").alias("n"))
              .filter("n > 1").select(F.lit("group_in_two_parts").alias("problem"), text("group").alias("subject"), "n"))
     out = wrong_part
-    for more in (empty, repeated, unknown, uncovered, leaks):
+    for more in (empty, repeated, doubled, unknown, uncovered, leaks):
         out = out.unionByName(more)
     return out
 

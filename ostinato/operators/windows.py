@@ -17,11 +17,11 @@ def _require_sizes(*sizes: int) -> None:
 
 
 def series_lengths(df: DataFrame, key: str = "id", index: str = "frame") -> DataFrame:
-    """Frames per series; fails where the index is not 0..n-1."""
+    """Frames per series; fails where the index is not 0..n-1, each number once. Keys and numbers alone are shuffled."""
     n = F.max(index) + 1
-    dense = (F.count(F.lit(1)) == n) & (F.min(index) == 0)
+    dense = (F.max("_times") == 1) & (F.count(F.lit(1)) == n) & (F.min(index) == 0)
     checked = F.when(dense, n).otherwise(F.raise_error(F.lit("frame index must be 0..n-1 without gaps")).cast("long"))
-    return df.groupBy(key).agg(checked.alias("n"), row_count())
+    return df.groupBy(key, index).agg(F.count(F.lit(1)).alias("_times")).groupBy(key).agg(checked.alias("n"), row_count())
 
 
 def window_starts(n: Column, win: int, hop: int) -> Column:

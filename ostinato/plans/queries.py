@@ -71,11 +71,11 @@ def _labels_and_pages(spark, sf):
 
 # --- projections ------------------------------------------------------------------------------------
 
-@query("grade_filter", "select p_size as grade, count(*) as n from part where p_size between 0 and 10 group by 1")
+@query("grade_filter", """select case when p_size between 0 and 10 then p_size end as grade, p_size not between 0 and 10 as invalid, count(*) as n
+ from part group by 1, 2""")
 def grade_filter(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("ps"))
-    on_scale = part.filter(F.col("ps").isin([str(g) for g in fc.GRADES]))
-    return splits.grade_counts(quality.with_grade(on_scale))
+    return quality.grade_or_invalid(part).groupBy("grade", "invalid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rel_err", f"""select o_orderkey, case when o_totalprice > 0 then {r('abs(s - o_totalprice) / o_totalprice', 4)} end as rel_err
@@ -704,7 +704,7 @@ def index_check(spark, sf):
     return registry.verify_index(windows.window_table(fr, WIN, HOP), index, labels, 2.0, 1.0)
 
 
-@query("run_status", f"with {RUNS} select c_custkey as experiment_id, run, coalesce(status, 'not_started') as status from customer left join runs on experiment_id = c_custkey")
+@query("run_status", f"with {RUNS} select c_custkey as experiment_id, run, case when run is null then 'not_started' else coalesce(status, 'unmanaged') end as status from customer left join runs on experiment_id = c_custkey")
 def run_status(spark, sf):
     experiments = table(spark, sf, "customer").select(F.col("c_custkey").alias("experiment_id"))
     return registry.run_status(experiments, runs(spark, sf).select("experiment_id", "run", "status"))
@@ -733,11 +733,13 @@ def leaderboard(spark, sf):
 
 
 @query("ids_digest", """with h as (select distinct sha256(cast(o_orderkey as varchar)) as h from orders),
- l2 as (select substr(h, 1, 4) as p, sha256(string_agg(h, chr(10) order by h)) as h from h group by 1),
- l1 as (select substr(p, 1, 2) as p, sha256(string_agg(h, chr(10) order by p, h)) as h from l2 group by 1)
- select sha256(string_agg(h, chr(10) order by p, h)) as digest from l1""")
+ l8 as (select substr(h, 1, 8) as p, sha256(string_agg(h, chr(10) order by h)) as h from h group by 1),
+ l6 as (select substr(p, 1, 6) as p, sha256(string_agg(h, chr(10) order by p, h)) as h from l8 group by 1),
+ l4 as (select substr(p, 1, 4) as p, sha256(string_agg(h, chr(10) order by p, h)) as h from l6 group by 1),
+ l2 as (select substr(p, 1, 2) as p, sha256(string_agg(h, chr(10) order by p, h)) as h from l4 group by 1)
+ select sha256(string_agg(h, chr(10) order by p, h)) as digest from l2""")
 def ids_digest(spark, sf):
-    return registry.digest_tree(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", levels=None)
+    return registry.ids_digest(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query("best_epoch", f"""with {HISTORY} select run, epoch, {r('tau_c')} as tau_c, {r('mse')} as mse from (select *, row_number() over

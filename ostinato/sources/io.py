@@ -202,7 +202,7 @@ def load_norm(spark: SparkSession, path: str, expected: Mapping[str, str], chann
     if differs:
         raise ValueError(f"normalization was made from other inputs: {differs}")
     norm = spark.read.parquet(f"{path}/norm")
-    bad = is_bad_number(F.col("mean")) | is_bad_number(F.col("std")) | (F.col("std") <= 0)
+    bad = F.coalesce(is_bad_number(F.col("mean")) | is_bad_number(F.col("std")) | (F.col("std") <= 0), F.lit(True))
     found = norm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("channel").alias("d"), F.count_if(bad).alias("bad")).first()
     if found["n"] != channels or found["d"] != channels or found["bad"]:
         raise ValueError("normalization has wrong channels or values")

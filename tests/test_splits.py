@@ -98,3 +98,35 @@ def test_coverage_and_overlap(spark):
     with pytest.raises(Exception, match="lacks a grade"):
         splits.coverage(df, require=True).collect()
     assert {tuple(r) for r in splits.split_overlap(df, "composer").collect()} == {("train", "val", 1), ("train", "test", 1), ("val", "test", 0)}
+
+
+def test_item_in_two_groups_is_reported(spark):
+    items = spark.createDataFrame([("a", "g"), ("a", "h"), ("b", "h"), ("c", "k"), ("c", "k")], "id string, group string")
+    split = spark.createDataFrame([("a", "train"), ("b", "val"), ("c", "test")], "id string, part string")
+    found = {(r["problem"], r["subject"], r["n"]) for r in splits.validate_split(split, items).collect()}
+    assert found == {("duplicate_item", "a", 2), ("duplicate_item", "c", 2), ("group_in_two_parts", "h", 2)}
+
+
+def test_steps_are_released(spark):
+    import os
+
+    from ostinato import session
+    edges = spark.createDataFrame([(f"i{k}", f"t{k // 2}") for k in range(40)] + [("i3", "t9")], "item string, token string")
+    splits.connected_groups(edges).collect()
+    folder = session.shared_folder(spark)
+    assert session._steps
+    paths = list(session._steps)
+    session.release_steps(spark)
+    assert not session._steps and not session._summaries and not any(os.path.exists(p.removeprefix("file:")) for p in paths) and folder
+
+
+def test_no_silent_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest as _pytest
+
+    from ostinato import session
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with _pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=conf))
