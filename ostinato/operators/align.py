@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,39 @@ def window_centres(windows: DataFrame, win_seconds: float | None = None) -> Data
     return windows.withColumn("centre", F.when(F.col("t_end").isNotNull(), middle).otherwise(without_end))
 
 
+def window_problems(windows: DataFrame, lengths: DataFrame, fps: float = 5.0, offset: float = 0.0, win_seconds: float | None = None) -> DataFrame:
+    """Per series what keeps it from being aligned: id, n (frames), problem (null where there is none).
+
+    The windows of a series have to be numbered 0..k-1, with starts not below zero, finite times, an end after the
+    start and centres that increase; some frame has to lie between the first and the last centre. Series without
+    frames or without windows are problems too.
+    """
+    middle = F.coalesce((F.col("t_start") + F.col("t_end")) / 2, F.col("t_start") + F.lit(None if win_seconds is None else win_seconds / 2.0).cast("double"))
+    timed = windows.select("id", "win", "t_start", "t_end", middle.alias("centre"))
+    ordered = previous(timed.select("id", "win", "centre"), ["id"], ["win"], {"_before": "centre"})
+    falls = ordered.groupBy("id").agg(F.bool_or(F.col("centre") <= F.col("_before")).alias("_falls"))
+    bad = F.col("centre").isNull() | is_bad_number(F.col("centre")) | (F.col("t_start") < 0) | F.coalesce(F.col("t_end") <= F.col("t_start"), F.lit(False))
+    per_series = timed.groupBy("id", "win").agg(F.count(F.lit(1)).alias("_times"), F.bool_or(bad).alias("_bad"), F.min("centre").alias("_lo"), F.max("centre").alias("_hi"))
+    per_series = per_series.groupBy("id").agg(
+        F.count(F.lit(1)).alias("_k"), F.max("_times").alias("_times"), F.min("win").alias("_first"), F.max("win").alias("_last"),
+        F.bool_or("_bad").alias("_bad"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    low, high = (F.col(c) + F.lit(s * SAME_TIME) for c, s in (("_lo", -1), ("_hi", 1)))
+    first = F.greatest(F.lit(0.0), F.ceil((low - F.lit(float(offset))) * F.lit(float(fps))).cast("double"))
+    last = F.least((F.col("n") - 1).cast("double"), F.floor((high - F.lit(float(offset))) * F.lit(float(fps))).cast("double"))
+    dense = (F.col("_times") == 1) & (F.col("_first") == 0) & (F.col("_last") == F.col("_k") - 1)
+    problem = (F.when(F.col("n").isNull(), "no_frames").when(F.col("_k").isNull(), "no_windows").when(~dense, "window_numbers")
+               .when(F.col("_bad"), "window_times").when(F.col("_falls"), "centres_not_increasing").when(first > last, "no_coverage"))
+    return lengths.join(per_series.join(falls, "id"), "id", "full_outer").select("id", "n", problem.alias("problem"))
+
+
+def check_windows(windows: DataFrame, lengths: DataFrame, fps: float, offset: float, win_seconds: float | None) -> DataFrame:
+    """`lengths` of the series; a series that cannot be aligned fails the job and is named."""
+    found = window_problems(windows, lengths.select("id", "n"), fps, offset, win_seconds)
+    refused = F.raise_error(F.concat(F.lit("cannot align "), F.col("id").cast("string"), F.lit(": "), F.col("problem"))).cast("long")
+    both = found.join(lengths.select("id", ROWS), "id", "left")
+    return both.select("id", F.when(F.col("problem").isNotNull(), refused).otherwise(F.col("n")).alias("n"), ROWS)
+
+
 def align(frames: DataFrame, windows: DataFrame, fps: float = 5.0, offset: float = 0.0,
           win_seconds: float | None = None, validity: Callable[[Column], Column] = rhythm_validity) -> DataFrame:
     """Window values at the frame times by linear interpolation, where both neighbours are valid.
@@ -38,11 +72,12 @@ def align(frames: DataFrame, windows: DataFrame, fps: float = 5.0, offset: float
 
     frames(id, frame, values), windows(id, win, t_start, t_end, values) -> id, frame, t, values, valid.
     """
-    if fps <= 0:
-        raise ValueError("fps must be positive")
+    if not (math.isfinite(fps) and fps > 0 and math.isfinite(offset)):
+        raise ValueError("fps must be positive and finite, offset finite")
     lengths = series_lengths(frames)
+    checked = check_windows(windows, lengths, fps, offset, win_seconds)
     sized = attach(window_centres(windows, win_seconds).withColumnRenamed("values", "y"),
-                   lengths.select("id", F.col("n").alias("_frames"), ROWS), ["id"])
+                   checked.select("id", F.col("n").alias("_frames"), ROWS), ["id"])
     sized = sized.withColumn("ok", validity(F.col("y")))
     around = with_halo(sized, "win", before=0, after=2)
     by = Window.partitionBy("id", BLOCK).orderBy("win")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from ostinato.operators import align
+from ostinato.operators.windows import series_lengths
 from test_windows import frames
 
 WINDOW = "id string, win long, t_start double, t_end double, values array<double>"
@@ -147,3 +148,24 @@ def test_series_checks(spark):
     assert [r["problem"] for r in align.check_series(bad).orderBy("win").collect()] == ["not_increasing", "bad_start"]
     assert align.check_series(windows(spark, [0], -np.ones((9, 1)), [1.])).first()["problem"] == "bad_value"
     assert align.check_series(windows(spark, [1], np.ones((9, 1)), [1.])).first()["problem"] == "end_before_start"
+
+
+def test_series_that_cannot_be_aligned_are_named(spark):
+    nine = [1.0] * 9
+    good = [(w, 2.0 * w, 2.0 * w + 4) for w in range(3)]
+    cases = {"fine": good, "numbers": [(0, 0., 4.), (1, 2., 6.), (9000, 4., 8.)], "twice": good + [(2, 4., 8.)], "backwards": [(0, 0., 4.), (1, -1., 3.)],
+             "flat": [(0, 0., 4.), (1, 0., 4.)], "far": [(0, 900., 904.), (1, 910., 914.)], "end": [(0, 4., 2.), (1, 6., 9.)]}
+    windows = spark.createDataFrame([(k, w, a, b, nine) for k, rows_ in cases.items() for w, a, b in rows_] + [("lost", 0, 0., 4., nine)],
+                                    "id string, win int, t_start double, t_end double, values array<double>")
+    frames = spark.createDataFrame([(k, f, [0.5]) for k in [*cases, "bare"] for f in range(20)], "id string, frame int, values array<double>")
+    found = dict(align.window_problems(windows, series_lengths(frames).select("id", "n"), fps=1.0).select("id", "problem").collect())
+    assert found == {"fine": None, "numbers": "window_numbers", "twice": "window_numbers", "backwards": "window_times", "flat": "centres_not_increasing",
+                     "far": "no_coverage", "end": "window_times", "lost": "no_frames", "bare": "no_windows"}
+    fine = align.align(frames.filter("id = 'fine'"), windows.filter("id = 'fine'"), fps=1.0)
+    assert fine.count() > 0
+    for bad in ("numbers", "far"):
+        with pytest.raises(Exception, match="cannot align"):
+            align.align(frames.filter(F.col("id") == bad), windows.filter(F.col("id") == bad), fps=1.0).collect()
+    for fps, offset in ((float("nan"), 0.0), (float("inf"), 0.0), (1.0, float("nan"))):
+        with pytest.raises(ValueError):
+            align.align(frames, windows, fps=fps, offset=offset)
