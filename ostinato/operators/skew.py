@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.session import broadcast_keys, rows_per_task
+from ostinato.session import broadcast_keys, kept, rows_per_task
 
 ROWS = "_rows"
 
@@ -35,7 +34,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     limit = rows_per_task(spark)
     # one row per key, read by the look below and by the join; spills to disk, recomputed where lost
     if keep:
-        per_key = per_key.persist(StorageLevel.MEMORY_AND_DISK)
+        per_key = kept(per_key)
     n_keys, largest = per_key.agg(F.count(F.lit(1)), F.coalesce(F.max(ROWS), F.lit(0))).first()
     summary = per_key.drop(ROWS)
     if n_keys <= broadcast_keys(spark):

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ostinato.session import BROADCAST_KEYS, ROWS_PER_TASK, local_session  # noqa: E402
+from ostinato.session import BROADCAST_KEYS, ROWS_PER_TASK, local_session, release_steps  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,13 @@ def spark():
     yield session
 
 
+@pytest.fixture(autouse=True)
+def no_steps_left(request):
+    yield
+    if "spark" in request.fixturenames:
+        release_steps(request.getfixturevalue("spark"))
+
+
 @pytest.fixture
 def small_tasks(spark):
     """Limits so low that groups are cut and summaries are not broadcast."""
