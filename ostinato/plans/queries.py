@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {}
 
 WIN, HOP = 10, 5          # frame windows
 HOURS, STEP = 48, 12      # envelope windows
-COLUMNS = 32              # pooled length for the structure queries
+COLUMNS = 256             # pooled length for the structure queries
 
 
 def query(name: str, sql: str | None = None):
@@ -352,27 +352,27 @@ def event_density(spark, sf):
 
 
 @query("lag_autocorr", f"""with {ENVELOPE} select a.id, b.frame - a.frame as lag, {r('sum(a.strength * b.strength)', 5)} as r
- from envelope a join envelope b on a.id = b.id and b.frame >= a.frame and b.frame < a.frame + 24 group by 1, 2""")
+ from envelope a join envelope b on a.id = b.id and b.frame >= a.frame and b.frame < a.frame + 192 group by 1, 2""")
 def lag_autocorr(spark, sf):
-    out = events.lag_autocorr(envelope(onsets(spark, sf)), 24)
+    out = events.lag_autocorr(envelope(onsets(spark, sf)), 192)
     return rounded(out.select("id", F.col("lag").cast("long").alias("lag"), "r"), 5)
 
 
 @query("pulse_clarity", f"""with {ENVELOPE}, prof as (select a.id, b.frame - a.frame as lag, sum(a.strength * b.strength) as v
- from envelope a join envelope b on a.id = b.id and b.frame >= a.frame and b.frame < a.frame + 24 group by 1, 2),
+ from envelope a join envelope b on a.id = b.id and b.frame >= a.frame and b.frame < a.frame + 192 group by 1, 2),
  w as (select id, lag, v, case when lag > 0 and 60.0e0 / (lag * 0.05e0) <= 320 then 60.0e0 / (lag * 0.05e0) end as bpm from prof),
  k as (select *, row_number() over (partition by id order by case when bpm is not null then
    ln(1 + 1e6 * greatest(v, 0)) - 0.5 * pow(log2(bpm / 120), 2) end desc nulls last, lag) as k from w)
  select id, {r('max(case when k = 1 then bpm end)')} as tempo_bpm, {r('max(v) / (avg(v) + 1e-8)')} as tempo_confidence from k group by id""")
 def pulse_clarity(spark, sf):
-    profile = events.lag_autocorr(envelope(onsets(spark, sf)), 24)
+    profile = events.lag_autocorr(envelope(onsets(spark, sf)), 192)
     return rounded(events.tempo(profile, 0.05, "r"))
 
 
 @query("tempo_profile")
 def tempo_profile(spark, sf):
     """Local autocorrelation profile; a Fourier form that SQL does not express."""
-    return rounded(events.lag_profile(envelope(onsets(spark, sf)), 48))
+    return rounded(events.lag_profile(envelope(onsets(spark, sf)), 192))
 
 
 def _event_windows(spark, sf):
@@ -408,7 +408,7 @@ def event_windows(spark, sf):
 @query("window_tempo")
 def window_tempo(spark, sf):
     """Tempo and pulse clarity inside each window; a Fourier form that SQL does not express."""
-    return rounded(events.window_tempo(envelope(onsets(spark, sf)), HOURS, STEP, 0.05, 48))
+    return rounded(events.window_tempo(envelope(onsets(spark, sf)), HOURS, STEP, 0.05, 192))
 
 
 @query("validity_mask", f"""with {WINDOWS} select id, start, ioi_mean > 0 as ioi_valid,
@@ -799,7 +799,7 @@ def _model_table(spark, sf):
 @query("ridge_grid")
 def ridge_grid(spark, sf):
     """Ridge over a penalty grid, chosen on the validation part; an iterative fit."""
-    _, trials, _ = models.select_model(_model_table(spark, sf), FEATURES, [0.1, 10.0, 1000.0], models.ridge_pipeline)
+    _, trials, _ = models.select_model(_model_table(spark, sf), FEATURES, [0.1, 1.0, 10.0, 100.0, 1000.0], models.ridge_pipeline)
     return rounded(trials)
 
 
