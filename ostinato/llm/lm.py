@@ -10,6 +10,11 @@ learning texts are added in `rounds` passes. The vocabulary itself is not change
 Counts of words are smoothed with that lattice (a discount d and a strength t, chosen by the leave-one-out
 likelihood of the counts): P(w) = (max(c - d, 0) + (t + d V) G(w)) / (N + t), G the lattice probability.
 
+A text belongs to a class that is not known, such as its language: with the counts c_k of the learning texts of
+class k, P_k(w) = OWN c_k / N_k + (1 - OWN) P(w). Words of a text repeat: after n words, m of them w, the next is w
+with probability (m + BURST P_k(w)) / (BURST + n). The probability of the text is the sum over the classes, by
+their shares of the learning texts. All of this is a probability over every possible text.
+
 Counts cover all learning texts. The `head` most frequent words at most go to every task (their number is
 bounded by the parameter); all other words of a text are joined with the count table.
 
@@ -29,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.batches import Words, flat, fold, map_texts, per_row
+from ostinato.llm.batches import Words, flat, fold, map_texts
 from ostinato.llm.storage import written
 
 MARK = 0x2581                 # the word mark of the vocabulary
@@ -39,6 +44,9 @@ END_SHARE = 0.01              # of G for the end of a text
 HEAD = 300_000
 ROUNDS = 2
 PRIOR = 2_000.0               # expected counts that the vocabulary's own scores are worth
+OWN = 0.8                     # weight of the class's own counts
+BURST = 1600.0                # words that the model is worth against those of the text itself
+CLASSES = 8                   # most frequent classes that have counts of their own
 DISCOUNTS = (0.0, 0.2, 0.4, 0.6, 0.8)
 STRENGTHS = (1.0, 100.0, 10_000.0)
 BATCH_BYTES = 12 << 20
@@ -199,19 +207,23 @@ def chunks(words: list[str]):
         yield words[at:at + CHUNK_WORDS]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): every word of docs(text, learn) with its number in the learning texts, 0 for others."""
+def word_counts(docs: DataFrame, classes: int) -> DataFrame:
+    """(word, c, c0, c1, ...): every word of docs(text, learn, class) with its number in the learning texts, and in those of each class."""
+    names = ["c", *(f"c{k}" for k in range(classes))]
+
     def run(batch: pa.RecordBatch) -> dict:
         data, offsets = flat(batch.column("text"))
         words = Words(fold(data), offsets)
-        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        n = np.bincount(words.codes[learn[words.row_of()]], minlength=len(words.vocabulary))
-        used = np.zeros(len(words.vocabulary), bool)
+        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)[words.row_of()]
+        own = batch.column("class").fill_null(-1).to_numpy(zero_copy_only=False)[words.row_of()]
+        size = len(words.vocabulary)
+        used = np.zeros(size, bool)
         used[words.codes] = True
-        keep = pa.array(used)
-        return {"word": words.vocabulary.filter(keep).cast(pa.string()), "c": pa.array(n[used], pa.int64())}
+        out = {"word": words.vocabulary.filter(pa.array(used)).cast(pa.string()), "c": pa.array(np.bincount(words.codes[learn], minlength=size)[used], pa.int64())}
+        return out | {f"c{k}": pa.array(np.bincount(words.codes[learn & (own == k)], minlength=size)[used], pa.int64()) for k in range(classes)}
 
-    return map_texts(docs.select("text", "learn"), run, "word string, c long", limit=BATCH_BYTES).groupBy("word").agg(F.sum("c").alias("c"))
+    found = map_texts(docs.select("text", "learn", "class"), run, ", ".join(["word string", *(f"{n} long" for n in names)]), limit=BATCH_BYTES)
+    return found.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def piece_logp(counts: DataFrame, path: str, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
@@ -243,9 +255,10 @@ class Smoothing:
     discount: float
     strength: float
 
-    def log10(self, c: Column, g: Column) -> Column:
+    def share(self, c: Column, g: Column) -> Column:
+        """P(w) of a word with count c and lattice probability g."""
         top = F.greatest(c - F.lit(self.discount), F.lit(0.0)) + F.lit(self.strength + self.discount * self.kinds) * g
-        return F.log10(top / F.lit(self.total + self.strength))
+        return top / F.lit(self.total + self.strength)
 
     def base(self, c: Column) -> Column:
         return F.log10((c + F.lit(0.1)) / F.lit(self.total + 0.1 * (self.kinds + 1)))
@@ -265,74 +278,139 @@ def smoothing(scored: DataFrame, texts: int) -> Smoothing:
     return Smoothing(n, v, *trials[best])
 
 
-def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD,
-             rounds: int = ROUNDS) -> DataFrame:
-    """(id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma for x > 0: Stirling's series eight steps up."""
+    x = np.asarray(x, float)
+    steps_down = sum(np.log(x + k) for k in range(8))
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - 1 / (1680 * z ** 7) - steps_down
+
+
+def lgamma_column(x: Column) -> Column:
+    down = F.ln(x)
+    for k in range(1, 8):
+        down = down + F.ln(x + k)
+    z = x + 8
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z) - down
+
+
+def rising(p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """ln of BURST p (BURST p + 1) ... over `times` factors."""
+    a = BURST * p
+    out = np.log(a)
+    more = times > 1
+    out[more] = lgamma(a[more] + times[more].reshape(-1, *[1] * (p.ndim - 1))) - lgamma(a[more])
+    return out
+
+
+def class_numbers(rows: DataFrame) -> tuple[dict, dict]:
+    """Numbers of the most frequent classes of the learning texts, and all classes' texts (null for none)."""
+    sizes = {r["class"]: r["n"] for r in rows.filter("learn").groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").limit(CLASSES + 1).collect()}
+    return {name: k for k, name in enumerate([n for n in sizes if n is not None][:CLASSES])}, sizes
+
+
+def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None,
+             head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+    """(id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    `class_col` is read from learning texts only; the class of the text that is scored stays unknown.
+    """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"),
-                       F.monotonically_increasing_id().alias("row_no"))
-    counts = written(word_counts(rows))
+                       F.monotonically_increasing_id().alias("row_no"), (F.col(class_col) if class_col else F.lit(None)).cast("string").alias("class"))
+    number, sizes = class_numbers(rows)
+    classes = max(1, len(number))
+    own = F.lit(None).cast("int")
+    for name, k in number.items():
+        own = F.when(F.col("class") == F.lit(name), F.lit(k)).otherwise(own)
+    rows = rows.withColumn("class", own)
+    counts = written(word_counts(rows, classes))
     logp = piece_logp(counts, path, rounds)
+    names = [f"c{k}" for k in range(classes)]
 
     def lattice(batches):
-        own = pieces(path)
+        table = pieces(path)
         for batch in batches:
-            found = [Lattice(words, own).marginal(logp) for words in chunks(batch.column("word").to_pylist())]
+            found = [Lattice(words, table).marginal(logp) for words in chunks(batch.column("word").to_pylist())]
             g = (1 - END_SHARE) * np.exp(np.maximum(np.concatenate(found), -700.0)) if found else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "g": pa.array(g)})
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("word", "c", *names)} | {"g": pa.array(g)})
 
-    scored = written(counts.mapInArrow(lattice, "word string, c long, g double"))
+    scored = written(counts.mapInArrow(lattice, ", ".join(["word string", "c long", *(f"{n} long" for n in names), "g double"])))
     texts = rows.filter("learn").count()
     rule = smoothing(scored, texts)
-    priced = scored.select("word", (F.col("c") > 0).cast("int").alias("known"), rule.base(F.col("c")).alias("base"),
-                           rule.log10(F.col("c"), F.col("g")).alias("log10"), "c")
+    held = [sizes[name] for name in number] or [0]
+    words_of = scored.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
+    total = [int(w) + n for w, n in zip(words_of, held)]
+
+    def shares(c: list[Column], all_c: Column, g: Column) -> list[Column]:
+        plain = rule.share(all_c, g)
+        return [F.lit(OWN / n) * one + F.lit(1 - OWN) * plain if n else plain for one, n in zip(c, total)]
+
+    probability = [p.alias(f"p{k}") for k, p in enumerate(shares([F.col(n) for n in names], F.col("c"), F.col("g")))]
+    priced = scored.select("word", (F.col("c") > 0).cast("int").alias("known"), rule.base(F.col("c")).alias("base"), "c", *probability)
     # the most frequent words, all counts of one power of two or none, at most `head` of them
-    sizes = sorted(((r["k"], r["n"]) for r in scored.filter("c > 0").groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, held = None, 0
-    for k, n in sizes:
-        if held + n > head:
+    found = sorted(((r["k"], r["n"]) for r in scored.filter("c > 0").groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, taken = None, 0
+    for k, n in found:
+        if taken + n > head:
             break
-        least, held = 2 ** k, held + n
-    top = (priced.filter(F.col("c") >= least) if least else priced.filter("false")).select("word", "base", "log10").toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast({n: top[n].combine_chunks() if isinstance(top[n], pa.ChunkedArray) else top[n] for n in top.column_names})
-    end = spark.range(1).select(rule.base(F.lit(texts)), rule.log10(F.lit(texts), F.lit(END_SHARE))).first()
+        least, taken = 2 ** k, taken + n
+    columns = [f"p{k}" for k in range(classes)]
+    top = (priced.filter(F.col("c") >= least) if least else priced.filter("false")).select("word", "base", *columns).toArrow()
+    shared = spark.sparkContext.broadcast((top["word"].combine_chunks(), top["base"].to_numpy(), np.stack([top[c].to_numpy() for c in columns], axis=1)))
+    end = spark.range(1).select(rule.base(F.lit(texts)), *shares([F.lit(n) for n in held], F.lit(texts), F.lit(END_SHARE))).first()
+    end_log = [math.log(BURST * p) for p in end[1:]]
+    prior = [math.log((n + 1) / (sum(held) + len(held))) for n in held]
+    logs = [f"l{k}" for k in range(classes)]
 
     def run(batch: pa.RecordBatch) -> dict:
         data, offsets = flat(batch.column("text"))
         words = Words(fold(data), offsets)
-        names = words.vocabulary.cast(pa.string())
-        held = shared.value
-        place = pc.index_in(names, value_set=held["word"]).fill_null(-1).to_numpy(zero_copy_only=False)[words.codes]
+        vocabulary = words.vocabulary.cast(pa.string())
+        head_word, head_base, head_p = shared.value
+        n, wide = batch.num_rows, max(1, len(vocabulary))
+        pair, times = np.unique(words.row_of() * wide + words.codes, return_counts=True)
+        place = pc.index_in(vocabulary, value_set=head_word).fill_null(-1).to_numpy(zero_copy_only=False)[pair % wide]
         hit = place >= 0
-        def sums(values, extra):
-            own = np.zeros(len(place))
-            own[hit] = values.to_numpy()[place[hit]]
-            return per_row(own, words.rows) + extra
-        n = batch.num_rows
-        wide = max(1, len(names))
-        pair, times = np.unique((words.row_of() * wide + words.codes)[~hit], return_counts=True)
-        rest = len(pair)
+        row, often, place = pair[hit] // wide, times[hit], place[hit]
+        grown = rising(head_p[place], often)
+        size = words.count + 1
+        spread = lgamma(size + BURST) - lgamma(np.full(n, BURST))
+        rest, rest_times = pair[~hit], times[~hit]
         row_no = batch.column("row_no")
+
         def both(per_text, kind):
-            return pa.concat_arrays([per_text.cast(kind) if per_text.type != kind else per_text, pa.nulls(rest, kind)])
+            per_text = pa.array(per_text, kind) if isinstance(per_text, np.ndarray) else per_text
+            return pa.concat_arrays([per_text, pa.nulls(len(rest), per_text.type)])
+
         ends = pa.array([f" {k}" for k in row_no.to_pylist()], pa.string())       # no word holds a space
-        return {"row_no": pa.concat_arrays([row_no, row_no.take(pa.array(pair // wide))]),
-                "word": pa.concat_arrays([ends, names.take(pa.array(pair % wide))]),
-                "times": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times, pa.int64())]),
-                "id": both(batch.column("id"), batch.column("id").type), "learn": both(batch.column("learn"), pa.bool_()),
-                "n_tokens": both(pa.array(words.count + 1, pa.int64()), pa.int64()),
-                "known": both(pa.array(per_row(hit, words.rows) + (texts > 0), pa.int64()), pa.int64()),
-                "base": both(pa.array(sums(held["base"], end[0])), pa.float64()),
-                "log10": both(pa.array(sums(held["log10"], end[1])), pa.float64())}
-
-    stream = map_texts(rows, run, f"row_no long, word string, times long, id {kind}, learn boolean, n_tokens long, known long, base double, log10 double",
-                       limit=BATCH_BYTES)
-    rare = priced.filter(F.col("c") < least) if least else priced
-    joined = stream.join(rare.select("word", F.col("known").alias("w_known"), F.col("base").alias("w_base"), F.col("log10").alias("w_log10")), "word", "left")
-    def text_and_words(name):
-        return (F.max(name) + F.coalesce(F.sum(F.col("times") * F.col(f"w_{name}")), F.lit(0))).alias(name)
-    return (joined.groupBy("row_no").agg(F.max("id").alias("id"), F.max("learn").alias("learn"), F.max("n_tokens").alias("n_tokens"),
-                                         text_and_words("known"), text_and_words("base"), text_and_words("log10"))
-            .select(F.col("id").alias(id_col), "learn", "n_tokens", F.col("known").cast("long").alias("n_known"),
-                    F.lit(rule.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("log10").alias("score")))
+        out = {"row_no": pa.concat_arrays([row_no, row_no.take(pa.array(rest // wide))]),
+               "word": pa.concat_arrays([ends, vocabulary.take(pa.array(rest % wide))]),
+               "times": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(rest_times, pa.int64())]),
+               "id": both(batch.column("id"), None), "learn": both(batch.column("learn"), None), "n_tokens": both(size, pa.int64()),
+               "known": both(np.bincount(row, weights=often, minlength=n).astype(np.int64) + (texts > 0), pa.int64()),
+               "base": both(np.bincount(row, weights=often * head_base[place], minlength=n) + end[0], pa.float64())}
+        return out | {name: both(np.bincount(row, weights=grown[:, k], minlength=n) + end_log[k] + prior[k] - spread, pa.float64())
+                      for k, name in enumerate(logs)}
+
+    stream = map_texts(rows.drop("class"), run, f"row_no long, word string, times long, id {kind}, learn boolean, n_tokens long, known long, base double, "
+                       + ", ".join(f"{n} double" for n in logs), limit=BATCH_BYTES)
+    rare = (priced.filter(F.col("c") < least) if least else priced).select("word", F.col("known").alias("w_known"), F.col("base").alias("w_base"), *columns)
+    joined = stream.join(rare, "word", "left")
+
+    def grown_column(p):
+        a = F.lit(BURST) * F.col(p)
+        return F.when(F.col("times") == 1, F.ln(a)).otherwise(lgamma_column(a + F.col("times")) - lgamma_column(a))
+
+    def text_and_words(name, of_word):
+        return (F.max(name) + F.coalesce(F.sum(of_word), F.lit(0))).alias(name)
+    sums = joined.groupBy("row_no").agg(
+        F.max("id").alias("id"), F.max("learn").alias("learn"), F.max("n_tokens").alias("n_tokens"),
+        text_and_words("known", F.col("times") * F.col("w_known")), text_and_words("base", F.col("times") * F.col("w_base")),
+        *(text_and_words(name, grown_column(p)) for name, p in zip(logs, columns)))
+    best = F.greatest(*logs) if classes > 1 else F.col(logs[0])
+    every = sum((F.exp(F.col(name) - best) for name in logs), F.lit(0.0))
+    return sums.select(F.col("id").alias(id_col), "learn", "n_tokens", F.col("known").cast("long").alias("n_known"),
+                       F.lit(rule.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+                       ((best + F.ln(every)) / F.lit(math.log(10))).alias("score"))

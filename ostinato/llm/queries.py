@@ -119,7 +119,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_subword_lattice")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     own = F.coalesce(bucket_of("doc_id", 10) != 0, F.lit(True))
-    return lm.lm_score(table(spark, sf, "documents"), own, public_tokenizers.path("piece_bpe_32k.model")).select(
+    return lm.lm_score(table(spark, sf, "documents"), own, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang").select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

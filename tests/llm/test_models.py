@@ -175,6 +175,39 @@ def test_lattice():
     assert np.isfinite(lm.Lattice(["\U0010FFFF▁x" * 50, "a" * 3000], table).marginal(logp)).all()
 
 
+def test_log_gamma(spark):
+    x = np.array([1e-6, 0.003, 0.5, 1.0, 7.7, 120.0, 1e7])
+    want = [math.lgamma(v) for v in x]
+    assert np.allclose(lm.lgamma(x), want, rtol=1e-10, atol=1e-10)
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(lm.lgamma_column(F.col("x"))).collect()]
+    assert np.allclose(got, want, rtol=1e-10, atol=1e-10)
+    p, times = np.array([[0.2, 0.001], [0.5, 0.3]]), np.array([1, 4])
+    assert np.allclose(lm.rising(p, times), [[sum(math.log(lm.BURST * q + k) for k in range(n)) for q in row] for row, n in zip(p, times)])
+
+
+def test_score_is_the_chain_of_words(spark):
+    """With one learnt class and no rare words left out, the score is the product of the word probabilities in order."""
+    text = "b a b b"
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "b c", "x"), (4, text, None)], "doc_id long, text string, lang string")
+    own = F.col("doc_id") != 4
+    scores = {head: {r.doc_id: r.score for r in lm.lm_score(docs, own, PIECES, class_col="lang", head=head, rounds=0).collect()} for head in (0, 100)}
+    assert all(math.isclose(scores[0][d], scores[100][d], rel_tol=1e-9) for d in (1, 2, 4))
+    table = lm.pieces(PIECES)
+    g = dict(zip("abc", (1 - lm.END_SHARE) * np.exp(lm.Lattice(list("abc"), table).marginal(np.log(table.start)))), **{" ": lm.END_SHARE})
+    counts = {"a": 1, "b": 2, "c": 1, " ": 2}
+    found = []
+    for d in lm.DISCOUNTS:
+        for t in lm.STRENGTHS:
+            plain = {w: (max(c - d, 0) + (t + d * 4) * g[w]) / (6 + t) for w, c in counts.items()}
+            price = {w: lm.OWN * counts[w] / 6 + (1 - lm.OWN) * plain[w] for w in counts}
+            total, seen = 0.0, []
+            for w in [*text.split(), " "]:
+                total += math.log10((seen.count(w) + lm.BURST * price[w]) / (lm.BURST + len(seen)))
+                seen.append(w)
+            found.append(total)
+    assert min(abs(x - scores[0][4]) for x in found) < 1e-9
+
+
 @pytest.mark.parametrize("head", [0, 300_000])
 def test_lm_score(spark, head):
     rng = np.random.default_rng(8)
@@ -194,4 +227,7 @@ def test_lm_score(spark, head):
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.lm_score(docs.filter("false"), learn, PIECES).count() == 0
+    with_class = docs.withColumn("lang", F.when(F.col("doc_id") < 50, F.concat(F.lit("l"), F.col("doc_id") % 12)))
+    more = lm.lm_score(with_class, learn, PIECES, class_col="lang", head=head, rounds=1).collect()
+    assert len(more) == len(rows) and all(r.score < 0 and math.isfinite(r.score) for r in more)
     assert all(math.isfinite(r.score) for r in lm.lm_score(docs, F.lit(False), PIECES, rounds=1).collect())
