@@ -189,6 +189,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Map
     results = []
     for i, (name, fraction) in enumerate(named.items()):
         at = (F.col(ROWS) - 1) * F.lit(float(fraction))
-        results.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(name))
+        # the built-in aggregate's own formula, so that a key's size does not show in the last digit
+        between = (F.ceil(at) - at) * F.col(f"_lo{i}") + (at - F.floor(at)) * F.col(f"_hi{i}")
+        results.append(F.when(F.floor(at) == F.ceil(at), F.col(f"_lo{i}")).otherwise(between).alias(name))
     all_keys = cold.unionByName(found.select(*keys, *results))
     return df.groupBy(*keys).agg(*also).join(all_keys, keys) if also else all_keys

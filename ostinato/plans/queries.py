@@ -99,6 +99,19 @@ def url_key(spark, sf):
         F.try_parse_url(url, F.lit("QUERY"), F.lit("page")).alias("page"), fc.recording_id(F.col("url")).alias("recording"))
 
 
+LINKS = ["'https://www.youtube.com/watch?v=' || v", "'https://youtu.be/' || v || '?x=a|b'", "'https://youtube.com/embed/' || v || '/'",
+         "'http://m.youtube.com/watch?v=&v=' || v || '#t=1'", "'https://www.youtube.com/watch?a=x y&v=' || v", "'https://youtube-nocookie.com/shorts/' || v",
+         "'https://youtu.be/' || v || 'x'", "url"]
+
+
+@query("recording_links", "select page_id, case when page_id % 8 < 6 then substr(md5(url), 1, 11) end as recording from pages")
+def recording_links(spark, sf):
+    """Links of every form, and two kinds without an id, made from the pages' urls."""
+    forms = " ".join(f"when {k} then {form}" for k, form in enumerate(LINKS))
+    links = table(spark, sf, "pages").withColumn("v", F.expr("substr(md5(url), 1, 11)")).withColumn("link", F.expr(f"case page_id % 8 {forms} end"))
+    return links.select("page_id", fc.recording_id(F.col("link")).alias("recording"))
+
+
 @query("name_key", "select p_partkey, lower(trim(regexp_replace(p_name, ' +', ' ', 'g'))) as name_key from part")
 def name_key(spark, sf):
     from ostinato.functions.text import composer_key
