@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by prefixes and tries, and the groups that its links connect.
 
 A text is the set of its word n-grams (64-bit hashes). Texts of equal sets are one node. N-grams have one
-global order: those of few nodes first, by hash, then the frequent ones by number of nodes. Two sets that
-are similar enough share at least `COMMON` n-grams among the first n - ceil(t n) + COMMON of each (all of
-them where the sets are smaller), so only these n-grams are keys. The candidates of a node are read as a
-trie of their ordered sets: partial overlaps with the node are counted once for all sets below, and a subtree
-is left as soon as its remaining length cannot reach the threshold.
-
-Connecting needs no list of all pairs. In each of the first rounds a key links its nodes to one of them, and
-only nodes of other groups; nodes of a key that are already in one group are never compared. The last round
-compares, for every key, what is still in different groups, so no link between groups is missed. A key has
-few nodes unless it is frequent, and frequent keys come last in the order.
+global order: those of few nodes first, by hash, then the frequent ones by number of nodes. Of two sets that are
+similar enough, the first n - ceil(t n) + COMMON n-grams of the larger and the first n - ceil(2 t / (1 + t) n) +
+COMMON of the smaller have at least `COMMON` n-grams in common (all that they share, where that is less), so
+only these are keys. The candidates of a node are read as a trie of their ordered sets: partial overlaps with
+the node are counted once for all sets below, and a subtree is left as soon as its remaining length cannot
+reach the threshold.
+
+Connecting needs no list of all pairs. In each of the first rounds a key links its nodes to one of them (first
+the one with the fewest n-grams of its own, the centre of a family of copies), and only nodes of other groups;
+nodes of a key that are already in one group are never compared. The last round compares, for every key, what
+is still in different groups, so no link between groups is missed. A key has few nodes unless it is frequent,
+and frequent keys come last in the order.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; fewer than n words are
 one n-gram; repeated rows and null ids are answered each, a group's id is the smallest id in it; an empty
@@ -19,13 +21,15 @@ table gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.llm.batches import Words, flat, fold, map_texts
+from ostinato.llm.batches import flat, fold, map_texts, runs
 from ostinato.llm.graph import components
 from ostinato.llm.storage import drop_rows, dropped, written
 
@@ -33,9 +37,10 @@ SIZE = 4                      # words of an n-gram
 PERCENT = 85
 COMMON = 4                    # prefix n-grams that a pair must share (fewer if its overlap may be smaller)
 FREQUENT = 8                  # nodes from which an n-gram may count as frequent
-MAX_FREQUENT = 500_000        # frequent n-grams that go to every task; the bound of FREQUENT rises until they fit
+MAX_FREQUENT = 1_000_000       # frequent n-grams that go to every task; the bound of FREQUENT rises until they fit
 KEY_ROWS = 50_000             # nodes of a key beyond which its rows are dealt out by salt
 STAR_ROUNDS = 2
+OWN = 1 << 20                 # more than the n-grams of one text that are counted as its own
 BLOCK = 256                   # candidates in one trie
 SEND_TEXTS = 200_000          # ids of wanted texts up to which they are broadcast
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -47,33 +52,72 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+BASE = 0x9E3779B97F4A7C15
+SEGMENT = 4 << 20             # bytes hashed at once
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))     # a number for each byte
+PLACES = mixed(np.arange(1001, 1001 + SIZE, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
+@functools.lru_cache(maxsize=2)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word: a polynomial in its bytes, from running sums over all bytes, then mixed."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, "right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        n = max(SEGMENT, high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(LETTERS[data[low:high]] * powers(BASE, n)[:high - low], out=sums[1:])
+        first, last = starts[at:to] - low, ends[at:to] - low
+        value = (sums[last] - sums[first]) * powers(pow(BASE, -1, 1 << 64), n)[first]
+        out[at:to] = mixed(value + (last - first).astype(np.uint64))
+        at = to
+    return out
+
+
 def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
     data, offsets = flat(column)
-    words = Words(fold(data), offsets)
-    names = words.vocabulary.to_pylist()
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[words.codes]
-    total = len(word)
-    whole = np.zeros(total, np.uint64)
-    if total >= size:
-        whole = word[:total - size + 1].copy()
-        for k in range(1, size):
-            whole = mixed(whole) + word[k:total - size + 1 + k]
+    bounds, is_word = runs(data, offsets)
+    starts, ends = bounds[:-1][is_word], bounds[1:][is_word]
+    rows = np.searchsorted(starts, offsets)
+    word = word_hashes(fold(data), starts, ends)
+    total = len(word) - size + 1
+    whole = np.zeros(len(word), np.uint64)
+    if total > 0:
+        for k in range(size):
+            whole[:total] += word[k:total + k] * PLACES[k]
         whole = mixed(whole)
-    out = []
-    for first, last in zip(words.rows.tolist(), words.rows[1:].tolist()):
+    cuts = rows.tolist()
+    for first, last in zip(cuts, cuts[1:]):
         if last - first >= size:
-            out.append(np.unique(whole[first:last - size + 1]))
+            whole[first:last - size + 1].sort()
         elif last > first:
-            out.append(np.array([xxhash.xxh3_64_intdigest(word[first:last].tobytes(), last - first)], np.uint64))
+            whole[first] = xxhash.xxh3_64_intdigest(word[first:last].tobytes(), last - first)
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = whole[1:] != whole[:-1]
+    out = []
+    for first, last in zip(cuts, cuts[1:]):
+        end = last - size + 1 if last - first >= size else min(last, first + 1)
+        if end > first:
+            keep = fresh[first:end]
+            keep[0] = True
+            out.append(whole[first:end][keep])
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(whole[first:first])
     return out
 
 
 def node_of(shingles: np.ndarray) -> int:
     """Identity of a set (64 bits, as for the n-grams themselves)."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))if len(shingles) else 0
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)) if len(shingles) else 0
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -82,9 +126,15 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """First n-grams of a set that meet those of any smaller set."""
     return min(n, n - needed(n, percent) + COMMON)
 
 
+def short_length(n: int, percent: int = PERCENT) -> int:
+    """First n-grams of a set that meet those of any set at least as large."""
+    return min(n, n + -(2 * percent * n) // (100 + percent) + COMMON)
+
+
 def node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row_no, id, node, n) of every row, written."""
     kind = dict(docs.dtypes)[id_col]
@@ -138,13 +188,17 @@ def frequent_shingles(texts: DataFrame, percent: int) -> tuple[np.ndarray, np.nd
 
 
 def prefix_keys(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, salt, hot, node, n): the first n-grams of every node in the global order."""
+    """(key, salt, hot, node, info): the first n-grams of every node in the global order.
+
+    info holds the set's size, the number of its n-grams that are not frequent, and whether the n-gram is among the
+    first `short_length`.
+    """
     spark = texts.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts, percent))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         hot, rows = frequent.value
-        seen, keys, salts, hots, nodes, sizes = set(), [], [], [], [], []
+        seen, keys, salts, hots, nodes, infos = set(), [], [], [], [], []
         for s in shingle_sets(batch.column("text")):
             node = node_of(s)
             if not len(s) or node in seen:
@@ -160,23 +214,25 @@ def prefix_keys(texts: DataFrame, percent: int) -> DataFrame:
             salts.append(node % (1 + count[take] // KEY_ROWS))
             hots.append(count[take] > KEY_ROWS)
             nodes.append(np.full(len(take), node))
-            sizes.append(np.full(len(take), len(s)))
+            own = min(int((count[:prefix_length(len(s), percent) * 5 // 4] == 0).sum()), OWN - 1)
+            infos.append((len(s) * OWN + own) * 2 + (np.arange(len(take)) < short_length(len(s), percent)))
         if not keys:
             return None
         return {"key": pa.array(np.concatenate(keys).view(np.int64)), "salt": pa.array(np.concatenate(salts), pa.int64()), "hot": pa.array(np.concatenate(hots)),
-                "node": pa.array(np.concatenate(nodes), pa.int64()), "n": pa.array(np.concatenate(sizes), pa.int64())}
+                "node": pa.array(np.concatenate(nodes), pa.int64()), "info": pa.array(np.concatenate(infos), pa.int64())}
 
-    return map_texts(texts, run, "key long, salt long, hot boolean, node long, n long")
+    return map_texts(texts, run, "key long, salt long, hot boolean, node long, info long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, node, n): the key rows of distinct nodes whose key another node has, written.
+    """(key, node, n, own, short): the key rows of distinct nodes whose key another node has, written.
 
     Rows of a key with very many nodes are dealt out by salt as well; they stay without a look at the others.
     """
     part = Window.partitionBy("key", "salt")
     rows = keys.withColumn("least", F.min("node").over(part)).withColumn("most", F.max("node").over(part)).filter("least != most or hot")
-    return written(rows.select("key", "node", "n").distinct())
+    rest = F.shiftright("info", 1)
+    return written(rows.select("key", "node", F.floor(rest / OWN).alias("n"), F.pmod(rest, F.lit(OWN)).alias("own"), (F.col("info") % 2 == 1).alias("short")).distinct())
 
 
 def with_key(rows: DataFrame, *columns) -> DataFrame:
@@ -186,7 +242,8 @@ def with_key(rows: DataFrame, *columns) -> DataFrame:
 
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b, n, m, common): one node of each key against the nodes of other groups in the key."""
-    first = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("order"), "node", "n", "label")).alias("first")
+    order = F.xxhash64("label", F.lit(turn)) if turn else F.col("own")
+    first = F.min(F.struct(order.alias("order"), "node", "n", "label")).alias("first")
     star = with_key(rows, first).filter("first.label != label")
     swapped = F.col("node") < F.col("first.node")
     def pick(when_lower, when_higher, name):
@@ -204,10 +261,11 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
 
 def crossing_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, n, m, common): all nodes of different groups that share keys, and how many."""
-    ends = with_key(rows, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").drop("lo", "hi")
-    open_rows = written(ends)
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    return (open_rows.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label != other")
+    ends = with_key(rows, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any")).filter("lo != hi and any")
+    open_rows = written(ends.drop("lo", "hi", "any"))
+    larger = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    smaller = open_rows.filter("short").select("key", F.col("node").alias("a"), "n", "label")
+    return (smaller.join(larger, "key").filter("label != other and (n < m or n = m and a < b)")
             .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common")))
 
 

@@ -119,3 +119,21 @@ def test_components(spark, seed):
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == groups_of([p for p in pairs if p[0] != p[1]], nodes)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_prefixes_meet(seed):
+    """Every similar pair shares COMMON of the smaller's short and the larger's long prefix, or all it shares."""
+    rng = np.random.default_rng(seed)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        x = set(rng.choice(2000, n, replace=False).tolist())
+        y = set(x)
+        for k in rng.choice(sorted(x), min(n, int(rng.integers(0, 1 + n // 6))), replace=False):
+            y.discard(int(k))
+        y |= {int(k) for k in rng.integers(0, 2000, rng.integers(0, 1 + n // 8))}
+        if not y or 100 * len(x & y) < 85 * len(x | y):
+            continue
+        small, large = sorted((sorted(x), sorted(y)), key=len)
+        met = set(small[:nj.short_length(len(small))]) & set(large[:nj.prefix_length(len(large))])
+        assert len(met) >= min(nj.COMMON, len(x & y))
