@@ -1,4 +1,4 @@
-"""Written steps of longer jobs: in the folder that the cluster shares, gone when the session no longer needs them."""
+"""Written steps of longer jobs, and rows taken out of a table by number."""
 
 from __future__ import annotations
 
@@ -7,28 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.session import shared_folder
+from ostinato.session import forget, settled, shared_folder
+
+# A table written once to the folder that the cluster shares and read back: short lineage that survives lost
+# executors. It stays until `dropped` or `ostinato.session.release_steps`.
+written = settled
 
 
 def step_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A table written once to the shared folder and read back: short lineage that survives lost executors."""
-    path = step_path(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._step = path
-    return out
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete steps whose rows have been used."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._step)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        forget(df)
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, row_no: str = "row_no") -> DataFrame:
