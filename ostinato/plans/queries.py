@@ -484,6 +484,25 @@ def align_interp(spark, sf):
     return rounded(cells.select("id", "frame", F.col("channel").cast("long").alias("channel"), "c.value", "c.valid"))
 
 
+@query("align_problems", """with w as (select l_orderkey as id, l_linenumber - 1 as win, cast(l_quantity as double) as t_start,
+  cast(l_quantity as double) + cast(l_discount as double) * 64 as t_end from lineitem),
+ o as (select *, (t_start + t_end) / 2 as centre, (lag(t_start) over (partition by id order by win) + lag(t_end) over (partition by id order by win)) / 2 as before from w),
+ p as (select id, count(*) as k, count(distinct win) as d, min(win) as lo, max(win) as hi, bool_or(t_end <= t_start) as bad, bool_or(centre <= before) as falls,
+  min(centre) as c0, max(centre) as cn from o group by id),
+ l as (select o_orderkey as id, 1 + cast(floor(o_totalprice / 8000) as bigint) as n from orders where o_orderkey % 7 > 0)
+ select coalesce(l.id, p.id) as id, n, case when n is null then 'no_frames' when k is null then 'no_windows' when d < k or lo <> 0 or hi <> k - 1 then 'window_numbers'
+  when bad then 'window_times' when falls then 'centres_not_increasing' when greatest(0, ceil(c0 - 1e-9)) > least(n - 1, floor(cn + 1e-9)) then 'no_coverage' end as problem
+ from l full join p on l.id = p.id""")
+def align_problems(spark, sf):
+    """Which orders could be aligned if their lines were windows; a seventh of the orders has no frames."""
+    start = F.col("l_quantity").cast("double")
+    wins = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 1).alias("win"), start.alias("t_start"),
+                                               (start + F.col("l_discount").cast("double") * 64).alias("t_end"))
+    lengths = table(spark, sf, "orders").filter("o_orderkey % 7 > 0").select(
+        F.col("o_orderkey").alias("id"), (1 + F.floor(F.col("o_totalprice") / 8000)).cast("long").alias("n"))
+    return align.window_problems(wins, lengths, fps=1.0)
+
+
 def _masked(fr):
     """Upper channels count as observed only where channel 0 is positive."""
     first = F.get("values", F.lit(0)) > 0
