@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.llm.batches import flat, fold, map_texts, runs
+from ostinato.llm.batches import flat, fold, map_texts, runs, slices
 from ostinato.llm.graph import components
 from ostinato.llm.storage import drop_rows, dropped, written
 
@@ -53,7 +53,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
-SEGMENT = 4 << 20             # bytes hashed at once
+SEGMENT = 1 << 20             # bytes hashed at once
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))     # a number for each byte
 PLACES = mixed(np.arange(1001, 1001 + SIZE, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
@@ -329,11 +329,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             hits = trie_matches(probe, sets, percent) if sets else []
             return {"a": pa.array([key[0]] * len(hits), pa.int64()), "b": pa.array([names[k] for k in hits], pa.int64())}
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for a, block, b, s in zip(batch.column("a").to_pylist(), batch.column("block").to_pylist(), batch.column("b").to_pylist(),
-                                      shingle_sets(batch.column("text"))):
+        for part in (part for batch in batches for part in slices(batch, "text", SEGMENT)):
+            for a, block, b, s in zip(part.column("a").to_pylist(), part.column("block").to_pylist(), part.column("b").to_pylist(),
+                                      shingle_sets(part.column("text"))):
                 if b is None:
                     if key is not None:
                         yield pa.RecordBatch.from_pydict(matches())
