@@ -16,6 +16,7 @@ from ostinato.llm.batches import bucket_of
 from ostinato.llm.storage import drop_rows, written
 
 TOXIC = 0.7
+NEAR_WORDS, NEAR_PERCENT = 5, 80      # word shingles of the near-duplicate stage; op9 has a contract of its own
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.near_dedup(docs)
+    return ngram_join.near_dedup(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

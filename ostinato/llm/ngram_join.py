@@ -55,7 +55,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20             # bytes hashed at once
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))     # a number for each byte
-PLACES = mixed(np.arange(1001, 1001 + SIZE, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
+@functools.lru_cache(maxsize=8)
+def places(size: int) -> np.ndarray:
+    """A factor for each place of a word in its n-gram."""
+    return mixed(np.arange(1001, 1001 + size, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,7 +98,7 @@ def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     whole = np.zeros(len(word), np.uint64)
     if total > 0:
         for k in range(size):
-            whole[:total] += word[k:total + k] * PLACES[k]
+            whole[:total] += word[k:total + k] * places(size)[k]
         whole = mixed(whole)
     cuts = rows.tolist()
     for first, last in zip(cuts, cuts[1:]):
@@ -135,12 +140,12 @@ def short_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n + -(2 * percent * n) // (100 + percent) + COMMON)
 
 
-def node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def node_rows(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
     """(row_no, id, node, n) of every row, written."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(batch.column("text"))
+        sets = shingle_sets(batch.column("text"), size)
         return {"row_no": batch.column("row_no"), "id": batch.column("id"), "node": pa.array([node_of(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64())}
 
@@ -151,7 +156,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def frequent_shingles(texts: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Frequent n-grams near the front of the hash order, ascending, and their numbers of nodes.
 
     Counted over all texts, for the n-grams that lie in the first part of a text's hash order (a quarter more
@@ -159,7 +164,7 @@ def frequent_shingles(texts: DataFrame, percent: int) -> tuple[np.ndarray, np.nd
     """
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, found = set(), []
-        for s in shingle_sets(batch.column("text")):
+        for s in shingle_sets(batch.column("text"), size):
             node = node_of(s)
             if len(s) and node not in seen:
                 seen.add(node)
@@ -187,19 +192,19 @@ def frequent_shingles(texts: DataFrame, percent: int) -> tuple[np.ndarray, np.nd
     return key[order], table["n"].to_numpy()[order]
 
 
-def prefix_keys(texts: DataFrame, percent: int) -> DataFrame:
+def prefix_keys(texts: DataFrame, percent: int, size: int = SIZE) -> DataFrame:
     """(key, salt, hot, node, info): the first n-grams of every node in the global order.
 
     info holds the set's size, the number of its n-grams that are not frequent, and whether the n-gram is among the
     first `short_length`.
     """
     spark = texts.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, percent))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, percent, size))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         hot, rows = frequent.value
         seen, keys, salts, hots, nodes, infos = set(), [], [], [], [], []
-        for s in shingle_sets(batch.column("text")):
+        for s in shingle_sets(batch.column("text"), size):
             node = node_of(s)
             if not len(s) or node in seen:
                 continue
@@ -310,7 +315,7 @@ def trie_matches(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCE
     return found
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SIZE) -> DataFrame:
     """The pairs (a, b) that are similar, written. texts(node, text) has every node once.
 
     The texts of b go to blocks of a; a task reads the blocks one after the other and holds one at a time.
@@ -331,7 +336,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
         for part in (part for batch in batches for part in slices(batch, "text", SEGMENT)):
             for a, block, b, s in zip(part.column("a").to_pylist(), part.column("block").to_pylist(), part.column("b").to_pylist(),
-                                      shingle_sets(part.column("text"))):
+                                      shingle_sets(part.column("text"), size)):
                 if b is None:
                     if key is not None:
                         yield pa.RecordBatch.from_pydict(matches())
@@ -356,17 +361,17 @@ def wanted_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     return written(docs.join(F.broadcast(rows) if few else rows, "row_no").select("node", "text"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """(row_no, id, n_shingles, component_id) of every row. `docs` must be a table as read, so that row numbers repeat."""
     texts = numbered(docs, id_col, text_col)
-    nodes = node_rows(docs, id_col, text_col)
-    keys = shared_keys(prefix_keys(texts.select("text"), percent))
+    nodes = node_rows(docs, id_col, text_col, size)
+    keys = shared_keys(prefix_keys(texts.select("text"), percent, size))
     labelled = keys.withColumn("label", F.col("node"))
     links = None
     for turn in range(STAR_ROUNDS + 1):
         pairs = star_pairs(labelled, turn) if turn < STAR_ROUNDS else crossing_pairs(labelled)
         pairs = written(possible(pairs, percent))
-        found = verified(pairs, wanted_texts(pairs, nodes, texts), percent)
+        found = verified(pairs, wanted_texts(pairs, nodes, texts), percent, size)
         links = found if links is None else links.unionByName(found)
         groups = components(links)
         labelled = keys.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
@@ -379,9 +384,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One row of each group, the one with the smallest id (of repeated ids the first row); empty texts stay."""
-    rows = written(similar_groups(docs, id_col, text_col, percent))
+    rows = written(similar_groups(docs, id_col, text_col, percent, size))
     first = written(rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no")).alias("first"))
                     .select("component", F.col("first.row_no").alias("kept_row")))
     return drop_rows(docs, rows.join(first, "component").filter("row_no != kept_row"))

@@ -1,13 +1,15 @@
 """The pipeline against a plain version of its stages, stage contracts, and awkward input."""
+import itertools
 import sys
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ostinato.llm import quality_rules, toxicity
 from ostinato.llm.storage import written
-from plain import base_counts, lower, near_groups
+from plain import base_counts, groups_of, lower, near_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +81,25 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, tmp_path):
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "exact dedup", "n-gram Jaccard join", "packing"]
     assert "ostinato.llm" in sys.modules and quality_rules.HOST_LIMIT == 0.5
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    """Pairs that five-word shingles link at 0.8 and four-word shingles at 0.85 do not, against all pairs."""
+    rng = np.random.default_rng(3)
+
+    def similar(a, b, size=5, percent=80):
+        a, b = ({tuple(w[i:i + size]) for i in range(len(w) - size + 1)} for w in (a.split(), b.split()))
+        return 100 * len(a & b) >= percent * len(a | b)
+
+    texts = []
+    for every in (40, 44, 46, 48, 60) * 4:
+        base = [f"w{x}" for x in rng.integers(0, 9000, 480)]
+        texts += [" ".join(base), " ".join(f"x{k}" if k % every == every // 2 else w for k, w in enumerate(base))]
+    for extra in (80, 100, 118, 125):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 480)]
+        texts += [" ".join(base), " ".join(base[:200] + [f"y{x}" for x in rng.integers(0, 9000, extra)] + base[200:])]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(texts[a], texts[b])]
+    assert any(not similar(texts[a], texts[b], 4, 85) for a, b in pairs) and len(pairs) < len(texts) // 2
+    group = groups_of(pairs, range(len(texts)))
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == {d for d, g in group.items() if d == g}
