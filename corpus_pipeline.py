@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm import exact_dedup, ngram_join, packing, quality_rules, toxicity
 from ostinato.llm.batches import bucket_of
-from ostinato.llm.storage import drop_rows, written
+from ostinato.llm.storage import drop_rows, with_row_no, written
 
 TOXIC = 0.7
 NEAR_WORDS, NEAR_PERCENT = 5, 80      # word shingles of the near-duplicate stage; op9 has a contract of its own
@@ -26,7 +26,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(~F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))))
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
+    numbered = with_row_no(docs, "doc_id", "text")
     return drop_rows(docs, toxicity.score(numbered, model, keep=("row_no",)).filter(F.col("score") >= TOXIC))
 
 

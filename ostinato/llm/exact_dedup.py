@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.storage import drop_rows, written
+from ostinato.llm.storage import drop_rows, with_row_no, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS, FAN_IN = 64, 8
@@ -27,10 +27,9 @@ def fold_ascii(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_no, id, digest, size, check, run) of every row, written once; row numbers are fixed by the writing."""
+    """(row_no, id, digest, size, check, run) of every row, written once."""
     text = fold_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    return written(docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row_no"),
-                               F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"))
+    return written(with_row_no(docs, F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"))
                    .select("row_no", "id", "run", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("size"),
                            F.xxhash64("text").alias("check")))
 
@@ -63,5 +62,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows that stay, with all their columns. `docs` must be a table as read, so that row numbers repeat."""
+    """The rows that stay, with all their columns. `docs` must be a table as read."""
     return drop_rows(docs, exact_groups(docs, id_col, text_col, keep).filter("not kept"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.batches import flat, fold, map_texts, runs, slices
 from ostinato.llm.graph import components
-from ostinato.llm.storage import drop_rows, dropped, written
+from ostinato.llm.storage import as_read, drop_rows, dropped, with_row_no, written
 
 SIZE = 4                      # words of an n-gram
 PERCENT = 85
@@ -140,20 +140,20 @@ def short_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n + -(2 * percent * n) // (100 + percent) + COMMON)
 
 
-def node_rows(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
-    """(row_no, id, node, n) of every row, written."""
-    kind = dict(docs.dtypes)[id_col]
+def node_rows(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """(row_no, id, node, n) of every row of texts(row_no, id, text), written."""
+    kind = dict(texts.dtypes)["id"]
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column("text"), size)
         return {"row_no": batch.column("row_no"), "id": batch.column("id"), "node": pa.array([node_of(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64())}
 
-    return written(map_texts(numbered(docs, id_col, text_col), run, f"row_no long, id {kind}, node long, n long"))
+    return written(map_texts(texts, run, f"row_no long, id {kind}, node long, n long"))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_row_no(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -362,10 +362,12 @@ def wanted_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """(row_no, id, n_shingles, component_id) of every row. `docs` must be a table as read, so that row numbers repeat."""
+    """(row_no, id, n_shingles, component_id) of every row. `docs` must be a table as read."""
+    if not as_read(docs):
+        raise ValueError("texts are fetched by row number from a table as read only; write it first")
     texts = numbered(docs, id_col, text_col)
-    nodes = node_rows(docs, id_col, text_col, size)
-    keys = shared_keys(prefix_keys(texts.select("text"), percent, size))
+    nodes = node_rows(texts, size)
+    keys = shared_keys(prefix_keys(docs.select(F.col(text_col).alias("text")), percent, size))
     labelled = keys.withColumn("label", F.col("node"))
     links = None
     for turn in range(STAR_ROUNDS + 1):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.batches import map_texts
-from ostinato.llm.storage import written
+from ostinato.llm.storage import with_row_no, written
 from ostinato.llm.text_stats import base_counts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -67,8 +67,7 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are read once; what follows works on written counts. Host sums are partial sums, and the host table
     is written before the join, so a host with a third of all rows is split by Spark.
     """
-    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"),
-                           F.monotonically_increasing_id().alias("row_no"))
+    numbered = with_row_no(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     found = written(counts(numbered, "id", "text", ("host", "row_no")).selectExpr("*", *(f"{rule} as {name}" for name, rule in RULES.items())))
     failed = F.expr(" or ".join(RULES))
     hosts = written(found.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(failed.cast("long")).alias("failed")))

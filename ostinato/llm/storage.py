@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.session import forget, settled, shared_folder
@@ -24,11 +24,38 @@ def dropped(*tables: DataFrame) -> None:
         forget(df)
 
 
+ROW_BITS = 40                 # of a row number, for the row within its file
+
+
+def as_read(docs: DataFrame) -> bool:
+    """Whether `docs` is a table of files without any step after its reading."""
+    return docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+
+
+def with_row_no(docs: DataFrame, *columns: Column | str, name: str = "row_no") -> DataFrame:
+    """`columns` of `docs` and a number for each row.
+
+    Of a table as read the number is the place of the row's file among the table's files, by path, and of the row in
+    the file, so every scan gives the same numbers however it splits the files. The rows of other tables are numbered
+    as they come; those numbers hold within one job.
+    """
+    if not as_read(docs):
+        return docs.select(*columns, F.monotonically_increasing_id().alias(name))
+    path, row, known, place = (f"_{uuid.uuid4().hex}" for _ in range(4))
+    source = docs.metadataColumn("_metadata")
+    files = sorted(r[0] for r in docs.select(source["file_path"]).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"{known} string, {place} long")
+    rows = docs.select(*columns, source["file_path"].alias(path), source["row_index"].alias(row))
+    return (rows.join(F.broadcast(numbers), F.col(path) == F.col(known))
+            .withColumn(name, F.shiftleft(place, ROW_BITS) + F.col(row)).drop(path, row, known, place))
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, row_no: str = "row_no") -> DataFrame:
-    """`docs`, a table as read, without the rows whose numbers (monotonically_increasing_id) are in `gone`.
+    """`docs`, a table as read, without the rows whose numbers (`with_row_no`) are in `gone`.
 
     The names used for the join are new, so no column of `docs` clashes.
     """
+    if not as_read(docs):
+        raise ValueError("rows are dropped by number from a table as read only; write it first")
     own, other = (f"_{uuid.uuid4().hex}" for _ in range(2))
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(gone.select(F.col(row_no).alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
+    return with_row_no(docs, "*", name=own).join(gone.select(F.col(row_no).alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)
