@@ -248,6 +248,13 @@ def piece_logp(counts: DataFrame, path: str, rounds: int = ROUNDS, prior: float
     return logp
 
 
+def log_sum(x: Column, log_y: Column) -> Column:
+    """ln(max(x, 0) + y) from x and ln y, which may be far below the smallest double's."""
+    log_x = F.ln(x)
+    high, low = F.greatest(log_x, log_y), F.least(log_x, log_y)
+    return F.when(x > 0, high + F.log1p(F.exp(low - high))).otherwise(log_y)
+
+
 @dataclass
 class Smoothing:
     total: int                # N, tokens learnt, ends included
@@ -255,24 +262,23 @@ class Smoothing:
     discount: float
     strength: float
 
-    def share(self, c: Column, g: Column) -> Column:
-        """P(w) of a word with count c and lattice probability g."""
-        top = F.greatest(c - F.lit(self.discount), F.lit(0.0)) + F.lit(self.strength + self.discount * self.kinds) * g
-        return top / F.lit(self.total + self.strength)
+    def log_share(self, c: Column, log_g: Column) -> Column:
+        """ln P(w) of a word with count c and lattice log probability log_g."""
+        return log_sum(c - F.lit(self.discount), F.lit(math.log(self.strength + self.discount * self.kinds)) + log_g) - F.lit(math.log(self.total + self.strength))
 
     def base(self, c: Column) -> Column:
         return F.log10((c + F.lit(0.1)) / F.lit(self.total + 0.1 * (self.kinds + 1)))
 
 
 def smoothing(scored: DataFrame, texts: int) -> Smoothing:
-    """Discount and strength with the largest leave-one-out likelihood of the counts (word, c, g)."""
+    """Discount and strength with the largest leave-one-out likelihood of the counts (word, c, log_g)."""
     learnt = scored.filter("c > 0")
     n, v = learnt.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + texts, v + (texts > 0)
     if n < 2:
         return Smoothing(n, v, 0.0, 1.0)
     trials = [(d, t) for d in DISCOUNTS for t in STRENGTHS]
-    fits = learnt.agg(*[F.sum(F.col("c") * F.ln((F.greatest(F.col("c") - 1 - F.lit(d), F.lit(0.0)) + F.lit(t + d * v) * F.col("g")) / F.lit(n - 1 + t)))
+    fits = learnt.agg(*[F.sum(F.col("c") * (log_sum(F.col("c") - 1 - F.lit(d), F.lit(math.log(t + d * v)) + F.col("log_g")) - F.lit(math.log(n - 1 + t))))
                         for d, t in trials]).first()
     best = max(range(len(trials)), key=lambda k: -math.inf if fits[k] is None or math.isnan(fits[k]) else fits[k])
     return Smoothing(n, v, *trials[best])
@@ -296,10 +302,15 @@ def lgamma_column(x: Column) -> Column:
 
 def rising(p: np.ndarray, times: np.ndarray) -> np.ndarray:
     """ln of BURST p (BURST p + 1) ... over `times` factors."""
-    a = BURST * p
-    out = np.log(a)
+    return log_rising(np.log(p), times)
+
+
+def log_rising(log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The same from ln p; only the first factor needs p beyond the range of doubles."""
+    out = math.log(BURST) + log_p
     more = times > 1
-    out[more] = lgamma(a[more] + times[more].reshape(-1, *[1] * (p.ndim - 1))) - lgamma(a[more])
+    a = np.exp(out[more])
+    out[more] += lgamma(a + times[more].reshape(-1, *[1] * (log_p.ndim - 1))) - lgamma(a + 1)
     return out
 
 
@@ -333,21 +344,21 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
         table = pieces(path)
         for batch in batches:
             found = [Lattice(words, table).marginal(logp) for words in chunks(batch.column("word").to_pylist())]
-            g = (1 - END_SHARE) * np.exp(np.maximum(np.concatenate(found), -700.0)) if found else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("word", "c", *names)} | {"g": pa.array(g)})
+            log_g = math.log(1 - END_SHARE) + np.concatenate(found) if found else np.zeros(0)
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("word", "c", *names)} | {"log_g": pa.array(log_g)})
 
-    scored = written(counts.mapInArrow(lattice, ", ".join(["word string", "c long", *(f"{n} long" for n in names), "g double"])))
+    scored = written(counts.mapInArrow(lattice, ", ".join(["word string", "c long", *(f"{n} long" for n in names), "log_g double"])))
     texts = rows.filter("learn").count()
     rule = smoothing(scored, texts)
     held = [sizes[name] for name in number] or [0]
     words_of = scored.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
     total = [int(w) + n for w, n in zip(words_of, held)]
 
-    def shares(c: list[Column], all_c: Column, g: Column) -> list[Column]:
-        plain = rule.share(all_c, g)
-        return [F.lit(OWN / n) * one + F.lit(1 - OWN) * plain if n else plain for one, n in zip(c, total)]
+    def log_shares(c: list[Column], all_c: Column, log_g: Column) -> list[Column]:
+        plain = rule.log_share(all_c, log_g)
+        return [log_sum(F.lit(OWN / n) * one, F.lit(math.log(1 - OWN)) + plain) if n else plain for one, n in zip(c, total)]
 
-    probability = [p.alias(f"p{k}") for k, p in enumerate(shares([F.col(n) for n in names], F.col("c"), F.col("g")))]
+    probability = [p.alias(f"p{k}") for k, p in enumerate(log_shares([F.col(n) for n in names], F.col("c"), F.col("log_g")))]
     priced = scored.select("word", (F.col("c") > 0).cast("int").alias("known"), rule.base(F.col("c")).alias("base"), "c", *probability)
     # the most frequent words, all counts of one power of two or none, at most `head` of them
     found = sorted(((r["k"], r["n"]) for r in scored.filter("c > 0").groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -359,8 +370,8 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
     columns = [f"p{k}" for k in range(classes)]
     top = (priced.filter(F.col("c") >= least) if least else priced.filter("false")).select("word", "base", *columns).toArrow()
     shared = spark.sparkContext.broadcast((top["word"].combine_chunks(), top["base"].to_numpy(), np.stack([top[c].to_numpy() for c in columns], axis=1)))
-    end = spark.range(1).select(rule.base(F.lit(texts)), *shares([F.lit(n) for n in held], F.lit(texts), F.lit(END_SHARE))).first()
-    end_log = [math.log(BURST * p) for p in end[1:]]
+    end = spark.range(1).select(rule.base(F.lit(texts)), *log_shares([F.lit(n) for n in held], F.lit(texts), F.lit(math.log(END_SHARE)))).first()
+    end_log = [math.log(BURST) + p for p in end[1:]]
     prior = [math.log((n + 1) / (sum(held) + len(held))) for n in held]
     logs = [f"l{k}" for k in range(classes)]
 
@@ -374,7 +385,7 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
         place = pc.index_in(vocabulary, value_set=head_word).fill_null(-1).to_numpy(zero_copy_only=False)[pair % wide]
         hit = place >= 0
         row, often, place = pair[hit] // wide, times[hit], place[hit]
-        grown = rising(head_p[place], often)
+        grown = log_rising(head_p[place], often)
         size = words.count + 1
         spread = lgamma(size + BURST) - lgamma(np.full(n, BURST))
         rest, rest_times = pair[~hit], times[~hit]
@@ -400,8 +411,9 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
     joined = stream.join(rare, "word", "left")
 
     def grown_column(p):
-        a = F.lit(BURST) * F.col(p)
-        return F.when(F.col("times") == 1, F.ln(a)).otherwise(lgamma_column(a + F.col("times")) - lgamma_column(a))
+        log_a = F.lit(math.log(BURST)) + F.col(p)
+        a = F.exp(log_a)
+        return log_a + F.when(F.col("times") == 1, F.lit(0.0)).otherwise(lgamma_column(a + F.col("times")) - lgamma_column(a + 1))
 
     def text_and_words(name, of_word):
         return (F.max(name) + F.coalesce(F.sum(of_word), F.lit(0))).alias(name)

@@ -208,6 +208,44 @@ def test_score_is_the_chain_of_words(spark):
     assert min(abs(x - scores[0][4]) for x in found) < 1e-9
 
 
+def longhand(docs, text):
+    """Scores of a text under learning texts [(text, class)], one for each discount and strength, summed over the classes in log space."""
+    own = [(words_of(t) + [" "], k) for t, k in docs]
+    every = [w for t, _ in own for w in t]
+    kinds = {k: sum(c == k for _, c in own) for _, k in own}
+    price = [*text.split(), " "]
+    table = lm.pieces(PIECES)
+    words = sorted(set(price) - {" "})
+    g = dict(zip(words, math.log(1 - lm.END_SHARE) + lm.Lattice(words, table).marginal(np.log(table.start)))) | {" ": math.log(lm.END_SHARE)}
+    ln = lambda x: math.log(x) if x > 0 else -math.inf
+    for d in lm.DISCOUNTS:
+        for t in lm.STRENGTHS:
+            ways = []
+            for k, n in kinds.items():
+                mine = [w for words, c in own if c == k for w in words]
+                total, seen = math.log((n + 1) / (len(own) + len(kinds))), []
+                for w in price:
+                    plain = np.logaddexp(ln(max(every.count(w) - d, 0)), math.log(t + d * len(set(every))) + g[w]) - math.log(len(every) + t)
+                    p = np.logaddexp(ln(lm.OWN * mine.count(w) / len(mine)), math.log(1 - lm.OWN) + plain)
+                    total += np.logaddexp(ln(seen.count(w)), math.log(lm.BURST) + p) - math.log(lm.BURST + len(seen))
+                    seen.append(w)
+                ways.append(total)
+            yield np.logaddexp.reduce(ways) / math.log(10)
+
+
+def test_long_unseen_words_cost_what_they_hold(spark):
+    """Words whose probability is below the smallest double, once and repeated, with the words of the head and without."""
+    rng = np.random.default_rng(5)
+    long = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n)) for n in (3000, 4000)]
+    learn = [("a b", "x"), ("b c", "x")]
+    texts = {10: long[0], 11: f"a {long[1]} b {long[1]} {long[1]}"}
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(learn)] + [(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string")
+    for head in (0, 100):
+        got = {r.doc_id: r.score for r in lm.lm_score(docs, F.col("doc_id") < 10, PIECES, class_col="lang", head=head, rounds=0).collect()}
+        assert got[10] < -2000 and got[11] < got[10]
+        assert all(min(abs(x - got[k]) for x in longhand(learn, t)) < 1e-6 for k, t in texts.items())
+
+
 @pytest.mark.parametrize("head", [0, 300_000])
 def test_lm_score(spark, head):
     rng = np.random.default_rng(8)
