@@ -11,7 +11,8 @@ Counts of words are smoothed with that lattice (a discount d and a strength t, c
 likelihood of the counts): P(w) = (max(c - d, 0) + (t + d V) G(w)) / (N + t), G the lattice probability.
 
 A text belongs to a class that is not known, such as its language: with the counts c_k of the learning texts of
-class k, P_k(w) = OWN c_k / N_k + (1 - OWN) P(w). Words of a text repeat: after n words, m of them w, the next is w
+class k, P_k(w) = OWN c_k / N_k + (1 - OWN) P(w). Every class has counts of its own, and the texts without a label
+are one more class. Words of a text repeat: after n words, m of them w, the next is w
 with probability (m + BURST P_k(w)) / (BURST + n). The probability of the text is the sum over the classes, by
 their shares of the learning texts. All of this is a probability over every possible text.
 
@@ -46,7 +47,7 @@ ROUNDS = 2
 PRIOR = 2_000.0               # expected counts that the vocabulary's own scores are worth
 OWN = 0.8                     # weight of the class's own counts
 BURST = 1600.0                # words that the model is worth against those of the text itself
-CLASSES = 8                   # most frequent classes that have counts of their own
+CLASSES = 8                   # classes from which batches and the head shrink, so that memory stays
 DISCOUNTS = (0.0, 0.2, 0.4, 0.6, 0.8)
 STRENGTHS = (1.0, 100.0, 10_000.0)
 BATCH_BYTES = 12 << 20
@@ -222,7 +223,8 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
         out = {"word": words.vocabulary.filter(pa.array(used)).cast(pa.string()), "c": pa.array(np.bincount(words.codes[learn], minlength=size)[used], pa.int64())}
         return out | {f"c{k}": pa.array(np.bincount(words.codes[learn & (own == k)], minlength=size)[used], pa.int64()) for k in range(classes)}
 
-    found = map_texts(docs.select("text", "learn", "class"), run, ", ".join(["word string", *(f"{n} long" for n in names)]), limit=BATCH_BYTES)
+    limit = BATCH_BYTES * CLASSES // max(CLASSES, classes)
+    found = map_texts(docs.select("text", "learn", "class"), run, ", ".join(["word string", *(f"{n} long" for n in names)]), limit=limit)
     return found.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -315,9 +317,9 @@ def log_rising(log_p: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def class_numbers(rows: DataFrame) -> tuple[dict, dict]:
-    """Numbers of the most frequent classes of the learning texts, and all classes' texts (null for none)."""
-    sizes = {r["class"]: r["n"] for r in rows.filter("learn").groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").limit(CLASSES + 1).collect()}
-    return {name: k for k, name in enumerate([n for n in sizes if n is not None][:CLASSES])}, sizes
+    """Numbers and sizes of all classes of the learning texts; texts without a label (null) are a class of their own."""
+    found = rows.filter("learn").groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").collect()
+    return {r["class"]: k for k, r in enumerate(found)}, {r["class"]: r["n"] for r in found}
 
 
 def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None,
@@ -330,12 +332,14 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"),
                        F.monotonically_increasing_id().alias("row_no"), (F.col(class_col) if class_col else F.lit(None)).cast("string").alias("class"))
-    number, sizes = class_numbers(rows)
+    number, sizes = class_numbers(rows) if class_col else ({}, {})
     classes = max(1, len(number))
-    own = F.lit(None).cast("int")
-    for name, k in number.items():
-        own = F.when(F.col("class") == F.lit(name), F.lit(k)).otherwise(own)
+    own = F.lit(number.get(None)).cast("int")
+    named = [F.lit(x) for name, k in number.items() if name is not None for x in (name, k)]
+    if named:
+        own = F.coalesce(F.try_element_at(F.create_map(*named), F.col("class")), own)
     rows = rows.withColumn("class", own)
+    head, batch_bytes = (max(1, n * CLASSES // max(CLASSES, classes)) if n else 0 for n in (head, BATCH_BYTES))
     counts = written(word_counts(rows, classes))
     logp = piece_logp(counts, path, rounds)
     names = [f"c{k}" for k in range(classes)]
@@ -406,7 +410,7 @@ def lm_score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id",
                       for k, name in enumerate(logs)}
 
     stream = map_texts(rows.drop("class"), run, f"row_no long, word string, times long, id {kind}, learn boolean, n_tokens long, known long, base double, "
-                       + ", ".join(f"{n} double" for n in logs), limit=BATCH_BYTES)
+                       + ", ".join(f"{n} double" for n in logs), limit=batch_bytes)
     rare = (priced.filter(F.col("c") < least) if least else priced).select("word", F.col("known").alias("w_known"), F.col("base").alias("w_base"), *columns)
     joined = stream.join(rare, "word", "left")
 

@@ -246,6 +246,18 @@ def test_long_unseen_words_cost_what_they_hold(spark):
         assert all(min(abs(x - got[k]) for x in longhand(learn, t)) < 1e-6 for k, t in texts.items())
 
 
+@pytest.mark.parametrize("head", [0, 100])
+def test_every_class_has_counts(spark, head):
+    """Twelve classes of falling size and unlabelled texts: a text of each is scored with that class's own counts."""
+    learn = [(f"k{k} l{k} both", f"lang{k}") for k in range(12) for _ in range(13 - k)] + [("u v both", None)] * 2
+    texts = {100 + k: f"k{k} both l{k}" for k in range(12)} | {112: "u both v u"}
+    rows = [(k, *r) for k, r in enumerate(learn)] + [(k, t, None) for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lm.lm_score(docs, F.col("doc_id") < 100, PIECES, class_col="lang", head=head, rounds=0).collect()}
+    want = {k: list(longhand(learn, t)) for k, t in texts.items()}
+    assert min(max(abs(x - got[k]) for x, k in zip(trial, texts)) for trial in zip(*(want[k] for k in texts))) < 1e-9
+
+
 @pytest.mark.parametrize("head", [0, 300_000])
 def test_lm_score(spark, head):
     rng = np.random.default_rng(8)
