@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -15,6 +17,7 @@ from ostinato.operators.metrics import evaluate
 from ostinato.operators.ordering import positions, running_sums
 from ostinato.operators.registry import best_trial
 from ostinato.operators.skew import attach, row_count
+from ostinato.session import shared_folder
 
 
 def check_features(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,10 +82,11 @@ def ridge_pipeline(train: DataFrame, columns: Sequence[str], alpha: float, label
 
 def gbt_pipeline(train: DataFrame, columns: Sequence[str], depth: int, label: str = "grade", rounds: int = 300,
                  rate: float = 0.05, min_rows: int = 20, seed: int = 42) -> PipelineModel:
-    """Boosted regression trees on squared error; the depth bounds a tree."""
+    """Boosted regression trees on squared error; the depth bounds a tree. Rounds are checkpointed to the shared folder."""
+    shared_folder(train.sparkSession)
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features"),
               GBTRegressor(labelCol=label, predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=rate,
-                           minInstancesPerNode=min_rows, seed=seed)]
+                           minInstancesPerNode=min_rows, checkpointInterval=10, seed=seed)]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -97,12 +101,17 @@ def score(model: PipelineModel, table: DataFrame, columns: Sequence[str]) -> Dat
 
 def select_model(table: DataFrame, columns: Sequence[str], params: Iterable[float],
                  fit: Callable[[DataFrame, Sequence[str], float], PipelineModel]) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Fit on part train for each parameter, choose on part val: (model, trials, validation predictions)."""
+    """Fit on part train for each parameter, choose on part val: (model, trials, validation predictions).
+
+    The fits run at the same time, as their many small jobs wait more than they work.
+    """
     used = table.select("id", "grade", "part", *columns).cache()
     train, val = used.filter("part = 'train'"), used.filter("part = 'val'")
-    models, trials = {}, None
-    for param in sorted(set(params)):
-        models[param] = fit(train, columns, param)
+    params, trials = sorted(set(params)), None
+    with ThreadPoolExecutor(max(1, len(params))) as pool:
+        fits = [pool.submit(inheritable_thread_target(table.sparkSession)(fit), train, columns, param) for param in params]
+        models = {param: one.result() for param, one in zip(params, fits)}
+    for param in params:
         row = evaluate(score(models[param], val, columns), truth="grade").withColumn("param", F.lit(float(param)))
         trials = row if trials is None else trials.unionByName(row)
     trials = trials.sparkSession.createDataFrame(trials.collect(), trials.schema)  # one row per candidate

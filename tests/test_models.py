@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from ostinato.operators import models
+from ostinato.plans import queries
 
 
 def table(spark, n=120, seed=0):
@@ -96,3 +97,14 @@ def test_padding(spark, small_tasks):
                    (0, "b", 1, [0.0, 0.0], False), (1, "c", 0, [7.0, 8.0], True)]
     with pytest.raises(ValueError, match="channels"):
         models.pad_batches(fr.withColumn("values", F.expr("case when id = 'b' then array(1D) else values end")), batches)
+
+
+def test_boosting_query_runs_the_whole_grid(spark, monkeypatch):
+    asked, fit = [], models.gbt_pipeline
+
+    def few_rounds(train, columns, depth, label="grade", rounds=300, **more):
+        asked.append((depth, rounds))
+        return fit(train, columns, depth, label, 2, **more)
+    monkeypatch.setattr(models, "gbt_pipeline", few_rounds)
+    assert queries.QUERIES["gbt_predictions"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(asked) == [(depth, 300) for depth in (3, 4, 5, 6, 7)]
