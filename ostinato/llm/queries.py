@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import bpe, exact_dedup, langid, lm, ngram_join, packing, quality_gbt, quality_rules, token_records, toxicity, warc
+from ostinato.llm import bpe, conversation_repair, exact_dedup, langid, lm, ngram_join, packing, quality_gbt, quality_rules, spelling, token_records, toxicity, warc
 from ostinato.llm.batches import bucket_of
 
 QUERIES = {}
@@ -127,11 +127,22 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf, "conversations"))
+
+
 @query("op12_token_records")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return token_records.token_round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), spoil=True)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
