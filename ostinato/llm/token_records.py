@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with masked checksums, and an offset index for shuffled reads.
 
 A record is framed as the public record format of that kind does it: length (8 bytes), masked CRC-32C of the length,
-payload, masked CRC-32C of the payload. The payload is the document id, whether there is one, the number of ids and
-the ids, all little-endian. Documents are dealt out by ranges of their id; a task writes its range in order into
+payload, masked CRC-32C of the payload. The payload is the document id, whether there is one, the bytes of an id (2 for
+vocabularies of at most 65,536, else 4), the number of ids and the ids, all little-endian. Documents are dealt out by ranges of their id; a task writes its range in order into
 files of bounded size, each with an index file of its own that holds offset and length of every frame. A file counts
 only once it is closed and renamed and stands in the written list, so files of lost or repeated tasks are never read.
 Sequential reads go through a file in pieces, shuffled reads seek by the index; both verify both checksums.
@@ -18,6 +18,7 @@ import functools
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm.batches import slices
-from ostinato.llm.bpe import BATCH_BYTES, Encoder, merge_table
+from ostinato.llm.batches import LIMIT, slices
+from ostinato.llm.bpe import Encoder, merge_table
 from ostinato.llm.storage import step_path, written
 from ostinato.llm.warc import open_folder
 from ostinato.operators.ordering import running_sums
@@ -116,23 +117,32 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> 15) | (crc << 17)) + np.uint32(MASK)
 
 
-def frames(doc_ids: pa.Array, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Framed records of `ids` between the row bounds as bytes, and the bounds of the frames."""
+def frames(doc_ids: pa.Array, ids: np.ndarray, rows: np.ndarray, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Framed records of `ids` between the row bounds as bytes, and the bounds of the frames; an id takes `width` bytes, 2 or 4."""
     count = np.diff(rows)
-    words = (HEAD + FIXED + TAIL) // 4 + count
-    ends = np.cumsum(words)
-    first = ends - words
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-    payload = FIXED + 4 * count
+    halves = (HEAD + FIXED + TAIL) // 2 + count * (width // 2)        # everything is laid out in units of two bytes
+    ends = np.cumsum(halves)
+    first = ends - halves
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, "<u2")
+
+    def put(at, values, units):
+        for k in range(units):
+            out[at + k] = values >> (16 * k) & 0xFFFF
+
+    payload = FIXED + width * count
     known = np.array(doc_ids.is_valid())
-    named = np.ascontiguousarray(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")).view(np.uint32).reshape(-1, 2)
-    out[first], out[first + 1] = payload & 0xFFFFFFFF, payload >> 32
-    out[first + 3], out[first + 4], out[first + 5], out[first + 6] = named[:, 0], named[:, 1], known, count
-    out[_ranges(first + 7, count)] = ids
+    named = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    put(first, payload, 4)
+    put(first + HEAD // 2, named, 4)
+    put(first + HEAD // 2 + 4, known, 1)
+    put(first + HEAD // 2 + 5, width, 1)
+    put(first + HEAD // 2 + 6, count, 2)
+    body = np.ascontiguousarray(ids.astype(f"<u{width}")).view("<u2")
+    out[_ranges(first + (HEAD + FIXED) // 2, count * (width // 2))] = body
     data = out.view(np.uint8)
-    out[first + 2] = masked(crc32c(data, 4 * first, np.full(len(first), 8)))
-    out[ends - 1] = masked(crc32c(data, 4 * first + HEAD, payload))
-    return data, 4 * np.concatenate(([0], ends))
+    put(first + 4, masked(crc32c(data, 2 * first, np.full(len(first), 8))), 2)
+    put(ends - 2, masked(crc32c(data, 2 * first + HEAD, payload)), 2)
+    return data, 2 * np.concatenate(([0], ends))
 
 
 def checked(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
@@ -146,7 +156,9 @@ def checked(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
 
 
 class LibraryIds(Encoder):
-    """Ids of the tokenizers library: each distinct word of a batch is encoded by it once."""
+    """Ids of the tokenizers library: it encodes each distinct word of a batch once, and those lately met not again."""
+
+    KNOWN, AT_ONCE = 300_000, 20_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -155,13 +167,24 @@ class LibraryIds(Encoder):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         base = merge_table(path)
         self.table = type("Table", (), {"special": base.special, "pattern": base.pattern, "spaced": base.spaced, "merge": self.merge})
 
     def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch(words.cast(pa.string()).to_pylist(), add_special_tokens=False)]
-        at = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
-        return np.fromiter((i for x in found for i in x), np.int64, int(at[-1])), at
+        names = words.to_pylist()
+        new = [w for w in names if w not in self.known]
+        if len(self.known) + len(new) > self.KNOWN:
+            self.known.clear()
+            new = names
+        for k in range(0, len(new), self.AT_ONCE):
+            some = new[k:k + self.AT_ONCE]
+            for word, found in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.known[word] = array("I", found.ids).tobytes()
+        parts = list(map(self.known.__getitem__, names))
+        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)))
+        return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64), at
 
 
 @functools.cache
@@ -204,9 +227,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, id
             done.append((name, records, tokens, size))
 
         for batch in batches:
-            for part in slices(batch, "text", BATCH_BYTES):
+            for part in slices(batch, "text", LIMIT):
                 ids, bounds = with_end(*library_ids(tokenizer).encode(part.column("text")), end)
-                data, cuts = frames(part.column("doc_id"), ids, bounds)
+                data, cuts = frames(part.column("doc_id"), ids, bounds, library_ids(tokenizer).width)
                 k = 0
                 while k < part.num_rows:
                     if handle is None:
@@ -235,12 +258,13 @@ def _columns(data: np.ndarray, at: np.ndarray, size: np.ndarray, starts, with_id
         head = data[a + HEAD:a + HEAD + FIXED]
         doc.append(int(head[:8].copy().view("<i8")[0]))
         known.append(bool(head[8]))
+        width = int(head[10])
         count.append(int(head[12:].copy().view("<u4")[0]))
-        body = memoryview(data[a + HEAD + FIXED:a + HEAD + n])
-        if len(body) != 4 * count[-1]:
+        if width not in (2, 4) or n != FIXED + width * count[-1]:
             raise ValueError("a record holds another number of ids than it says")
+        body = data[a + HEAD + FIXED:a + HEAD + n].copy().view(f"<u{width}").astype("<u4", copy=False).tobytes()
         crc.append(zlib.crc32(body))
-        raw.append(body.tobytes() if with_ids else None)
+        raw.append(body if with_ids else None)
     count = np.array(count, np.int64)
     before = pa.nulls(len(at), pa.int64()) if starts is None else pa.array(starts + np.cumsum(count) - count, pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=~np.array(known, bool)), before, pa.array(count), pa.array(crc, pa.int64()),
