@@ -33,7 +33,20 @@ def counted(rows, spoil):
     return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
 
 
-def plain(counts):
+def all_edits(words):
+    """Near words by trying every edit of every word; for many words."""
+    letters = {c for w in words for c in w}
+    found = {}
+    for w in words:
+        halves = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        tried = {a + b[1:] for a, b in halves if b} | {a + c + b[k:] for a, b in halves for c in letters for k in (0, 1) if len(b) >= k}
+        found[w] = [x for x in tried if x != w and x in words]
+    return found
+
+
+def plain(counts, links=None):
+    if links is not None:
+        return with_forms(counts, links)
     by_length, links = {}, {w: [] for w in counts}
     for w in counts:
         by_length.setdefault(len(w), []).append(w)
@@ -42,6 +55,10 @@ def plain(counts):
             if near(a, b):
                 links[a].append(b)
                 links[b].append(a)
+    return with_forms(counts, links)
+
+
+def with_forms(counts, links):
     form = {}
     for w, others in links.items():
         best = min(others, key=lambda x: (-counts[x], x), default=None)
@@ -73,8 +90,8 @@ def test_against_all_pairs(spark, per_task, spoil):
     rows = [*made_texts(per_task), (None, "Queueing queueing queueing QUEUEING", None, 1), (None, None, None, 1), (3, "", None, 1),
             (4, "aaaaaa aaaaaa aaaaaa aaaaa aaaaa aaaaa aaaaa aaaaa aaaaa aaaaa aaaaaaa aaaaaaa aaaaaaa", "x", 2), (5, "ÉTÉS-étésé × ÷÷÷÷÷ ÷÷÷÷÷ ÷÷÷÷÷", "x", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string, n long")
-    got = answered(spelling.spelling_variants(docs, spoil=spoil, per_task=per_task))
-    assert got == plain(counted([r[:2] for r in rows], spoil)) and any(r[1] for r in got)
+    got, counts = answered(spelling.spelling_variants(docs, spoil=spoil, per_task=per_task)), counted([r[:2] for r in rows], spoil)
+    assert got == plain(counts) == plain(counts, all_edits(counts)) and any(r[1] for r in got)
 
 
 @pytest.mark.parametrize("per_task", [1, 3, 1000])
@@ -102,4 +119,5 @@ def test_very_long_runs_and_empty(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert answered(queries.QUERIES["op13_spelling_variants"](spark, sf)) == plain(counted(rows, True))
+    counts = counted(rows, True)
+    assert answered(queries.QUERIES["op13_spelling_variants"](spark, sf)) == plain(counts, all_edits(counts))
