@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.operators.blocks import BLOCK, CORE, with_halo
+from ostinato.operators.blocks import BLOCK, CORE, DEFAULT_BLOCK, with_halo
 from ostinato.operators.ordering import exact_percentiles, previous
 from ostinato.operators.skew import ROWS, attach
 from ostinato.operators.windows import series_lengths, window_strength, window_table
+from ostinato.session import forget, settled
 
 # The tempo prior and its range.
 TEMPO_CENTRE = 120.0
@@ -252,3 +254,61 @@ def local_peaks(envelope: DataFrame, before: int, after: int, mean_before: int,
     if after:
         peak &= F.coalesce(x >= F.col("_after"), F.lit(True))
     return seen.filter(F.col(CORE) & peak).select("id", "frame", value)
+
+
+def spaced_peaks(peaks: DataFrame, gap: int, value: str = "strength", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The peaks that are left when of two at most `gap` frames apart the stronger stays, then the earlier; strongest first.
+
+    A peak is settled once all stronger ones around it are. A block of frames, with its neighbours' peaks in reach, settles
+    what depends on nothing open outside; the rest is settled in rounds over written rows. The strongest open
+    peak is settled in every round, mostly almost all of them.
+    """
+    if gap < 0:
+        raise ValueError("a gap is not negative")
+    kind = peaks.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, frame long, value double, kept boolean, source {peaks.schema[value].dataType.simpleString()}"
+    here = peaks.select("id", F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("value"), F.lit(None).cast("boolean").alias("kept"),
+                        F.col(value).alias("source"))
+    written = None
+    while True:
+        around = with_halo(here, "frame", gap, gap, block).select("id", BLOCK, "frame", "value", "kept", "source", CORE)
+        grouped = around.repartition("id", BLOCK).sortWithinPartitions("id", BLOCK, "frame")
+        further = settled(grouped.mapInArrow(lambda batches: _settle_peaks(batches, gap), schema))
+        if written is not None:
+            forget(written)
+        here = written = further
+        if not here.filter("kept is null").limit(1).count():
+            return here.filter("kept").select("id", "frame", F.col("source").alias(value))
+
+
+def _settle_peaks(batches, gap: int):
+    """The own peaks of each block with what could be settled; the input is sorted by id, block and frame."""
+    def settle(rows: pa.Table) -> pa.Table:
+        frame, value = rows.column("frame").to_numpy(), rows.column("value").to_numpy()
+        own = rows.column(CORE).to_numpy(zero_copy_only=False).astype(bool)
+        state = [None if s is None else bool(s) for s in rows.column("kept").to_pylist()]
+        first, last = np.searchsorted(frame, frame - gap, "left"), np.searchsorted(frame, frame + gap, "right")
+        for k in np.lexsort((frame, -value)).tolist():
+            if state[k] is not None or not own[k]:
+                continue
+            stronger = [state[j] for j in range(first[k], last[k]) if (value[j], -frame[j]) > (value[k], -frame[k])]
+            if True in stronger:
+                state[k] = False
+            elif None not in stronger:
+                state[k] = True
+        out = rows.select(["id", "frame", "value", "kept", "source"]).set_column(3, "kept", pa.array(state, pa.bool_()))
+        return out.filter(pa.array(own))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(batch.column("id").to_pylist(), batch.column(BLOCK).to_pylist()))
+        cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if held and (held[0].column("id")[0].as_py(), held[0].column(BLOCK)[0].as_py()) != keys[a]:
+                yield from settle(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from settle(pa.Table.from_batches(held)).to_batches()

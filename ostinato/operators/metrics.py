@@ -6,7 +6,7 @@ running counts over the scores are taken with `running_sums`, which splits a mod
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,3 +141,19 @@ def verify_predictions(predictions: DataFrame, members: DataFrame, reported: Dat
     metrics = pairs.filter(~is_close(F.col("m.a"), F.col("m.b"), rtol, atol)).select(
         F.col("m.name").alias("subject"), F.lit("metric_differs").alias("problem"))
     return rows.unionByName(metrics)
+
+
+def verify_release(predictions: DataFrame, members: DataFrame, reported: DataFrame, claims: Mapping[str, object], split: DataFrame,
+                   split_sha256: str, seed: int, rtol: float = 1e-6, atol: float = 1e-7) -> DataFrame:
+    """`verify_predictions` and the claims of a saved run against the split it has to come from: subject, problem.
+
+    claims holds split_sha256, seed and n_<part> of the run; a claim that is missing differs. split is (id, part).
+    """
+    sizes = {f"n_{r['part']}": r["n"] for r in split.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}     # a few parts
+    expected = {"split_sha256": split_sha256, "seed": seed, **sizes}
+    unknown = {k for k in claims if k.startswith("n_") and k not in expected}
+    wrong = sorted({k for k, v in expected.items() if claims.get(k) != v} | unknown)
+    found = verify_predictions(predictions, members, reported, rtol, atol)
+    if not wrong:
+        return found
+    return found.unionByName(predictions.sparkSession.createDataFrame([(k, f"{k}_differs") for k in wrong], "subject string, problem string"))

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ostinato.functions.columns import is_bad_number
 from ostinato.operators.metrics import evaluate
 from ostinato.operators.ordering import positions, running_sums
 from ostinato.operators.registry import best_trial
 from ostinato.operators.skew import attach, row_count
-from ostinato.session import shared_folder
+from ostinato.operators.trees import BoostedTrees, _matrix, feature_rows, fit_boosted_trees, score_trees
+from ostinato.session import forget, settled, shared_folder
+
+
+def _unusable(table: DataFrame, columns: Iterable[str]) -> Column:
+    """Whether a row lacks a value, or has a number that is not finite, in one of the columns."""
+    columns = list(columns)
+    numbers = [F.col(c).cast("double") for c in columns if isinstance(table.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    lacking = F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda x: x) if columns else F.lit(False)
+    return lacking | F.coalesce(F.exists(F.array(*numbers), is_bad_number), F.lit(False)) if numbers else lacking
 
 
 def check_features(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Violations of a feature table: repeated ids and values that are no finite numbers."""
-    bad = F.lit(False)
-    for c in columns:
-        bad = bad | F.col(c).isNull() | is_bad_number(F.col(c).cast("double"))
+    """Violations of a feature table: repeated ids, missing values and numbers that are not finite."""
+    bad = _unusable(table, columns)
     per_id = table.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(bad).alias("_bad"))
     problem = F.when(F.col("_n") > 1, "duplicate_id").when(F.col("_bad"), "not_finite")
     return per_id.select("id", problem.alias("problem")).filter("problem is not null")
@@ -33,20 +44,17 @@ def check_features(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 def assemble_features(truth: DataFrame, tables: Iterable[DataFrame]) -> DataFrame:
     """Columns of all tables side by side for the ids of truth(id, grade).
 
-    Each table has id and grade. A missing or repeated id, another grade or none, and a value that is no finite
-    number fail the job, whichever table it is in.
+    Each table has id and grade. A missing or repeated id, another grade or none, a missing value and a number that
+    is not finite fail the job, whichever table it is in. Features of any type pass as they are.
     """
     out = truth.select("id", "grade")
     for i, table in enumerate(tables):
-        bad = F.lit(False)
-        for c in table.columns:
-            if c not in ("id", "grade"):
-                bad = bad | F.col(c).isNull() | is_bad_number(F.col(c).cast("double"))
+        bad = _unusable(table, (c for c in table.columns if c not in ("id", "grade")))
         rows = F.count(F.lit(1)).over(Window.partitionBy("id"))      # on the shuffle that the join needs anyway
         side = table.withColumn(f"_in{i}", rows).withColumn(f"_bad{i}", bad).withColumnRenamed("grade", f"_g{i}")
         absent, differs, repeated, unusable = (
             F.raise_error(F.concat(F.lit(f"{what} feature table {i}: "), F.col("id").cast("string"))).cast("int")
-            for what in ("missing in", "label differs in", "repeated in", "no finite number in"))
+            for what in ("missing in", "label differs in", "repeated in", "no usable value in"))
         grade = F.when(F.col(f"_in{i}").isNull(), absent).when(
             ~F.coalesce(F.col(f"_g{i}") == F.col("grade"), F.lit(False)), differs).when(F.col(f"_in{i}") > 1, repeated).when(
             F.col(f"_bad{i}"), unusable).otherwise(F.col("grade"))
@@ -54,6 +62,28 @@ def assemble_features(truth: DataFrame, tables: Iterable[DataFrame]) -> DataFram
     return out
 
 
+def stack_features(truth: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> tuple[DataFrame, list[str]]:
+    """One feature array per id of truth(id, grade), from tables of (id, grade, features array<double>) with their names.
+
+    The plan has the same size for any number of features. A table is brought to one row per id first, so a repeated
+    id is seen without a window over it. Errors as with `assemble_features`, and an array of another length than its names.
+    """
+    names = [n for _, own in tables for n in own]
+    if len(set(names)) < len(names):
+        raise ValueError("feature names repeat")
+    out = truth.select("id", "grade")
+    for i, (table, own) in enumerate(tables):
+        values = F.col("features").cast("array<double>")
+        bad = F.coalesce((F.size(values) != len(own)) | F.exists(values, lambda x: x.isNull() | is_bad_number(x)), F.lit(True))
+        side = table.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("grade").alias("_g"), F.max(values).alias("_f"), F.bool_or(bad).alias("_bad"))
+        stop = lambda what, i=i: F.raise_error(F.concat(F.lit(f"{what} feature table {i}: "), F.col("id").cast("string"))).cast("int")
+        grade = F.when(F.col("_n").isNull(), stop("missing in")).when(F.col("_n") > 1, stop("repeated in")).when(
+            ~F.coalesce(F.col("_g") == F.col("grade"), F.lit(False)), stop("label differs in")).when(F.col("_bad"), stop("no usable value in")).otherwise(F.col("grade"))
+        joined = F.concat("features", "_f") if i else F.col("_f")
+        out = out.join(side, "id", "left").select("id", grade.alias("grade"), joined.alias("features"))
+    return out, names
+
+
 def missing_features(truth: DataFrame, table: DataFrame) -> DataFrame:
     """Ids of truth that the table lacks or labels otherwise: id, problem."""
     side = table.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("grade").alias("_g"), F.count("grade").alias("_labels"), F.max("grade").alias("_h"))
@@ -62,27 +92,91 @@ def missing_features(truth: DataFrame, table: DataFrame) -> DataFrame:
     return truth.join(side, "id", "left").select("id", problem.alias("problem")).filter("problem is not null")
 
 
-def ridge_pipeline(train: DataFrame, columns: Sequence[str], alpha: float, label: str = "grade") -> PipelineModel:
-    """Standardized ridge regression with a free intercept, fitted on train.
+@dataclass
+class Ridge:
+    """A fitted linear model on raw feature values."""
+    names: list[str]
+    weights: list[float]
+    intercept: float
 
-    Columns are centred and scaled by their population deviation. Spark divides the squared error by
-    2n and scales the label, hence the penalty alpha / n * stddev(label).
+    def score(self, table: DataFrame) -> DataFrame:
+        rows = feature_rows(table, self.names, table.columns)
+        pairs = F.zip_with("_x", F.array(*map(F.lit, self.weights)), lambda x, w: x * w)
+        return rows.withColumn("score", F.lit(self.intercept) + F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)).drop("_x")
+
+
+def co_moments(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and centred sums of products of all pairs of the values in `_x`, in one pass.
+
+    Each task centres on its own means. The rows of the matrices are then added by their number in parallel, with the
+    correction for the means; the driver gets one row of `width` sums per feature, whatever the number of rows and tasks.
     """
-    from pyspark.ml.feature import SQLTransformer
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(label).alias("sy"),
-                      *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    scale = {c: (stats[f"s_{c}"] if stats[f"s_{c}"] > 0 else 1.0) for c in columns}
-    scaled = ", ".join(f"(`{c}` - CAST('{stats[f'm_{c}']!r}' AS DOUBLE)) / CAST('{scale[c]!r}' AS DOUBLE) AS `z_{c}`" for c in columns)
-    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
-              VectorAssembler(inputCols=[f"z_{c}" for c in columns], outputCol="features"),
-              LinearRegression(labelCol=label, predictionCol="score", solver="l-bfgs", elasticNetParam=0.0, standardization=False,
-                               regParam=alpha / stats["n"] * stats["sy"], maxIter=500, tol=1e-12)]
-    return Pipeline(stages=stages).fit(train)
+    def local(batches):
+        n, mean, product = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("_x"), width)
+                own = x.mean(axis=0)
+                x = x - own
+                shift, many = own - mean, n + len(x)
+                product += x.T @ x + np.outer(shift, shift) * (n * len(x) / many)
+                n, mean = many, mean + shift * (len(x) / many)
+        if n:
+            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(width + 1) * width, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([TaskContext.get().partitionId()] * width, pa.int32()),
+                                              pa.array([n] * width, pa.int64()), lists(np.tile(mean, (width, 1))), lists(product)],
+                                             names=["i", "task", "n", "mean", "products"])
+
+    def merge(batches):
+        at, done = None, []
+        for batch in batches:
+            means, products = _matrix(batch.column("mean"), width), _matrix(batch.column("products"), width)
+            for k, (i, n) in enumerate(zip(batch.column("i").to_pylist(), batch.column("n").to_pylist())):
+                if i != at:
+                    done.append([i, n, means[k].copy(), products[k].copy()])
+                    at = i
+                    continue
+                held = done[-1]
+                shift, many = means[k] - held[2], held[1] + n
+                held[3] += products[k] + shift * shift[i] * (held[1] * n / many)
+                held[1], held[2] = many, held[2] + shift * (n / many)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()),
+                                              *(pa.array([d[k].tolist() for d in done], pa.list_(pa.float64())) for k in (2, 3))],
+                                             names=["i", "n", "mean", "products"])
+    partial = rows.select("_x").mapInArrow(local, "i int, task int, n long, mean array<double>, products array<double>")
+    dealt = partial.repartition(min(width, 64), "i").sortWithinPartitions("i", "task")
+    found = sorted(dealt.mapInArrow(merge, "i int, n long, mean array<double>, products array<double>").collect())
+    if not found:
+        raise ValueError("a fit needs rows")
+    return found[0]["n"], np.array(found[0]["mean"]), np.array([r["products"] for r in found])
+
+
+def fit_ridge(train: DataFrame, columns: Sequence[str], alphas: Iterable[float], label: str = "grade") -> dict[float, Ridge]:
+    """Standardized ridge regression with a free intercept for every penalty, from one pass over the rows.
+
+    Columns are centred and scaled by their population deviation; a constant column counts as deviation 1.
+    """
+    columns = list(columns)
+    n, mean, products = co_moments(feature_rows(train, [*columns, label]), len(columns) + 1)
+    spread = np.sqrt(np.diag(products)[:-1] / n)
+    spread[spread == 0] = 1.0
+    gram, target = products[:-1, :-1] / np.outer(spread, spread), products[:-1, -1] / spread
+    out = {}
+    for alpha in alphas:
+        weights = np.linalg.solve(gram + alpha * np.eye(len(columns)), target) / spread
+        out[alpha] = Ridge(columns, weights.tolist(), float(mean[-1] - weights @ mean[:-1]))
+    return out
+
+
+def boosted_trees(**settings) -> Callable[[DataFrame, Sequence[str], Sequence[int]], dict[int, BoostedTrees]]:
+    """A fit for `select_model` over numbers of leaves."""
+    return lambda train, columns, leaves: fit_boosted_trees(train, columns, leaves, **settings)
 
 
 def gbt_pipeline(train: DataFrame, columns: Sequence[str], depth: int, label: str = "grade", rounds: int = 300,
                  rate: float = 0.05, min_rows: int = 20, seed: int = 42) -> PipelineModel:
-    """Boosted regression trees on squared error; the depth bounds a tree. Rounds are checkpointed to the shared folder."""
+    """Boosted regression trees of Spark's own; the depth bounds a tree. Rounds are checkpointed to the shared folder."""
     shared_folder(train.sparkSession)
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features"),
               GBTRegressor(labelCol=label, predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=rate,
@@ -90,33 +184,61 @@ def gbt_pipeline(train: DataFrame, columns: Sequence[str], depth: int, label: st
     return Pipeline(stages=stages).fit(train)
 
 
-def score(model: PipelineModel, table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Scores of a fitted model; the feature names have to be those it was fitted with."""
-    fitted = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
-    names = [c.removeprefix("z_") if c not in table.columns else c for c in fitted]
-    if names != list(columns):
+def one_by_one(fit: Callable[[DataFrame, Sequence[str], float], PipelineModel]) -> Callable[[DataFrame, Sequence[str], Sequence], dict]:
+    """A fit for `select_model` from one that takes a single parameter; they run at the same time, as their small jobs wait more than they work."""
+    def every(train, columns, params):
+        train = train.cache()
+        try:
+            with ThreadPoolExecutor(max(1, len(params))) as pool:
+                fits = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), train, columns, param) for param in params]
+                return {param: one.result() for param, one in zip(params, fits)}
+        finally:
+            train.unpersist()
+    return every
+
+
+def score(model: Ridge | BoostedTrees | PipelineModel, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`table` with the scores of a fitted model; the feature names have to be those it was fitted with."""
+    if isinstance(model, BoostedTrees):
+        return score_trees(model, table, columns)
+    own = isinstance(model, Ridge)
+    names = model.names if own else next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    if list(columns) != list(names):
         raise ValueError("feature names differ from those of the model")
-    return model.transform(table).drop("features", *[c for c in fitted if c not in table.columns])
+    return model.score(table) if own else model.transform(table).drop("features")
+
+
+def save_ridge(spark: SparkSession, model: Ridge, path: str) -> None:
+    """One row; never overwrites."""
+    spark.createDataFrame([(model.names, model.weights, model.intercept)], "names array<string>, weights array<double>, intercept double"
+                          ).coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def load_ridge(spark: SparkSession, path: str) -> Ridge:
+    row = spark.read.parquet(path).first()
+    return Ridge(list(row["names"]), list(row["weights"]), row["intercept"])
+
+
+Fit = Callable[[DataFrame, Sequence[str], Sequence], Mapping]
 
 
-def select_model(table: DataFrame, columns: Sequence[str], params: Iterable[float],
-                 fit: Callable[[DataFrame, Sequence[str], float], PipelineModel]) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Fit on part train for each parameter, choose on part val: (model, trials, validation predictions).
+def select_model(table: DataFrame, columns: Sequence[str], params: Iterable, fit: Fit) -> tuple[Ridge | BoostedTrees | PipelineModel, DataFrame, DataFrame]:
+    """Fit on part train for all parameters at once, choose on part val: (model, trials, validation predictions).
 
-    The fits run at the same time, as their many small jobs wait more than they work.
+    The features are written once and the written table is deleted when the trials are known.
     """
-    used = table.select("id", "grade", "part", *columns).cache()
+    used = settled(table.select("id", "grade", "part", *columns))
     train, val = used.filter("part = 'train'"), used.filter("part = 'val'")
-    params, trials = sorted(set(params)), None
-    with ThreadPoolExecutor(max(1, len(params))) as pool:
-        fits = [pool.submit(inheritable_thread_target(table.sparkSession)(fit), train, columns, param) for param in params]
-        models = {param: one.result() for param, one in zip(params, fits)}
-    for param in params:
-        row = evaluate(score(models[param], val, columns), truth="grade").withColumn("param", F.lit(float(param)))
-        trials = row if trials is None else trials.unionByName(row)
-    trials = trials.sparkSession.createDataFrame(trials.collect(), trials.schema)  # one row per candidate
-    best = models[type(next(iter(models)))(best_trial(trials).first()["param"])]
-    predictions = score(best, val, columns).select("id", F.col("grade").alias("truth"), "score")
+    fitted = dict(fit(train, list(columns), sorted(set(params))))
+    scored = None
+    for param, model in fitted.items():
+        rows = score(model, val, columns).select(F.lit(float(param)).alias("param"), "grade", "score")
+        scored = rows if scored is None else scored.unionByName(rows)
+    trials = evaluate(scored, ["param"], truth="grade")
+    trials = used.sparkSession.createDataFrame(trials.collect(), trials.schema)  # one row per candidate
+    best = fitted[type(next(iter(fitted)))(best_trial(trials).first()["param"])]
+    predictions = settled(score(best, val, columns).select("id", F.col("grade").alias("truth"), "score"))
+    forget(used)
     return best, trials, predictions
 
 

@@ -1,10 +1,9 @@
 """Ordered operators (row number, running sum, previous row) that split long groups.
 
-A plain window function puts a whole group into one task. Here a group with more rows than
-`spark.ostinato.rowsPerTask` is cut at sampled order values into segments. The window runs per
-(key, segment), and one small row per segment carries the state over to the next segment. Cut values
-are collected before the plan is built, so that recomputed tasks see the same segments. Samples only
-place the cuts; every row takes part in the result.
+A plain window function puts a whole group into one task. Where the largest group has more rows than
+`spark.ostinato.rowsPerTask`, the rows go through Spark's range exchange by key and order instead and are
+written once with the number of their partition. A partition holds a stretch of the order of one key or of a
+few; the window runs per (key, partition), and one small row per partition carries the state over to the next.
 """
 
 from __future__ import annotations
@@ -13,84 +12,33 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ostinato.operators.skew import ROWS, row_count
-from ostinato.session import rows_per_task
+from ostinato.session import rows_per_task, settled
 
 SEG = "_seg"
-HOT = "_hot"
 ALL = "_all"
-SAMPLES_PER_SEGMENT = 32
-MAX_SEGMENTS = 20_000
 
 
-def _split_plan(df: DataFrame, keys: list[str], order: list[str]) -> list[tuple[tuple, list]]:
-    """(key, cut tuples) of every key that is too large for one task; empty for most inputs."""
-    sizes = df.groupBy(*keys).agg(row_count())
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Add `_seg`, which follows the order within a key. False means one segment each, and nothing was written."""
+    total, largest = df.groupBy(*keys).agg(row_count()).agg(F.coalesce(F.sum(ROWS), F.lit(0)), F.coalesce(F.max(ROWS), F.lit(0))).first()
     limit = rows_per_task(df.sparkSession)
-    total, largest = sizes.agg(F.coalesce(F.sum(ROWS), F.lit(0)), F.coalesce(F.max(ROWS), F.lit(0))).first()
     if largest <= limit:
-        return []
-    limit = max(limit, -(-total // MAX_SEGMENTS))
-    hot = sizes.filter(F.col(ROWS) > limit)
-    hot_sizes = {tuple(r[k] for k in keys): r[ROWS] for r in hot.collect()}
-    if not hot_sizes:
-        return []
-    wanted = sum(-(-n // limit) for n in hot_sizes.values())
-    fraction = min(1.0, SAMPLES_PER_SEGMENT * wanted / sum(hot_sizes.values()))
-    sample = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi").select(*keys, *order)
-    if fraction < 1.0:
-        sample = sample.sample(fraction, seed=7)
-    by_key: dict[tuple, list] = {}
-    for row in sample.collect():
-        values = tuple(row)
-        by_key.setdefault(values[: len(keys)], []).append(values[len(keys):])
-    plan = []
-    for key, n in hot_sizes.items():
-        points = sorted(p for p in by_key.get(key, []) if None not in p)
-        parts = -(-n // limit)
-        cuts = []
-        for i in range(1, parts):
-            if points:
-                point = points[i * len(points) // parts]
-                if not cuts or cuts[-1] != point:
-                    cuts.append(point)
-        plan.append((key, cuts))
-    return plan
+        return df.withColumn(SEG, F.lit(0)), False
+    return settled(df.repartitionByRange(-(-total // limit), *keys, *order).withColumn(SEG, F.spark_partition_id())), True
 
 
-def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Add `_seg` (and `_hot`): segments follow the order within a key. False means one segment each."""
-    keys, order = list(keys), list(order)
-    plan = _split_plan(df, keys, order)
-    if not plan:
-        return df.withColumn(SEG, F.lit(0)), False
-    schema = df.schema
-    point_type = T.StructType([T.StructField(f"o{i}", schema[c].dataType) for i, c in enumerate(order)])
-    table_schema = T.StructType([T.StructField(k, schema[k].dataType) for k in keys]
-                                + [T.StructField("_cuts", T.ArrayType(point_type))])
-    cuts = df.sparkSession.createDataFrame([(*key, points) for key, points in plan], table_schema)
-    steps, step = [], 1
-    while step <= max(len(points) for _, points in plan):
-        steps.insert(0, step)
-        step *= 2
-    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    halving = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<int>"),
-        F.lit(0),
-        lambda low, s: F.when(F.get(F.col("_cuts"), low + s - 1) <= here, low + s).otherwise(low))
-    out = (df.join(F.broadcast(cuts), keys, "left")
-           .withColumn(HOT, F.col("_cuts").isNotNull())
-           .withColumn(SEG, F.when(F.col(HOT), halving).otherwise(0))
-           .drop("_cuts"))
-    return out, True
-
-
-def _carried(df: DataFrame, keys: list[str], per_segment: list[Column], carried: Mapping[str, Column]) -> DataFrame:
-    """One row per segment of a split key with the state of all segments before it."""
-    summary = df.filter(HOT).groupBy(*keys, SEG).agg(*per_segment)
-    return F.broadcast(summary.select(*keys, SEG, *[c.alias(n) for n, c in carried.items()]))
+def _carry(df: DataFrame, keys: list[str], per_segment: list[Column], carried: Mapping[str, Column]) -> DataFrame:
+    """`df` with the state of all earlier segments of the key.
+
+    Only keys that lie in several segments have one: at most two rows per segment, so they may be sent to every task.
+    """
+    summary = df.groupBy(*keys, SEG).agg(*per_segment).withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    summary = summary.filter("_parts > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, SEG])],
+                                                  *[c.alias(n) for n, c in carried.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(F.broadcast(summary), [F.col(SEG) == F.col(f"_k{len(keys)}"), *same], "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
 
 
 def _with_all(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -107,15 +55,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     order = list(order)
     df, split = segmented(df, keys, order)
     before = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({name: agg(column).over(before) for name, (agg, column) in new.items()})
     if split:
         earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-        carry = _carried(df, keys, [agg(c).alias(f"_s{i}") for i, (agg, c) in enumerate(new.values())],
-                         {f"_c{i}": agg(f"_s{i}").over(earlier) for i, (agg, _) in enumerate(new.values())})
+        df = _carry(df, keys, [agg(c).alias(f"_s{i}") for i, (agg, c) in enumerate(new.values())],
+                    {f"_c{i}": agg(f"_s{i}").over(earlier) for i, (agg, _) in enumerate(new.values())})
+    df = df.withColumns({name: agg(column).over(before) for name, (agg, column) in new.items()})
+    if split:
         both = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
-        df = df.join(carry, keys + [SEG], "left").withColumns({
-            name: both[agg](F.col(name), F.col(f"_c{i}")) for i, (name, (agg, _)) in enumerate(new.items())})
-        df = df.drop(*[f"_c{i}" for i in range(len(new))], HOT)
+        df = df.withColumns({name: both[agg](F.col(name), F.col(f"_c{i}")) for i, (name, (agg, _)) in enumerate(new.items())})
+        df = df.drop(*[f"_c{i}" for i in range(len(new))])
     return df.drop(SEG, ALL)
 
 
@@ -130,13 +78,12 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     df, keys = _with_all(df, keys)
     order = list(order)
     df, split = segmented(df, keys, order)
-    df = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, SEG).orderBy(*order)).cast("long") - 1)
+    at = F.row_number().over(Window.partitionBy(*keys, SEG).orderBy(*order)).cast("long") - 1
     if split:
         earlier = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-        carry = _carried(df, keys, [F.count(F.lit(1)).alias("_n")], {"_c": F.sum("_n").over(earlier)})
-        df = (df.join(carry, keys + [SEG], "left")
-              .withColumn(name, F.col(name) + F.coalesce(F.col("_c"), F.lit(0))).drop("_c", HOT))
-    return df.drop(SEG, ALL)
+        df = _carry(df, keys, [F.count(F.lit(1)).alias("_n")], {"_c": F.sum("_n").over(earlier)})
+        at = at + F.coalesce(F.col("_c"), F.lit(0))
+    return df.withColumn(name, at).drop(SEG, ALL, "_c")
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -145,18 +92,13 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     order = list(order)
     df, split = segmented(df, keys, order)
     by = Window.partitionBy(*keys, SEG).orderBy(*order)
-    df = df.withColumns({name: F.lag(column).over(by) for name, column in columns.items()})
+    here = {name: F.lag(column).over(by) for name, column in columns.items()}
     if split:
-        by_seg = Window.partitionBy(*keys).orderBy(SEG)
-        last = F.max_by(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns.values())]),
-                        F.struct(*order)).alias("_last")
-        df = df.withColumn("_first", F.row_number().over(by) == 1)
-        carry = _carried(df, keys, [last], {"_c": F.lag("_last").over(by_seg)})
-        df = df.join(carry, keys + [SEG], "left")
-        df = df.withColumns({name: F.when(F.col("_first"), F.col(f"_c.v{i}")).otherwise(F.col(name))
-                             for i, name in enumerate(columns)})
-        df = df.drop("_c", "_first", HOT)
-    return df.drop(SEG, ALL)
+        last = F.max_by(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns.values())]), F.struct(*order)).alias("_last")
+        df = _carry(df, keys, [last], {"_c": F.lag("_last").over(Window.partitionBy(*keys).orderBy(SEG))})
+        first = F.row_number().over(by) == 1
+        here = {name: F.when(first, F.col(f"_c.v{i}")).otherwise(value) for i, (name, value) in enumerate(here.items())}
+    return df.withColumns(here).drop("_c", SEG, ALL)
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float],

@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.columns import is_bad_number
-from ostinato.operators.ordering import positions, running
+from ostinato.operators.blocks import BLOCK, with_halo
+from ostinato.operators.ordering import positions
 from ostinato.operators.skew import attach, row_count
+from ostinato.session import forget, settled
 
 DIGEST_DIGITS = 8
 METRICS = ("kendall_tau_c", "spearman", "mae", "mse", "acc_pm1")
@@ -127,47 +131,96 @@ def best_trial(trials: DataFrame, param: str = "param") -> DataFrame:
     return first.withColumn("kendall_tau_c", F.when(F.col("kendall_tau_c").isNull(), undefined).otherwise(F.col("kendall_tau_c")))
 
 
-def early_stop(history: DataFrame, patience: int = 15, min_delta: float = 0.001, by: str = "run") -> DataFrame:
+EPOCHS_PER_BLOCK = 4096
+
+
+def early_stop(history: DataFrame, patience: int = 15, min_delta: float = 0.001, by: str = "run", block: int = EPOCHS_PER_BLOCK) -> DataFrame:
     """Replay of early stopping: epochs run, whether it stopped, and the last reference tau, per run.
 
-    The reference moves only on a gain of at least min_delta, so it moves at most (range / min_delta)
-    times, and a replay ends within patience epochs of the last move. Later epochs cannot matter; the
-    fold therefore runs over a list of proven length. With min_delta 0 the reference is the running
-    maximum and no fold is needed.
+    Each epoch points to the next one that would reset the reference if it set it: the first of the next `patience`
+    epochs with a tau larger by at least `min_delta`. The epochs of a run lie in blocks; a block follows the pointers of
+    its first epochs until they leave it. Where a run has several blocks, the pointers between them double their
+    reach in rounds, over `patience` written rows a block.
     """
     if patience <= 0 or not math.isfinite(min_delta) or min_delta < 0:
         raise ValueError("patience must be positive and min_delta finite and not negative")
     tau = F.col("tau_c").cast("double")
     bad = tau.isNotNull() & is_bad_number(tau)
-    clean = history.withColumn("tau_c", F.when(bad, F.raise_error(F.lit("tau must be finite")).cast("double")).otherwise(tau))
-    at = positions(clean, [by], ["epoch"], "_at")
-    if min_delta == 0:
-        seen = running(at, [by], ["epoch"], {"_best": (F.max, "tau_c")})
-        gain = F.col("tau_c").isNotNull() & (F.col("_best").isNull() | (F.col("tau_c") > F.col("_best")))
-        seen = running(seen.withColumn("_gain", F.when(gain, F.col("_at"))), [by], ["epoch"], {"_last": (F.max, "_gain")})
-        last = F.greatest(F.coalesce(F.col("_gain"), F.lit(-1)), F.coalesce(F.col("_last"), F.lit(-1)))
-        stop = seen.filter(F.col("_at") - last >= patience).groupBy(by).agg(F.min("_at").alias("_stop"))
-        sized = attach(seen, seen.groupBy(by).agg(row_count()).join(stop, by, "left"), [by])
-        kept = sized.filter(F.col("_stop").isNull() | (F.col("_at") <= F.col("_stop")))
-        return kept.groupBy(by).agg(F.count(F.lit(1)).alias("epochs_run"), F.bool_or(F.col("_stop").isNotNull()).alias("stopped"),
-                                    F.max("tau_c").alias("reference_tau"))
-    span = clean.groupBy(by).agg((F.max("tau_c") - F.min("tau_c")).alias("_span"), row_count())
-    bound = F.lit(patience) * (F.floor(F.coalesce(F.col("_span"), F.lit(0.0)) / F.lit(float(min_delta))) + 3)
-    needed = attach(at, span, [by]).filter(F.col("_at") <= bound)
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("_at", "tau_c"))), lambda s: s["tau_c"])
-    start = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0).alias("stale"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-    def step(state, t):
-        ref = state["ref"]
-        gain = t.isNotNull() & (ref.isNull() | ((t > ref) & (t - ref >= min_delta)))
-        stale = F.when(gain, 0).otherwise(state["stale"] + 1)
-        moved = F.struct(F.when(gain, t).otherwise(ref).alias("ref"), stale.alias("stale"),
-                         (state["n"] + 1).alias("n"), (stale >= patience).alias("stop"))
-        return F.when(state["stop"], state).otherwise(moved)
-
-    folded = needed.groupBy(by).agg(F.aggregate(steps, start, step).alias("s"))
-    return folded.select(by, F.col("s.n").cast("long").alias("epochs_run"), F.col("s.stop").alias("stopped"),
-                         F.col("s.ref").alias("reference_tau"))
+    clean = history.select(F.col(by).alias("run"), "epoch", F.when(bad, F.raise_error(F.lit("tau must be finite")).cast("double")).otherwise(tau).alias("tau"))
+    at = positions(clean, ["run"], ["epoch"], "at").select("run", "at", "tau")
+    block = max(block, patience)
+    ahead = with_halo(at, "at", 0, patience, block)          # a block also has the epochs that its last ones may point to
+    sorted_rows = ahead.select("run", F.col(BLOCK).alias("block"), "at", "tau").repartition("run", "block").sortWithinPartitions("run", "block", "at")
+    kind = at.schema["run"].dataType.simpleString()
+    hops = sorted_rows.mapInArrow(lambda batches: _hops(batches, patience, min_delta, block), f"run {kind}, here long, there long, done boolean, ref double")
+    hops = settled(hops)
+    while hops.filter("not done").limit(1).count():
+        there = hops.select("run", F.col("here").alias("there"), F.struct("there", "done", "ref").alias("next"))
+        further = settled(hops.join(there, ["run", "there"], "left").select(
+            "run", "here", *[F.when(F.col("done"), F.col(c)).otherwise(F.col(f"next.{c}")).alias(c) for c in ("there", "done", "ref")]))
+        forget(hops)
+        hops = further
+    ends = hops.filter("here = -1").select("run", "there", "ref")
+    out = attach(ends, clean.groupBy("run").agg(row_count(), F.count(F.lit(1)).alias("n")), ["run"])
+    stop = F.col("there") + patience < F.col("n")
+    return out.select(F.col("run").alias(by), F.when(stop, F.col("there") + patience + 1).otherwise(F.col("n")).alias("epochs_run"),
+                      stop.alias("stopped"), F.col("ref").alias("reference_tau"))
+
+
+def _hops(batches, patience: int, min_delta: float, block: int):
+    """(run, here, there, done, ref): where the pointers lead from the start (-1) and from the first epochs of each later block.
+
+    `done` means that no pointer leads on from `there`; otherwise it lies in the next block.
+    """
+    def settle(run, number, taus):
+        start = number * block
+        own = min(len(taus), block)
+        tau = np.array([np.nan if t is None else t for t in taus])
+        point = np.full(own, -1)
+        open_rows = np.flatnonzero(~np.isnan(tau[:own]))
+        for step in range(1, patience + 1):
+            open_rows = open_rows[open_rows + step < len(tau)]
+            if not len(open_rows):
+                break
+            gain = (tau[open_rows + step] > tau[open_rows]) & (tau[open_rows + step] - tau[open_rows] >= min_delta)
+            point[open_rows[gain]] = open_rows[gain] + step
+            open_rows = open_rows[~gain]
+        end, done = np.arange(own), np.ones(own, bool)
+        for k in range(own - 1, -1, -1):
+            if point[k] >= own:
+                end[k], done[k] = point[k], False
+            elif point[k] >= 0:
+                end[k], done[k] = end[point[k]], done[point[k]]
+        if number == 0:
+            known = np.flatnonzero(~np.isnan(tau[:patience]))
+            k = int(known[0]) if len(known) else -1
+            yield (run, -1, -1, True, None) if k < 0 else (run, -1, int(end[k]), bool(done[k]), float(tau[end[k]]))
+        else:
+            for k in range(min(patience, own)):
+                if not np.isnan(tau[k]):
+                    yield run, start + k, start + int(end[k]), bool(done[k]), float(tau[end[k]])
+
+    held, group = [], None
+    for batch in batches:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("run", "block", "at", "tau")]
+        for run, number, at, tau in zip(*columns):
+            if (run, number) != group:
+                if group is not None:
+                    out += settle(*group, held)
+                group, held = (run, number), []
+            held.append(tau)
+        if out:
+            yield _hop_batch(out, batch.schema.field("run").type)
+    if group is not None:
+        out = list(settle(*group, held))
+        if out:
+            yield _hop_batch(out, batch.schema.field("run").type)
+
+
+def _hop_batch(rows, kind) -> pa.RecordBatch:
+    types = (kind, pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["run", "here", "there", "done", "ref"])
 
 
 def pick_cases(wide: DataFrame, base: str, rhythm: str | None = None, structure: str | None = None,

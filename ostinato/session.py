@@ -64,14 +64,20 @@ def settled(df: DataFrame) -> DataFrame:
 
     The folder stays until `forget` or `release_steps`, as it is read when the result made from it is.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = step_folder(df.sparkSession)
     df.write.parquet(path)
-    _steps.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._step = path
     return out
 
 
+def step_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for files that `release_steps` deletes."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _steps.append(path)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Persist a summary until `release_steps`; it spills to disk and is recomputed where lost."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ostinato.functions.columns import is_bad_number, numeric_or_null
+from ostinato.functions.columns import is_bad_number
 from ostinato.functions.text import nfc
 from ostinato.operators.registry import METRICS
 
 MAX_FRAME_FILE = 64 * 1024 * 1024
-# Metadata fields that are read; numbers are kept as JSON text first, as some records hold other kinds.
-PIECE_FIELDS = ("ps", "composer", "youtube_link", "duration", "start", "end", "only_start", "only_end")
+# Metadata fields that are read.
+PIECE_TEXTS = ("ps", "composer", "youtube_link")
+PIECE_NUMBERS = ("duration", "start", "end", "only_start", "only_end")
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +26,8 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     The file is one JSON value. It is read once and is meant to be kept as parquet afterwards.
     """
     raw = spark.read.text(path, wholetext=True)
-    entry = T.StructType([T.StructField(f, T.StringType()) for f in PIECE_FIELDS]
+    # a field of another kind than its type, such as a quoted number or a boolean, is null and leaves the rest of the record
+    entry = T.StructType([T.StructField(f, T.StringType()) for f in PIECE_TEXTS] + [T.StructField(f, T.DoubleType()) for f in PIECE_NUMBERS]
                          + [T.StructField("YT_chapters", T.StringType())])
     parsed = F.from_json("value", T.MapType(T.StringType(), entry))
     rows = raw.select(F.explode(F.when(F.size(parsed) > 0, parsed).otherwise(
@@ -32,11 +36,8 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     repeated = rows.groupBy("id").count().filter("count > 1").take(3)
     if repeated:
         raise ValueError(f"keys collide in NFC: {[r['id'] for r in repeated]}")
-    # a string scalar is no number: JSON text of a number parses, quoted text was already unquoted
-    number = lambda c: numeric_or_null(F.col(c)).alias(c)
     chapters = F.from_json("YT_chapters", T.ArrayType(T.StringType())).alias("yt_chapters")
-    return rows.select("id", "ps", "composer", "youtube_link", number("duration"), number("start"), number("end"),
-                       number("only_start"), number("only_end"), chapters)
+    return rows.select("id", *PIECE_TEXTS, *PIECE_NUMBERS, chapters)
 
 
 def read_split(spark: SparkSession, path: str, pieces: DataFrame | None = None) -> DataFrame:
@@ -63,12 +64,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("split_sha256", F.inline("records")).withColumn("id", nfc(F.col("id")))
 
 
-def scan_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """Files with a suffix by stem: id, path, bytes. index.npz is skipped; equal NFC stems are an error.
+def without_links(files: DataFrame) -> DataFrame:
+    """The listing as it is; a file of a local or mounted folder that is a symbolic link fails the job. Object stores have none."""
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                parts = urlsplit(path)
+                if parts.scheme in ("", "file") and os.path.islink(unquote(parts.path) if parts.scheme else path):
+                    raise ValueError(f"symbolic links are not read: {path}")
+            yield batch
+    return files.mapInArrow(run, files.schema)
+
+
+def scan_files(spark: SparkSession, folder: str, suffix: str, links: bool = False) -> DataFrame:
+    """Files with a suffix by stem: id, path, bytes. index.npz is skipped; equal NFC stems, and links unless `links`, are an error.
 
     Only the listing is used; contents are not read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "length")
+    files = files if links else without_links(files)
     name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     rows = files.withColumn("name", name).filter("name != 'index.npz'")
     stem = F.expr(f"substring(name, 1, length(name) - {len(suffix)})")
@@ -85,9 +99,12 @@ def with_sha256(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_frames(spark: SparkSession, path: str, channels: int = 88) -> DataFrame:
-    """Frame rows (id, frame, values); width and finite values are checked as rows are read."""
+def read_frames(spark: SparkSession, path: str, channels: int = 88, limit: int = MAX_FRAME_FILE) -> DataFrame:
+    """Frame rows (id, frame, values); width, finite values and the size of the files are checked as rows are read."""
     rows = spark.read.parquet(path)
+    size = F.col("_metadata.file_size")
+    small = F.when(size > limit, F.raise_error(F.concat(F.lit("unexpectedly large file: "), F.col("_metadata.file_path"))).cast("boolean")).otherwise(True)
+    rows = rows.filter(small)
     x = F.col("values")
     bad = x.isNull() | (F.size(x) != channels) | F.exists(x, lambda v: v.isNull() | is_bad_number(v.cast("double")))
     kind = rows.schema["values"].dataType
@@ -142,20 +159,33 @@ def wide_features(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.select("id", "grade", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def scan_runs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run folder under root that holds metrics.json; complete if all three files are there."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-             .load(root).select("path", F.col("content").cast("string").alias("text")))
+def _run_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(run, file, path, content) of the files under root; `run` is the folder relative to root, in NFC."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     rel = F.replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(base, F.lit("/")), F.lit(""))
-    rows = files.select(F.regexp_replace(rel, "/?[^/]*$", "").alias("run"), F.regexp_extract(rel, "([^/]*)$", 1).alias("file"), "text")
-    of = lambda name: F.max(F.when(F.col("file") == name, F.col("text")))
-    runs = rows.groupBy("run").agg(of("metrics.json").alias("m"), of("config.json").alias("c"),
-                                   F.bool_or(F.col("file") == "predictions_val.json").alias("p")).filter("m is not null")
+    return files.select(F.regexp_replace(rel, "/?[^/]*$", "").alias("run"), F.regexp_extract(rel, "([^/]*)$", 1).alias("file"), "path", "content")
+
+
+def scan_runs(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run folder under root that holds metrics.json; complete if all three files are there.
+
+    Whether a file is there comes from the listing. Only metrics and config, which are small, are read. Folders whose names
+    are equal in NFC, and links, fail the job.
+    """
+    listed = without_links(_run_files(spark, root, "*.json").select("run", "file", "path"))
+    has = lambda name: F.bool_or(F.col("file") == name)
+    folders = listed.groupBy("run").agg(has("metrics.json").alias("m"), has("config.json").alias("c"), has("predictions_val.json").alias("p")).filter("m")
+    folders = folders.withColumn("key", nfc(F.col("run")))
+    same = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    clash = F.raise_error(F.concat(F.lit("run folders collide in NFC: "), F.col("key")))
+    folders = folders.select("run", F.when(same > 1, clash).otherwise(F.col("key")).alias("key"), (F.col("c") & F.col("p")).alias("complete"))
+    text = F.col("content").cast("string")
+    of = lambda name: F.max(F.when(F.col("file") == name, text))
+    read = _run_files(spark, root, "{metrics,config}.json").groupBy("run").agg(of("metrics.json").alias("m"), of("config.json").alias("c"))
     value = lambda c, path, kind: F.get_json_object(c, path).cast(kind)
-    complete = F.col("c").isNotNull() & F.col("p")
-    return runs.select(
-        "run", F.when(complete, "complete").otherwise("partial").alias("status"),
+    return folders.join(read, "run").select(
+        F.col("key").alias("run"), F.when(F.col("complete"), "complete").otherwise("partial").alias("status"),
         F.coalesce(value("c", "$.model", "string"), value("c", "$.feature_group", "string"), F.lit("unknown")).alias("model"),
         value("c", "$.feature_group", "string").alias("feature_group"), value("m", "$.validation.n", "int").alias("n_validation"),
         *[value("m", f"$.validation.{k}", "double").alias(k) for k in METRICS],
@@ -167,6 +197,33 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
         F.sha2("c", 256).alias("config_sha256"), F.sha2("m", 256).alias("metrics_sha256"))
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with `error`: the text of a line that is no record of the schema, whose other columns are then what could be read of it.
+
+    A broken line becomes a row of its own and the job goes on.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
+    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path)
+
+
+def write_window_table(windows: DataFrame, name: str, path: str, index: DataFrame, buckets: int = 64) -> None:
+    """Windows and their index as tables `name` and `name`_index under `path`, both in buckets of id and sorted by it.
+
+    Joins and groupings by id read them without an exchange. The number of buckets is for good; choose it for the size that is to come.
+    """
+    for rows, table, order in ((windows, name, ("id", "win")), (index, f"{name}_index", ("id",))):
+        (rows.repartition(buckets, "id").write.mode("errorifexists").bucketBy(buckets, "id").sortBy(*order)
+         .option("path", f"{path}/{table}").saveAsTable(table))
+
+
+def open_window_table(spark: SparkSession, name: str, path: str, windows: T.StructType, index: T.StructType, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The two tables of `write_window_table` in a session that does not know them yet."""
+    for table, schema, order in ((name, windows, "id, win"), (f"{name}_index", index, "id")):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"create table if not exists `{table}` ({columns}) using parquet clustered by (id) sorted by ({order}) into {buckets} buckets location '{path}/{table}'")
+    return spark.table(name), spark.table(f"{name}_index")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Prediction lists under path: run (from the file's folder), id, truth, score."""
     schema = "id string, true_grade int, score double"

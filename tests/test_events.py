@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,24 @@ def test_local_peaks(spark):
     want = [i for i in range(120) if all(x[i] > v for v in x[max(0, i - 3):i]) and all(x[i] >= v for v in x[i + 1:i + 3])
             and x[i] >= x[max(0, i - 4):i + 5].mean() + 0.5]
     assert got == want and min(np.diff(got)) > 2
+
+
+def spaced_by_hand(peaks, gap):
+    kept = []
+    for frame, value in sorted(peaks, key=lambda p: (-p[1], p[0])):
+        if all(abs(frame - other) > gap for other, _ in kept):
+            kept.append((frame, value))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("gap, block", [(0, 8), (3, 8), (9, 4), (5, 4096)])
+def test_spaced_peaks(spark, gap, block):
+    rng = random.Random(gap)
+    series = {"ramp": [(i, float(i)) for i in range(60)], "fall": [(i, 100.0 - i) for i in range(0, 90, 2)], "flat": [(i, 1.0) for i in range(40)],
+              "any": [(i, round(rng.random(), 1)) for i in range(200) if rng.random() < .6], "one": [(7, 0.5)]}
+    df = spark.createDataFrame([(k, *p) for k, peaks in series.items() for p in peaks], "id string, frame long, strength double").repartition(4)
+    got = rows(events.spaced_peaks(df, gap, block=block), "id", "frame")
+    assert got == sorted((k, *p) for k, peaks in series.items() for p in spaced_by_hand(peaks, gap))
+    assert events.spaced_peaks(df.filter("false"), gap).count() == 0
+    with pytest.raises(ValueError):
+        events.spaced_peaks(df, -1)

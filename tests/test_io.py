@@ -17,11 +17,13 @@ def put(path, text):
 def test_pieces(spark, tmp_path):
     cafe = unicodedata.normalize("NFD", "Café")
     path = put(tmp_path / "m.json", {cafe: {"ps": "3", "composer": "X", "duration": 12.5, "only_end": 7, "YT_chapters": ["a", "b"]},
-                                     "b": {"ps": 4, "composer": "Y", "duration": True, "youtube_link": "u"}})
+                                     "b": {"ps": 4, "composer": "Y", "duration": True, "youtube_link": "u"},
+                                     "c": {"composer": "Z", "duration": "12.5", "start": "x", "end": 3}})
     got = {r["id"]: r for r in io.read_pieces(spark, path).collect()}
     a, b = got["Café"], got["b"]
     assert (a["ps"], a["duration"], a["only_end"], a["yt_chapters"]) == ("3", 12.5, 7.0, ["a", "b"])
     assert (b["ps"], b["duration"], b["youtube_link"], b["yt_chapters"]) == ("4", None, "u", None)
+    assert (got["c"]["composer"], got["c"]["duration"], got["c"]["start"], got["c"]["end"]) == ("Z", None, None, 3.0)
     collide = put(tmp_path / "c.json", {cafe: {"ps": "1"}, "Café": {"ps": "2"}})
     with pytest.raises(ValueError, match="collide"):
         io.read_pieces(spark, collide)
@@ -111,3 +113,63 @@ def test_norm(spark, tmp_path):
         io.load_norm(spark, str(tmp_path / "n"), {"split_sha256": "other"})
     with pytest.raises(ValueError, match="channels"):
         io.load_norm(spark, str(tmp_path / "n"), {}, channels=88)
+
+
+def test_links_and_large_files_are_refused(spark, tmp_path):
+    put(tmp_path / "in/a.bin", "xyz")
+    (tmp_path / "in/b.bin").symlink_to(tmp_path / "in/a.bin")
+    with pytest.raises(Exception, match="symbolic links"):
+        io.scan_files(spark, str(tmp_path / "in"), ".bin").collect()
+    assert io.scan_files(spark, str(tmp_path / "in"), ".bin", links=True).count() == 2
+    io.write_new(spark.createDataFrame([("a", 0, [1.0])], "id string, frame long, values array<float>"), str(tmp_path / "f"))
+    with pytest.raises(Exception, match="unexpectedly large"):
+        io.read_frames(spark, str(tmp_path / "f"), 1, limit=10).collect()
+
+
+def test_run_scan_reads_no_predictions(spark, tmp_path):
+    for run in ("one", "two"):
+        put(tmp_path / "o" / run / "metrics.json", {"validation": {"n": 3}})
+        put(tmp_path / "o" / run / "config.json", {"model": "M"})
+    put(tmp_path / "o/one/predictions_val.json", "x" * 1000)
+    got = io.scan_runs(spark, str(tmp_path / "o"))
+    assert rows(got.select("run", "status"), "run") == [("one", "complete"), ("two", "partial")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("content#") == 0 or "predictions" not in plan
+    put(tmp_path / "o" / unicodedata.normalize("NFD", "é") / "metrics.json", {"validation": {}})
+    put(tmp_path / "o" / "é" / "metrics.json", {"validation": {}})
+    with pytest.raises(Exception, match="collide in NFC"):
+        io.scan_runs(spark, str(tmp_path / "o")).collect()
+    (tmp_path / "p/r").mkdir(parents=True)
+    (tmp_path / "p/r/metrics.json").symlink_to(tmp_path / "o/one/metrics.json")
+    with pytest.raises(Exception, match="symbolic links"):
+        io.scan_runs(spark, str(tmp_path / "p")).collect()
+
+
+def test_broken_records_become_rows(spark, tmp_path):
+    from pyspark.sql import types as T
+    path = put(tmp_path / "r.json", '{"id": "a", "x": 1.5}\n{"id": "b", "x": "no"}\nnot json\n{"id": "c"}\n')
+    got = rows(io.read_records(spark, path, T.StructType.fromDDL("id string, x double")).select("id", "x", "error"))
+    assert sorted(got, key=str) == sorted([("a", 1.5, None), ("b", None, '{"id": "b", "x": "no"}'), (None, None, "not json"), ("c", None, None)], key=str)
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    windows = spark.createDataFrame([(i % 7, i // 7, float(i)) for i in range(70)], "id long, win long, x double")
+    index = spark.createDataFrame([(i, 10) for i in range(7)], "id long, length long")
+    io.write_window_table(windows, "w_test", str(tmp_path), index, buckets=4)
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got, lengths = io.open_window_table(other, "w_test", str(tmp_path), windows.schema, index.schema, buckets=4)
+    joined = got.join(lengths, "id").groupBy("id", "length").count()
+    assert rows(joined, "id") == [(i, 10, 10) for i in range(7)]
+    assert "Exchange" not in joined._jdf.queryExecution().sparkPlan().toString() and "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="(?i)exists"):
+        io.write_window_table(windows, "w_test", str(tmp_path), index, buckets=4)
+    for name in ("w_test", "w_test_index"):
+        spark.sql(f"drop table {name}")
+
+
+def test_norm_with_nulls(spark, tmp_path):
+    norm = spark.createDataFrame([(c, 0.0 if c else None, 1.0, 5) for c in range(97)], "channel int, mean double, std double, n_valid long")
+    io.save_norm(norm, str(tmp_path / "n"), {})
+    with pytest.raises(ValueError, match="values"):
+        io.load_norm(spark, str(tmp_path / "n"), {})

@@ -93,3 +93,18 @@ def test_grade_stats_use_raw_error(spark):
     assert got[("grade", 0, None)]["acc_pm1"] == 0.5
     assert got[("band", None, "Mid4-6")]["n"] == 1
     assert got[("overall", None, None)]["bias"] == pytest.approx(1.7 / 3)
+
+
+def test_release_claims(spark):
+    members = spark.createDataFrame([("1", 3), ("2", 5)], "id string, grade int")
+    good = spark.createDataFrame([("1", 3, 2.5), ("2", 5, 5.5)], "id string, truth int, score double")
+    split = spark.createDataFrame([("0", "train"), ("1", "val"), ("2", "val")], "id string, part string")
+    reported = metrics.evaluate(good)
+    claims = {"split_sha256": "s", "seed": 42, "n_train": 1, "n_val": 2}
+    assert metrics.verify_release(good, members, reported, claims, split, "s", 42).count() == 0
+    for changed, found in (({"split_sha256": "t"}, "split_sha256"), ({"seed": 7}, "seed"), ({"n_val": 3}, "n_val"), ({"n_test": 4}, "n_test")):
+        got = metrics.verify_release(good, members, reported, claims | changed, split, "s", 42)
+        assert [tuple(r) for r in got.collect()] == [(found, f"{found}_differs")]
+    without = {k: v for k, v in claims.items() if k != "seed"}
+    both = metrics.verify_release(good.filter("id = '1'"), members, metrics.evaluate(good.filter("id = '1'")), without, split, "s", 42)
+    assert sorted(tuple(r) for r in both.collect()) == [("2", "missing_prediction"), ("seed", "seed_differs")]

@@ -28,16 +28,15 @@ def test_known_sequences(spark):
     assert replay(spark, [.1, .2, .3], 2, .001) == (3, False)
 
 
-def by_hand(taus, patience, delta):
-    ref, stale = None, 0
-    for n, t in enumerate(taus, 1):
-        if t is not None and (ref is None or (t > ref and t - ref >= delta)):
-            ref, stale = t, 0
-        else:
-            stale += 1
-        if stale >= patience:
-            return n, True, ref
-    return len(taus), False, ref
+def stop_by_last_gain(taus, patience, delta):
+    """Stated by the positions of the gains: the replay ends `patience` epochs after the last one that has no successor in reach."""
+    last, ref = -1, None
+    while True:
+        ahead = [j for j in range(last + 1, min(len(taus), last + patience + 1))
+                 if taus[j] is not None and (ref is None or (taus[j] > ref and taus[j] - ref >= delta))]
+        if not ahead:
+            return min(len(taus), last + patience + 1), last + patience < len(taus), ref
+        last, ref = ahead[0], taus[ahead[0]]
 
 
 @pytest.mark.parametrize("delta", [0.0, 0.02, 0.3])
@@ -51,7 +50,7 @@ def test_replay_against_a_loop(spark, small_tasks, delta, limit):
         df = part if df is None else df.unionByName(part)
     with small_tasks(limit):
         got = {r["run"]: (r["epochs_run"], r["stopped"], r["reference_tau"]) for r in registry.early_stop(df, 7, delta).collect()}
-    assert got == {k: by_hand(t, 7, delta) for k, t in series.items()}
+    assert got == {k: stop_by_last_gain(t, 7, delta) for k, t in series.items()}
 
 
 @pytest.mark.parametrize("patience,delta", [(0, .001), (-1, .001), (3, -.1), (3, float("nan")), (3, float("inf"))])
@@ -187,3 +186,17 @@ def test_digests(spark):
     one = registry.ids_digest(big).first()["digest"]
     assert one == by_hand(map(str, range(3000))) == registry.ids_digest(big.repartition(7).orderBy(F.desc("id"))).first()["digest"]
     assert one != registry.ids_digest(big.filter("id != '7'")).first()["digest"]
+
+
+@pytest.mark.parametrize("delta, patience, block", [(1e-9, 4, 5), (0.0, 3, 4), (0.2, 9, 4), (1e-9, 700, 16)])
+def test_many_small_gains_over_more_epochs_than_a_task_holds(spark, small_tasks, delta, patience, block):
+    rng = random.Random(patience)
+    taus = [None if rng.random() < .3 else i / 1000 + rng.random() / 500 for i in range(600)]
+    with small_tasks(40):
+        got = registry.early_stop(history(spark, taus).repartition(3), patience, delta, block=block).first()
+    assert (got["epochs_run"], got["stopped"], got["reference_tau"]) == stop_by_last_gain(taus, patience, delta)
+
+
+def test_no_known_tau(spark):
+    r = registry.early_stop(history(spark, [None] * 5), 9, .1).first()
+    assert (r["epochs_run"], r["stopped"], r["reference_tau"]) == (5, False, None)

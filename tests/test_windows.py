@@ -13,10 +13,8 @@ def frames(spark, **series):
 
 
 def starts(n, win, hop):
-    if n <= win:
-        return [0]
-    out = list(range(0, n - win + 1, hop))
-    return out if out[-1] == n - win else out + [n - win]
+    """All multiples of hop that leave room for a window, and the last place that does."""
+    return sorted({k for k in range(0, n, hop) if k + win <= n} | {max(0, n - win)})
 
 
 @pytest.mark.parametrize("n", [1, 20, 50, 51, 75, 100, 101, 133])
