@@ -200,10 +200,12 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with `error`: the text of a line that is no record of the schema, whose other columns are then what could be read of it.
 
-    A broken line becomes a row of its own and the job goes on.
+    A broken line becomes a row of its own and the job goes on. Lines are always parsed whole: a reader that leaves out
+    columns nobody asks for would not see what is wrong with them.
     """
     whole = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
-    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path)
+    record = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "error"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(record.alias("r")).select("r.*")
 
 
 def write_window_table(windows: DataFrame, name: str, path: str, index: DataFrame, buckets: int = 64) -> None:

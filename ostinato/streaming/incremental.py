@@ -17,12 +17,21 @@ from pyspark.sql import types as T
 GENERATION = "generation"
 
 
+def _stream_of(spark: SparkSession, source: str, schema: T.StructType | str) -> DataFrame:
+    """The files of a folder as a stream; of a single file, that file of its folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(source)
+
+
 def take_new(spark: SparkSession, source: str, schema: T.StructType | str, compute: Callable[[DataFrame], DataFrame], target: str) -> None:
     """Compute the rows of all source files that no earlier call has seen and add them to `target`.
 
     `compute` works row by row on the source (no aggregation over files), keeps the key in `id`, and is the same in every call.
     """
-    rows = compute(spark.readStream.schema(schema).parquet(source))
+    rows = compute(_stream_of(spark, source, schema))
     stream = (rows.writeStream.format("parquet").outputMode("append").option("path", f"{target}/rows")
               .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start())
     stream.awaitTermination()
