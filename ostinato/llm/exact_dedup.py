@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.storage import drop_rows, with_row_no, written
+from ostinato.llm.storage import as_table, drop_rows, with_row_no, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUNS, FAN_IN = 64, 8
@@ -62,5 +62,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows that stay, with all their columns. `docs` must be a table as read."""
+    """The rows that stay, with all their columns."""
+    docs = as_table(docs)
     return drop_rows(docs, exact_groups(docs, id_col, text_col, keep).filter("not kept"))

@@ -11,8 +11,13 @@ reach the threshold.
 Connecting needs no list of all pairs. In each of the first rounds a key links its nodes to one of them (first
 the one with the fewest n-grams of its own, the centre of a family of copies), and only nodes of other groups;
 nodes of a key that are already in one group are never compared. The last round compares, for every key, what
-is still in different groups, so no link between groups is missed. A key has few nodes unless it is frequent,
-and frequent keys come last in the order.
+is still in different groups, so no link between groups is missed. There the nodes of a key are dealt to tiles of two
+blocks, with a bitmap of each set: bits that differ come of n-grams that differ, which bounds the overlap from above. Pairs
+that the bound rules out never become rows, and texts are fetched for the others alone. A key has few nodes unless it is
+frequent, and frequent keys come last in the order.
+
+Words and n-grams have 64-bit hashes. A set has a 64-bit number; its size and a second hash are compared over all texts,
+and if two sets have one number, all are numbered again with another seed.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; fewer than n words are
 one n-gram; repeated rows and null ids are answered each, a group's id is the smallest id in it; an empty
@@ -29,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.llm.batches import flat, fold, map_texts, runs, slices
+from ostinato.llm.batches import distinct, flat, fold, map_texts, runs, slices
 from ostinato.llm.graph import components
-from ostinato.llm.storage import as_read, drop_rows, dropped, with_row_no, written
+from ostinato.llm.storage import as_table, drop_rows, dropped, with_row_no, written
 
 SIZE = 4                      # words of an n-gram
 PERCENT = 85
@@ -42,6 +47,7 @@ KEY_ROWS = 50_000             # nodes of a key beyond which its rows are dealt o
 STAR_ROUNDS = 2
 OWN = 1 << 20                 # more than the n-grams of one text that are counted as its own
 BLOCK = 256                   # candidates in one trie
+TILE = 1024                   # nodes of a key that meet at once, twice
 SEND_TEXTS = 200_000          # ids of wanted texts up to which they are broadcast
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -54,7 +60,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20             # bytes hashed at once
-LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))     # a number for each byte
 
 
 @functools.lru_cache(maxsize=8)
@@ -63,37 +68,19 @@ def places(size: int) -> np.ndarray:
     return mixed(np.arange(1001, 1001 + size, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
-@functools.lru_cache(maxsize=2)
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial in its bytes, from running sums over all bytes, then mixed."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, "right")))
-        low, high = int(starts[at]), int(ends[to - 1])
-        n = max(SEGMENT, high - low)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(LETTERS[data[low:high]] * powers(BASE, n)[:high - low], out=sums[1:])
-        first, last = starts[at:to] - low, ends[at:to] - low
-        value = (sums[last] - sums[first]) * powers(pow(BASE, -1, 1 << 64), n)[first]
-        out[at:to] = mixed(value + (last - first).astype(np.uint64))
-        at = to
-    return out
+def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word among the runs between `bounds`; equal words are hashed once."""
+    codes, spans = distinct(data, bounds)
+    seen = np.fromiter(map(xxhash.xxh3_64_intdigest, spans.to_pylist()), np.uint64, len(spans))
+    return seen[codes[is_word]] if len(seen) else np.zeros(0, np.uint64)
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
     data, offsets = flat(column)
     bounds, is_word = runs(data, offsets)
-    starts, ends = bounds[:-1][is_word], bounds[1:][is_word]
-    rows = np.searchsorted(starts, offsets)
-    word = word_hashes(fold(data), starts, ends)
+    rows = np.searchsorted(bounds[:-1][is_word], offsets)
+    word = word_hashes(fold(data), bounds, is_word)
     total = len(word) - size + 1
     whole = np.zeros(len(word), np.uint64)
     if total > 0:
@@ -120,9 +107,23 @@ def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """Identity of a set (64 bits, as for the n-grams themselves)."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)) if len(shingles) else 0
+def node_of(shingles: np.ndarray, seed: int = 0) -> int:
+    """Number of a set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed)).astype(np.int64)) if len(shingles) else 0
+
+
+def width_of(n: int) -> int:
+    """Bits in the bitmap of a set of n."""
+    return 1 << max(6, (4 * n - 1).bit_length())
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each remainder of the hashes whether an odd number of n-grams has it."""
+    if not len(shingles):
+        return b""
+    width = width_of(len(shingles))
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -140,23 +141,29 @@ def short_length(n: int, percent: int = PERCENT) -> int:
     return min(n, n + -(2 * percent * n) // (100 + percent) + COMMON)
 
 
-def node_rows(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(row_no, id, node, n) of every row of texts(row_no, id, text), written."""
+def node_rows(texts: DataFrame, size: int = SIZE) -> tuple[DataFrame, int]:
+    """(row_no, id, node, n, bits) of every row of texts(row_no, id, text), written, and the seed of the node numbers."""
     kind = dict(texts.dtypes)["id"]
+    seed = 0
+    while True:
+        def run(batch: pa.RecordBatch, seed=seed) -> dict:
+            sets = shingle_sets(batch.column("text"), size)
+            return {"row_no": batch.column("row_no"), "id": batch.column("id"), "node": pa.array([node_of(s, seed) for s in sets], pa.int64()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(map(bitmap, sets), pa.binary()),
+                    "other": pa.array([node_of(s, seed + 1_000_003) for s in sets], pa.int64())}
 
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(batch.column("text"), size)
-        return {"row_no": batch.column("row_no"), "id": batch.column("id"), "node": pa.array([node_of(s) for s in sets], pa.int64()),
-                "n": pa.array([len(s) for s in sets], pa.int64())}
-
-    return written(map_texts(texts, run, f"row_no long, id {kind}, node long, n long"))
+        rows = written(map_texts(texts, run, f"row_no long, id {kind}, node long, n long, bits binary, other long"))
+        same = rows.groupBy("node").agg(F.min(F.struct("n", "other")).alias("lo"), F.max(F.struct("n", "other")).alias("hi"))
+        if same.filter("lo != hi").limit(1).count() == 0:
+            return rows.drop("other"), seed
+        seed += 1
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_row_no(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Frequent n-grams near the front of the hash order, ascending, and their numbers of nodes.
 
     Counted over all texts, for the n-grams that lie in the first part of a text's hash order (a quarter more
@@ -165,7 +172,7 @@ def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE) -> tuple
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, found = set(), []
         for s in shingle_sets(batch.column("text"), size):
-            node = node_of(s)
+            node = node_of(s, number)
             if len(s) and node not in seen:
                 seen.add(node)
                 found.append(s[:prefix_length(len(s), percent) * 5 // 4])
@@ -192,20 +199,20 @@ def frequent_shingles(texts: DataFrame, percent: int, size: int = SIZE) -> tuple
     return key[order], table["n"].to_numpy()[order]
 
 
-def prefix_keys(texts: DataFrame, percent: int, size: int = SIZE) -> DataFrame:
+def prefix_keys(texts: DataFrame, percent: int, size: int = SIZE, number: int = 0) -> DataFrame:
     """(key, salt, hot, node, info): the first n-grams of every node in the global order.
 
     info holds the set's size, the number of its n-grams that are not frequent, and whether the n-gram is among the
     first `short_length`.
     """
     spark = texts.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, percent, size))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, percent, size, number))
 
     def run(batch: pa.RecordBatch) -> dict | None:
         hot, rows = frequent.value
         seen, keys, salts, hots, nodes, infos = set(), [], [], [], [], []
         for s in shingle_sets(batch.column("text"), size):
-            node = node_of(s)
+            node = node_of(s, number)
             if not len(s) or node in seen:
                 continue
             seen.add(node)
@@ -240,38 +247,92 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return written(rows.select("key", "node", F.floor(rest / OWN).alias("n"), F.pmod(rest, F.lit(OWN)).alias("own"), (F.col("info") % 2 == 1).alias("short")).distinct())
 
 
-def with_key(rows: DataFrame, *columns) -> DataFrame:
-    """`rows` with aggregates of their key: partial sums, written, joined back with a plain shuffle on both sides."""
-    return rows.join(written(rows.groupBy("key").agg(*columns)), "key")
-
-
-def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b, n, m, common): one node of each key against the nodes of other groups in the key."""
+def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """The `possible` pairs of one node of each key with the nodes of other groups in the key, written."""
     order = F.xxhash64("label", F.lit(turn)) if turn else F.col("own")
     first = F.min(F.struct(order.alias("order"), "node", "n", "label")).alias("first")
-    star = with_key(rows, first).filter("first.label != label")
+    firsts = written(rows.groupBy("key").agg(first))           # partial sums; the join then has a plain shuffle on both sides
+    star = rows.join(firsts, "key").filter("first.label != label")
     swapped = F.col("node") < F.col("first.node")
     def pick(when_lower, when_higher, name):
         return F.when(swapped, F.col(when_lower)).otherwise(F.col(when_higher)).alias(name)
-    return (star.select(pick("node", "first.node", "a"), pick("first.node", "node", "b"), pick("n", "first.n", "n"), pick("first.n", "n", "m"))
-            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common")))
+    met = star.select(pick("node", "first.node", "a"), pick("first.node", "node", "b"), pick("n", "first.n", "n"), pick("first.n", "n", "m"))
+    out = written(possible(met, percent))
+    dropped(firsts)
+    return out
 
 
-def possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, common, n, m) whose sizes and shared keys allow the threshold."""
+def possible(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of met(a, b, n, m), one row per shared key, whose sizes and number of shared keys allow the threshold."""
+    pairs = met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common"))
     small, large = F.least("n", "m"), F.greatest("n", "m")
     overlap = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
     return pairs.filter((small * 100 >= large * percent) & (F.col("common") >= F.least(F.lit(COMMON), overlap - 1))).select("a", "b")
 
 
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, n, m, common): all nodes of different groups that share keys, and how many."""
-    ends = with_key(rows, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any")).filter("lo != hi and any")
-    open_rows = written(ends.drop("lo", "hi", "any"))
-    larger = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    smaller = open_rows.filter("short").select("key", F.col("node").alias("a"), "n", "label")
-    return (smaller.join(larger, "key").filter("label != other and (n < m or n = m and a < b)")
-            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common")))
+def crossing_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The `possible` pairs of all nodes of different groups that share keys and whose bitmaps allow the threshold, written."""
+    ends = written(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any"), F.count(F.lit(1)).alias("m"))
+                   .filter("lo != hi and any").select("key", "m"))
+    open_rows = written(rows.join(ends, "key").select("key", "m", "node", "n", "label", "short"))
+    maps = written(nodes.join(open_rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")))
+    blocks = F.ceil(F.col("m") / TILE)
+    dealt = open_rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    tiles = dealt.join(maps, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "short", "bits")
+
+    def run(batches):
+        key, held = None, []
+        for part in (part for batch in batches for part in slices(batch, "bits", SEGMENT)):
+            names = list(zip(*(part.column(c).to_pylist() for c in ("key", "i", "j"))))
+            cuts = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                if held and names[a] != key:
+                    yield tile_matches(pa.concat_batches(held), percent)
+                    held = []
+                key = names[a]
+                held.append(part.slice(a, b - a))
+        if held:
+            yield tile_matches(pa.concat_batches(held), percent)
+
+    met = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, n long, m long")
+    out = written(possible(met, percent))
+    dropped(ends, open_rows, maps)
+    return out
+
+
+def tile_matches(tile: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """(a, b, n, m) of a tile's pairs: of different groups and, in a tile of two blocks, of different blocks; the smaller set
+    is met by a short key; and the bits that differ leave enough for the overlap."""
+    node, n, label, own, short = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "label", "own", "short"))
+    order = np.lexsort((node, n))
+    node, n, label, own, short = (x[order] for x in (node, n, label, own, short))
+    crossing = tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
+    bits = tile.column("bits").take(pa.array(order))
+    width = np.array([width_of(int(x)) for x in n]) // 64
+    maps, folded, first = {}, {}, {}
+    for w in np.unique(width).tolist():              # sets of one width follow each other, as they are sorted by size
+        inside = np.flatnonzero(width == w)
+        first[w] = int(inside[0])
+        maps[w] = np.frombuffer(b"".join(bits.slice(first[w], len(inside)).to_pylist()), np.uint64).reshape(-1, w)
+        folded[w] = maps[w][:, :w // 2] ^ maps[w][:, w // 2:] if w > 1 else None
+    reach = np.searchsorted(n, n * 100 // percent, "right")
+    left, right = [], []
+    for k in np.flatnonzero(short).tolist():
+        near = np.arange(k + 1, reach[k])
+        near = near[(label[near] != label[k]) & ((own[near] != own[k]) | (not crossing))]
+        w = int(width[k])
+        for wide, table in ((w, maps), (2 * w, folded)):
+            some = near[width[near] == wide]
+            if len(some):
+                apart = np.bitwise_count(table[wide][some - first[wide]] ^ maps[w][k - first[w]]).sum(axis=1, dtype=np.int64)
+                both = n[k] + n[some]
+                some = some[both - apart >= 2 * -(-both * percent // (100 + percent))]
+                left += [k] * len(some)
+                right += some.tolist()
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    swap = node[a] > node[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["a", "b", "n", "m"])
 
 
 def trie_matches(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -350,7 +411,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SIZE)
         if key is not None:
             yield pa.RecordBatch.from_pydict(matches())
 
-    return written(stream.mapInArrow(run, "a long, b long"))
+    out = written(stream.mapInArrow(run, "a long, b long"))
+    dropped(blocks)
+    return out
 
 
 def wanted_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -358,25 +421,30 @@ def wanted_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = written(nodes.groupBy("node").agg(F.min("row_no").alias("row_no")).join(wanted, "node"))
     few = rows.count() <= SEND_TEXTS
-    return written(docs.join(F.broadcast(rows) if few else rows, "row_no").select("node", "text"))
+    out = written(docs.join(F.broadcast(rows) if few else rows, "row_no").select("node", "text"))
+    dropped(rows)
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """(row_no, id, n_shingles, component_id) of every row. `docs` must be a table as read."""
-    if not as_read(docs):
-        raise ValueError("texts are fetched by row number from a table as read only; write it first")
+    """(row_no, id, n_shingles, component_id) of every row; row_no as `with_row_no(as_table(docs))` gives it."""
+    docs = as_table(docs)
     texts = numbered(docs, id_col, text_col)
-    nodes = node_rows(texts, size)
-    keys = shared_keys(prefix_keys(docs.select(F.col(text_col).alias("text")), percent, size))
+    nodes, number = node_rows(texts, size)
+    keys = shared_keys(prefix_keys(docs.select(F.col(text_col).alias("text")), percent, size, number))
     labelled = keys.withColumn("label", F.col("node"))
-    links = None
+    links, groups = None, None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(labelled, turn) if turn < STAR_ROUNDS else crossing_pairs(labelled)
-        pairs = written(possible(pairs, percent))
-        found = verified(pairs, wanted_texts(pairs, nodes, texts), percent, size)
+        pairs = star_pairs(labelled, turn, percent) if turn < STAR_ROUNDS else crossing_pairs(labelled, nodes, percent)
+        wanted = wanted_texts(pairs, nodes, texts)
+        found = verified(pairs, wanted, percent, size)
+        dropped(pairs, wanted)
         links = found if links is None else links.unionByName(found)
+        if groups is not None:
+            dropped(groups)
         groups = components(links)
-        labelled = keys.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        labelled = keys.join(groups.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    dropped(keys)
     labels = nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(groups, "node", "left").select(
         "node", "least", F.coalesce("component", "node").alias("component"))
     of_group = labels.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -388,6 +456,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """One row of each group, the one with the smallest id (of repeated ids the first row); empty texts stay."""
+    docs = as_table(docs)
     rows = written(similar_groups(docs, id_col, text_col, percent, size))
     first = written(rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no")).alias("first"))
                     .select("component", F.col("first.row_no").alias("kept_row")))

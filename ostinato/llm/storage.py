@@ -28,8 +28,15 @@ ROW_BITS = 40                 # of a row number, for the row within its file
 
 
 def as_read(docs: DataFrame) -> bool:
-    """Whether `docs` is a table of files without any step after its reading."""
-    return docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    """Whether `docs` is a table of Parquet files without any step after its reading, so that rows have places in files."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return False
+    return "row_index" in docs.select(docs.metadataColumn("_metadata").alias("m")).schema["m"].dataType.names
+
+
+def as_table(docs: DataFrame) -> DataFrame:
+    """`docs` where it is a table as read, else its rows written once: the one form in which rows are numbered alike in every scan."""
+    return docs if as_read(docs) else written(docs)
 
 
 def with_row_no(docs: DataFrame, *columns: Column | str, name: str = "row_no") -> DataFrame:
@@ -51,11 +58,11 @@ def with_row_no(docs: DataFrame, *columns: Column | str, name: str = "row_no") -
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, row_no: str = "row_no") -> DataFrame:
-    """`docs`, a table as read, without the rows whose numbers (`with_row_no`) are in `gone`.
+    """`docs`, an `as_table`, without the rows whose numbers (`with_row_no`) are in `gone`.
 
     The names used for the join are new, so no column of `docs` clashes.
     """
     if not as_read(docs):
-        raise ValueError("rows are dropped by number from a table as read only; write it first")
+        raise ValueError("rows are dropped by number from a table as read; give it as as_table(docs)")
     own, other = (f"_{uuid.uuid4().hex}" for _ in range(2))
     return with_row_no(docs, "*", name=own).join(gone.select(F.col(row_no).alias(other)), F.col(own) == F.col(other), "left_anti").drop(own)

@@ -137,3 +137,80 @@ def test_prefixes_meet(seed):
         small, large = sorted((sorted(x), sorted(y)), key=len)
         met = set(small[:nj.short_length(len(small))]) & set(large[:nj.prefix_length(len(large))])
         assert len(met) >= min(nj.COMMON, len(x & y))
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(spark, tmp_path):
+    """The Thue-Morse word of 1,024 letters and its complement agree in every polynomial with an odd base modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {r.id: r.component_id for r in nj.similar_groups(docs).collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("form", ["filter", "view", "union", "json", "created"])
+def test_any_kind_of_table(spark, tmp_path, form):
+    from ostinato.llm import exact_dedup
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 0), (2, text + " end", 0), (3, "other", 0), (4, "OTHER", 0)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, row_no int")
+    made.write.parquet(f"{tmp_path}/p")
+    made.write.json(f"{tmp_path}/j")
+    stored = spark.read.parquet(f"{tmp_path}/p")
+    stored.createOrReplaceTempView("some_docs")
+    docs = {"filter": stored.filter("doc_id < 9"), "view": spark.table("some_docs"), "union": stored.filter("doc_id < 3").union(stored.filter("doc_id > 2")),
+            "json": spark.read.schema(made.schema).json(f"{tmp_path}/j"), "created": made}[form]
+    assert sorted(r.doc_id for r in nj.near_dedup(docs).collect()) == [1, 3]
+    assert nj.near_dedup(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in exact_dedup.exact_dedup(docs).collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles_lose_no_similar_pair(seed):
+    rng = np.random.default_rng(seed)
+    sets, labels = [], []
+    for base in range(6):
+        core = rng.integers(0, 2 ** 63, rng.choice([3, 16, 40, 200, 900])).astype(np.uint64)
+        for _ in range(8):
+            own = rng.random(len(core)) > rng.choice([0, .02, .1])
+            sets.append(np.unique(np.concatenate((core[own], rng.integers(0, 2 ** 63, rng.integers(0, 1 + len(core) // 12)).astype(np.uint64)))))
+            labels.append(int(rng.integers(0, 3)))
+    sets = [s if len(s) else np.array([k], np.uint64) for k, s in enumerate(sets)]
+    half = [k % 2 for k in range(len(sets))]
+    for percent in (85, 80):
+        for crossing in (False, True):
+            tile = pa.RecordBatch.from_pydict({
+                "i": pa.array([0] * len(sets)), "j": pa.array([int(crossing)] * len(sets)), "node": pa.array(range(len(sets))), "n": pa.array([len(s) for s in sets]),
+                "label": pa.array(labels), "own": pa.array(half if crossing else [0] * len(sets)), "short": pa.array([True] * len(sets)),
+                "bits": pa.array([nj.bitmap(s) for s in sets], pa.binary())})
+            got = set(zip(*(nj.tile_matches(tile, percent).column(c).to_pylist() for c in "ab")))
+            for a, b in itertools.combinations(range(len(sets)), 2):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                allowed = labels[a] != labels[b] and (not crossing or half[a] != half[b])
+                assert not (100 * len(x & y) >= percent * len(x | y) and allowed) or (a, b) in got
+                assert allowed or (a, b) not in got
+            assert len(got) < len(sets) ** 2 / 6
+
+
+def test_a_family_just_below_the_threshold_sends_few_pairs(spark, monkeypatch):
+    """Texts of 200 words with 8 changed: all share n-grams, none are similar; the pairs whose texts are fetched do not grow with the square."""
+    seen, own = [], nj.crossing_pairs
+
+    def counted(*args):
+        out = own(*args)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(nj, "crossing_pairs", counted)
+    monkeypatch.setattr(nj, "TILE", 50)
+    for n in (100, 200):
+        texts = dict(enumerate(family(np.random.default_rng(7), n, 200, 8)))
+        docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+        got = {r.id: r.component_id for r in nj.similar_groups(docs).collect()}
+        assert got == brute(texts)[1]
+    assert seen[1] <= 3 * seen[0] + 20 and seen[1] < 200
+
+
+def test_sets_with_one_number_are_numbered_again(spark, monkeypatch):
+    own = nj.node_of
+    monkeypatch.setattr(nj, "node_of", lambda s, seed=0: 7 if seed == 0 and len(s) else own(s, seed))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (3, None)], "doc_id long, text string")
+    rows, seed = nj.node_rows(nj.numbered(docs, "doc_id", "text"))
+    assert seed == 1 and rows.select("node").distinct().count() == 3
