@@ -27,7 +27,6 @@ from ostinato.llm.labels import PER_CLASS, class_sample, one_label
 from ostinato.llm.storage import dropped, written
 
 EDGES = ".,;:!?\"'()[]{}*&%$#|<>~-_"     # trimmed from words
-MAX_WORDS = 4096                          # size of the model
 OFFENDING = 0.5
 
 
@@ -98,8 +97,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("positive").alias("positive"), F.sum("n").alias("n"))
 
 
-def telling_words(counts: DataFrame, share: float, limit: int = MAX_WORDS) -> list[str]:
-    """Words over-represented in positive documents beyond chance, the most telling first."""
+def telling_words(counts: DataFrame, share: float) -> list[str]:
+    """All words of the sample over-represented in positive documents beyond chance, the most telling first."""
     usual = counts.filter("n > 1 and word != ''")
     tried = usual.count()
     if not tried or not 0 < share < 1:
@@ -108,27 +107,27 @@ def telling_words(counts: DataFrame, share: float, limit: int = MAX_WORDS) -> li
     def part(k, p):
         return F.when(k > 0, k * F.ln(k / (n * F.lit(p)))).otherwise(0.0)
     ratio = 2 * (part(a, share) + part(n - a, 1 - share))
-    chosen = usual.filter((a > n * F.lit(share)) & (ratio > 2 * math.log(tried + 1))).orderBy(ratio.desc(), "word").limit(limit)
+    chosen = usual.filter((a > n * F.lit(share)) & (ratio > 2 * math.log(tried + 1))).orderBy(ratio.desc(), "word")
     return [r["word"] for r in chosen.select("word").collect()]
 
 
-def fit_noisy_or(doc_label, n_sentences, sentence_doc, pair_sentence, pair_word, n_words, weight, rounds: int = 300):
+def fit_noisy_or(doc_label, sentence_doc, pair_sentence, pair_word, n_words, weight, rounds: int = 300):
     """Bias and word weights by Adam on the negative log-likelihood of the document labels.
 
-    Sentences without a model word all have score sigmoid(bias), so they enter by number.
+    A document has one background term of score sigmoid(bias); its sentences without a model word add nothing, so that
+    length alone tells nothing.
     """
     bias, w = -7.0, np.full(n_words, 3.0)
-    plain = n_sentences - np.bincount(sentence_doc, minlength=len(doc_label))
     state = np.zeros((2, n_words + 1))
     for step in range(1, rounds + 1):
         z = bias + np.bincount(pair_sentence, weights=w[pair_word], minlength=len(sentence_doc))
-        total = np.bincount(sentence_doc, weights=softplus(z), minlength=len(doc_label)) + plain * softplus(bias)
+        total = np.bincount(sentence_doc, weights=softplus(z), minlength=len(doc_label)) + softplus(bias)
         total = np.maximum(total, 1e-12)
         # d loss / d total: 1 for label 0, -exp(-total) / (1 - exp(-total)) for label 1
         slope = weight * np.where(doc_label == 1, -1 / np.expm1(total), 1.0)
         dz = slope[sentence_doc] / (1 + np.exp(-z))
         grad = np.append(np.bincount(pair_word, weights=dz[pair_sentence], minlength=n_words) + 0.02 * (w - 3.0),
-                         dz.sum() + (slope * plain).sum() / (1 + math.exp(-bias)))
+                         dz.sum() + slope.sum() / (1 + math.exp(-bias)))
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad ** 2
         move = 0.1 * (state[0] / (1 - 0.9 ** step)) / (np.sqrt(state[1] / (1 - 0.99 ** step)) + 1e-8)
@@ -168,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     doc = np.repeat(np.arange(len(n)), np.diff(sentence.offsets.to_numpy()))
     key, of_pair = np.unique(doc * (int(n.max(initial=0)) + 1) + sentence.flatten().to_numpy(), return_inverse=True)
     weight = np.array([sizes[k] / got[k] for k in (0, 1)])[label_of]
-    bias, w = fit_noisy_or(label_of, n, key // (int(n.max(initial=0)) + 1), of_pair, word.flatten().to_numpy(), len(model.words),
+    bias, w = fit_noisy_or(label_of, key // (int(n.max(initial=0)) + 1), of_pair, word.flatten().to_numpy(), len(model.words),
                            weight * len(n) / weight.sum())
     return Model(model.words, w, bias)
 
@@ -180,7 +179,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batch: pa.RecordBatch) -> dict:
         text = Sentences(batch.column(text_col))
         sentence, word = model.features(text)
-        z = np.full(len(text.first), model.bias) + np.bincount(sentence, weights=model.weights[word], minlength=len(text.first))
+        z = model.bias + np.bincount(sentence, weights=model.weights[word], minlength=len(text.first))
+        z[np.bincount(sentence, minlength=len(text.first)) == 0] = -np.inf        # no model word: adds nothing
         p = 1 / (1 + np.exp(-z))
         bad = np.flatnonzero(p >= OFFENDING)
         at = np.searchsorted(text.row[bad], np.arange(batch.num_rows + 1))
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         parts = pa.StructArray.from_arrays([pa.array(bad - text.rows[text.row[bad]], pa.int32()), pa.array(start, pa.int32()),
                                             pa.array(end, pa.int32()), pa.array(p[bad], pa.float64())], ["sentence", "start", "end", "score"])
         return {n: batch.column(n) for n in (id_col, *keep)} | {
-            "score": pa.array(np.clip(-np.expm1(-per_row(softplus(z), text.rows)), 0.0, 1.0)),
+            "score": pa.array(np.clip(-np.expm1(-per_row(softplus(z), text.rows) - softplus(model.bias)), 0.0, 1.0)),
             "n_sentences": pa.array(np.diff(text.rows), pa.int64()),
             "offending": pa.ListArray.from_arrays(pa.array(at, pa.int32()), parts)}
 

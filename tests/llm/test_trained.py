@@ -53,16 +53,45 @@ def test_sentences():
     assert [s.names[int(c)].as_py() for c in s.code[:3]] == ["one", "two", "three"]
 
 
-def test_noisy_or_by_hand():
+def test_noisy_or_by_hand(spark):
     model = toxicity.Model(["bad", "worse"], np.array([4.0, 6.0]), -5.0)
     sig = lambda z: 1 / (1 + math.exp(-z))
-    z = [[-5 + 4, -5], [-5 + 10], []]
-    want = [1 - math.prod(1 - sig(x) for x in row) for row in z]
-    s = toxicity.Sentences(pa.array(["BAD bad. fine", "worse, bad", None]))
-    sentence, word = model.features(s)
-    own = np.full(len(s.first), model.bias) + np.bincount(sentence, weights=model.weights[word], minlength=len(s.first))
-    got = [1 - math.prod(1 - sig(x) for x in own[a:b]) for a, b in zip(s.rows, s.rows[1:])]
-    assert np.allclose(got, want)
+    z = {1: [-5 + 4], 2: [-5 + 10], 3: [], 4: [-5 + 4, -5 + 6]}
+    texts = {1: "BAD bad. fine", 2: "worse, bad", 3: None, 4: "bad\nand so\nworse"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for k, own in z.items():                    # one background term a document, and its sentences that hold a model word
+        assert got[k] == pytest.approx(1 - (1 - sig(-5)) * math.prod(1 - sig(x) for x in own))
+
+
+def test_length_alone_is_not_toxic(spark):
+    model = toxicity.Model(["bad"], np.array([4.0]), -3.0)
+    docs = spark.createDataFrame([(1, "All is well here."), (2, "All is well here. " * 100_000), (3, "All is well here. " * 100_000 + "Bad.")], "doc_id long, text string")
+    one, many, last = toxicity.score(docs, model).orderBy("doc_id").collect()
+    assert one.score == many.score < 0.1 < last.score and many.n_sentences == 100_000 and [o.sentence for o in last.offending] == [100_000]
+
+
+def test_fit_agrees_with_a_plain_one():
+    rng = np.random.default_rng(9)
+    docs = [[rng.random(3) < .4 for _ in range(rng.integers(1, 5))] for _ in range(30)]
+    label = np.array([int(any(s[0] for s in d)) for d in docs])
+    sentences = [(k, s) for k, d in enumerate(docs) for s in d if s.any()]
+    pairs = [(i, w) for i, (_, s) in enumerate(sentences) for w in np.flatnonzero(s)]
+    weight = np.where(label == 1, 2.0, 1.0)
+
+    def loss(theta):
+        total = np.full(len(docs), np.logaddexp(0, theta[-1]))
+        for k, s in sentences:
+            total[k] += np.logaddexp(0, theta[-1] + theta[:-1] @ s)
+        return (weight * np.where(label == 1, -np.log(-np.expm1(-total)), total)).sum() + 0.01 * ((theta[:-1] - 3) ** 2).sum()
+    theta, m, v = np.array([3.0, 3.0, 3.0, -7.0]), 0, 0
+    for step in range(1, 41):
+        g = np.array([(loss(theta + h) - loss(theta - h)) / 2e-5 for h in np.eye(4) * 1e-5])
+        m, v = .9 * m + .1 * g, .99 * v + .01 * g ** 2
+        theta = theta - .1 * (m / (1 - .9 ** step)) / (np.sqrt(v / (1 - .99 ** step)) + 1e-8)
+        theta[-1] = min(-2.0, theta[-1])
+    bias, w = toxicity.fit_noisy_or(label, np.array([k for k, _ in sentences]), np.array([i for i, _ in pairs]), np.array([x for _, x in pairs]), 3, weight, rounds=40)
+    assert np.allclose([*w, bias], theta, atol=1e-3)
 
 
 def test_toxicity_finds_the_sentence(spark):
