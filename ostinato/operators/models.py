@@ -256,18 +256,18 @@ def length_batches(items: DataFrame, batch: int, shuffle: bool = False, seed: in
     """Batches of similar length. items(id, length) -> id, length, bucket, slot, batch.
 
     Rows are numbered by (length, id) over all tasks, cut into buckets of batch*buckets rows, and with
-    `shuffle` mixed inside the buckets and among them by a hash of seed and epoch.
+    `shuffle` mixed inside the buckets and among them in order of SHA-256 of seed + epoch and the id or bucket.
     """
     size = batch * buckets
     placed = positions(items.select("id", "length"), [], ["length", "id"], "_at")
     placed = placed.withColumn("bucket", F.floor(F.col("_at") / size))
     if not shuffle:
         return placed.select("id", "length", "bucket", F.col("_at").alias("slot"), F.floor(F.col("_at") / batch).alias("batch"))
-    salt = F.lit(seed + epoch)
+    drawn = lambda c: F.sha2(F.concat(F.lit(f"{seed + epoch}:"), F.col(c).cast("string")), 256)
     # a bucket has at most `size` rows
-    inner = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(salt, "id"), "id")) - 1
+    inner = F.row_number().over(Window.partitionBy("bucket").orderBy(drawn("id"), "id")) - 1
     mixed = placed.withColumn("_inner", inner)
-    sizes = placed.groupBy("bucket").agg(row_count(), F.count(F.lit(1)).alias("_size")).withColumn("_order", F.xxhash64(salt, "bucket"))
+    sizes = placed.groupBy("bucket").agg(row_count(), F.count(F.lit(1)).alias("_size")).withColumn("_order", drawn("bucket"))
     offsets = running_sums(sizes, [], ["_order", "bucket"], {"_start": "_size"}).drop("_order", "_size")
     slot = F.col("_start") + F.col("_inner")
     return attach(mixed, offsets, ["bucket"]).select(

@@ -1038,7 +1038,11 @@ def length_batches(spark, sf):
     return models.length_batches(docs, 32)
 
 
-@query("shuffled_batches")
+@query("shuffled_batches", """with p as (select doc_id as id, n_chars as length, row_number() over (order by n_chars, doc_id) - 1 as pos from documents),
+ q as (select *, pos // 640 as bucket from p), i as (select *, row_number() over (partition by bucket order by sha256('42:' || id), id) - 1 as k from q),
+ s as (select bucket, coalesce(sum(n) over (order by sha256('42:' || bucket), bucket rows between unbounded preceding and 1 preceding), 0) as start
+  from (select bucket, count(*) as n from q group by bucket))
+ select id, length, i.bucket, (start + k)::bigint as slot, ((start + k) // 32)::bigint as batch from i join s on s.bucket = i.bucket""")
 def shuffled_batches(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length"))
     return models.length_batches(docs, 32, shuffle=True)

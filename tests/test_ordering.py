@@ -91,3 +91,17 @@ def test_halo_gives_each_block_its_neighbours(spark):
     for b in range(5):
         assert blocks[b] == [f for f in range(23) if b * 5 - 2 <= f <= b * 5 + 4 + 3]
     assert sorted(r["frame"] for r in out.filter("_core").collect()) == list(range(23))
+
+
+def test_split_plans_have_no_nested_loop(data, small_tasks):
+    with small_tasks(40):
+        for df in (positions(data, [], ["t", "n"], "p"), running_sums(data, [], ["t", "n"], {"s": "v"}), previous(data, ["k"], ["t", "n"], {"pv": "v"})):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_null_keys_are_split_too(spark, small_tasks):
+    df = spark.range(300).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("n"), F.lit(1).alias("one"))
+    with small_tasks(40):
+        assert rows(running_sums(df, ["k"], ["n"], {"s": "one"}).filter("s != n")) == []
+        assert rows(positions(df, ["k"], ["n"], "p").filter("p != n")) == []
