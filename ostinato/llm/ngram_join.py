@@ -114,7 +114,7 @@ def node_of(shingles: np.ndarray, seed: int = 0) -> int:
 
 def width_of(n: int) -> int:
     """Bits in the bitmap of a set of n."""
-    return 1 << max(6, (4 * n - 1).bit_length())
+    return 1 << max(6, (2 * n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
