@@ -11,10 +11,11 @@ reach the threshold.
 Connecting needs no list of all pairs. In each of the first rounds a key links its nodes to one of them (first
 the one with the fewest n-grams of its own, the centre of a family of copies), and only nodes of other groups;
 nodes of a key that are already in one group are never compared. The last round compares, for every key, what
-is still in different groups, so no link between groups is missed. There the nodes of a key are dealt to tiles of two
-blocks, with a bitmap of each set: bits that differ come of n-grams that differ, which bounds the overlap from above. Pairs
-that the bound rules out never become rows, and texts are fetched for the others alone. A key has few nodes unless it is
-frequent, and frequent keys come last in the order.
+is still in different groups, so no link between groups is missed. There keys with the same smallest group are a family; its
+nodes are dealt to tiles of two blocks, with a bitmap of each set, which comes once and not for every key. A tile counts the keys
+that each two of its nodes share. Bits that differ come of n-grams that differ, which bounds the overlap from above. Pairs that
+the bound rules out never become rows, the others once per family, and texts are fetched for these alone. A key has few nodes
+unless it is frequent, and frequent keys come last in the order.
 
 Words and n-grams have 64-bit hashes. A set has a 64-bit number; its size and a second hash are compared over all texts,
 and if two sets have one number, all are numbered again with another seed.
@@ -47,7 +48,8 @@ KEY_ROWS = 50_000             # nodes of a key beyond which its rows are dealt o
 STAR_ROUNDS = 2
 OWN = 1 << 20                 # more than the n-grams of one text that are counted as its own
 BLOCK = 256                   # candidates in one trie
-TILE = 1024                   # nodes of a key that meet at once, twice
+TILE = 1024                   # nodes of a block; two blocks meet at once
+TILE_SHINGLES = 1 << 26       # n-grams of a block's sets
 SEND_TEXTS = 200_000          # ids of wanted texts up to which they are broadcast
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -256,83 +258,154 @@ def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     swapped = F.col("node") < F.col("first.node")
     def pick(when_lower, when_higher, name):
         return F.when(swapped, F.col(when_lower)).otherwise(F.col(when_higher)).alias(name)
-    met = star.select(pick("node", "first.node", "a"), pick("first.node", "node", "b"), pick("n", "first.n", "n"), pick("first.n", "n", "m"))
+    met = star.select(pick("node", "first.node", "a"), pick("first.node", "node", "b"), pick("n", "first.n", "n"), pick("first.n", "n", "m"), F.lit(1).alias("shared"))
     out = written(possible(met, percent))
     dropped(firsts)
     return out
 
 
 def possible(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of met(a, b, n, m), one row per shared key, whose sizes and number of shared keys allow the threshold."""
-    pairs = met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("common"))
+    """(a, b): pairs of met(a, b, n, m, shared) whose sizes and number of shared keys allow the threshold."""
+    pairs = met.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("common"))
     small, large = F.least("n", "m"), F.greatest("n", "m")
     overlap = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
     return pairs.filter((small * 100 >= large * percent) & (F.col("common") >= F.least(F.lit(COMMON), overlap - 1))).select("a", "b")
 
 
+def open_keys(rows: DataFrame) -> DataFrame:
+    """(key, alone, family, blocks, node, n, label, own, short): the rows of keys with nodes of different groups, written.
+
+    Keys whose smallest group is the same are a family and are compared together, so that a set goes to a family once and
+    not once per key. A family's nodes are dealt to blocks by their number and size. A key of fewer nodes than its family
+    has blocks is a family of its own (`alone`), as its nodes would go to nearly as many blocks as they have partners.
+    """
+    ends = written(rows.groupBy("key").agg(F.min("label").alias("family"), F.max("label").alias("hi"), F.bool_or("short").alias("any"), F.count(F.lit(1)).alias("m"))
+                   .filter("family != hi and any").select("key", "family", "m"))
+    found = written(rows.join(ends, "key").select("key", "family", "m", "node", "n", "label", "short"))
+    sizes = written(found.select("family", "node", "n").distinct().groupBy("family")
+                    .agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("blocks")))
+    alone = F.col("m") < F.col("blocks")
+    blocks = F.when(alone, 1).otherwise(F.col("blocks"))
+    out = written(found.join(sizes, "family").select(
+        "key", alone.alias("alone"), F.when(alone, F.col("key")).otherwise(F.col("family")).alias("family"), blocks.alias("blocks"), "node", "n", "label",
+        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), "short"))
+    dropped(ends, found, sizes)
+    return out
+
+
 def crossing_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The `possible` pairs of all nodes of different groups that share keys and whose bitmaps allow the threshold, written."""
-    ends = written(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("any"), F.count(F.lit(1)).alias("m"))
-                   .filter("lo != hi and any").select("key", "m"))
-    open_rows = written(rows.join(ends, "key").select("key", "m", "node", "n", "label", "short"))
-    maps = written(nodes.join(open_rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")))
-    blocks = F.ceil(F.col("m") / TILE)
-    dealt = open_rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    tiles = dealt.join(maps, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "short", "bits")
+    """The `possible` pairs of all nodes of different groups that share keys and whose bitmaps allow the threshold, written.
+
+    A tile holds two blocks of a family: the bitmaps of their nodes, once, and then the rows of its keys, one key after the other.
+    """
+    found = open_keys(rows)
+    maps = written(nodes.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")))
+    several = found.filter("blocks > 1")
+    others = several.select("alone", "family", "key", F.col("own").alias("other")).distinct()
+    dealt = found.filter("blocks = 1").withColumn("other", F.col("own")).unionByName(several.join(others, ["alone", "family", "key"]).select(*found.columns, "other"))
+    tile = ["alone", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    members = dealt.select(*tile, "node", "n", "label", "own").distinct().join(maps, "node")
+    stream = dealt.select(*tile, "key", "node", "short").unionByName(members, allowMissingColumns=True)
+    order = ["alone", "family", "i", "j"]
 
     def run(batches):
-        key, held = None, []
+        tile, name = None, None
         for part in (part for batch in batches for part in slices(batch, "bits", SEGMENT)):
-            names = list(zip(*(part.column(c).to_pylist() for c in ("key", "i", "j"))))
-            cuts = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(names)]):
-                if held and names[a] != key:
-                    yield tile_matches(pa.concat_batches(held), percent)
-                    held = []
-                key = names[a]
-                held.append(part.slice(a, b - a))
-        if held:
-            yield tile_matches(pa.concat_batches(held), percent)
-
-    met = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, n long, m long")
+            names = np.stack([part.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in order])
+            cuts = (np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, part.num_rows]):
+                if name != names[:, a].tolist():
+                    if tile is not None:
+                        yield tile.matches(percent)
+                    name = names[:, a].tolist()
+                    tile = Tile(crossing=name[2] != name[3])
+                rows = part.slice(a, b - a)
+                described = rows.column("key").null_count
+                if described:
+                    tile.add(rows.slice(0, described))
+                if described < b - a:
+                    rows = rows.slice(described)
+                    tile.meet(*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "short")))
+        if tile is not None:
+            yield tile.matches(percent)
+
+    met = stream.repartition(*order).sortWithinPartitions(*order, F.col("key").asc_nulls_first()).mapInArrow(
+        run, "a long, b long, n long, m long, shared long")
     out = written(possible(met, percent))
-    dropped(ends, open_rows, maps)
+    dropped(found, maps)
     return out
 
 
-def tile_matches(tile: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    """(a, b, n, m) of a tile's pairs: of different groups and, in a tile of two blocks, of different blocks; the smaller set
-    is met by a short key; and the bits that differ leave enough for the overlap."""
-    node, n, label, own, short = (tile.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "label", "own", "short"))
-    order = np.lexsort((node, n))
-    node, n, label, own, short = (x[order] for x in (node, n, label, own, short))
-    crossing = tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
-    bits = tile.column("bits").take(pa.array(order))
-    width = np.array([width_of(int(x)) for x in n]) // 64
-    maps, folded, first = {}, {}, {}
-    for w in np.unique(width).tolist():              # sets of one width follow each other, as they are sorted by size
-        inside = np.flatnonzero(width == w)
-        first[w] = int(inside[0])
-        maps[w] = np.frombuffer(b"".join(bits.slice(first[w], len(inside)).to_pylist()), np.uint64).reshape(-1, w)
-        folded[w] = maps[w][:, :w // 2] ^ maps[w][:, w // 2:] if w > 1 else None
-    reach = np.searchsorted(n, n * 100 // percent, "right")
-    left, right = [], []
-    for k in np.flatnonzero(short).tolist():
-        near = np.arange(k + 1, reach[k])
-        near = near[(label[near] != label[k]) & ((own[near] != own[k]) | (not crossing))]
-        w = int(width[k])
-        for wide, table in ((w, maps), (2 * w, folded)):
-            some = near[width[near] == wide]
-            if len(some):
-                apart = np.bitwise_count(table[wide][some - first[wide]] ^ maps[w][k - first[w]]).sum(axis=1, dtype=np.int64)
-                both = n[k] + n[some]
-                some = some[both - apart >= 2 * -(-both * percent // (100 + percent))]
-                left += [k] * len(some)
-                right += some.tolist()
-    a, b = np.array(left, np.int64), np.array(right, np.int64)
-    swap = node[a] > node[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["a", "b", "n", "m"])
+class Tile:
+    """Nodes of two blocks of a family and, for each two of them, the number of keys in which they met.
+
+    `add` takes the nodes, then `meet` the rows of the keys in order of the key, both in parts of any length.
+    """
+
+    def __init__(self, crossing: bool):
+        self.crossing, self.parts, self.shared = crossing, [], None
+        self.key, self.at, self.short = None, [], []          # rows of the key that is not yet complete
+
+    def add(self, nodes: pa.RecordBatch) -> None:
+        self.parts.append(nodes.select(["node", "n", "label", "own", "bits"]))
+
+    def settle(self) -> None:
+        """The nodes in order of size."""
+        nodes = pa.Table.from_batches(self.parts).combine_chunks().to_batches()[0]
+        order = np.lexsort((nodes.column("node").to_numpy(), nodes.column("n").to_numpy()))
+        self.node, self.n, self.label, self.own = (nodes.column(c).to_numpy()[order] for c in ("node", "n", "label", "own"))
+        self.bits = nodes.column("bits").take(pa.array(order))
+        self.by_node = np.argsort(self.node)
+        self.shared = np.zeros((len(order), len(order)), np.int32)
+
+    def meet(self, keys: np.ndarray, nodes: np.ndarray, short: np.ndarray) -> None:
+        if self.shared is None:
+            self.settle()
+        at = self.by_node[np.searchsorted(self.node, nodes, sorter=self.by_node)]
+        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if keys[a] != self.key:
+                self.count()
+                self.key = keys[a]
+            self.at.append(at[a:b])
+            self.short.append(short[a:b].astype(bool))
+
+    def count(self) -> None:
+        """Adds the complete key: a node in its short prefix meets all nodes of the key."""
+        if self.at:
+            at, short = np.concatenate(self.at), np.concatenate(self.short)
+            self.shared[np.ix_(at[short], at)] += 1
+            self.at, self.short = [], []
+
+    def matches(self, percent: int) -> pa.RecordBatch:
+        """(a, b, n, m, shared) of the pairs of different groups and, in a tile of two blocks, of different blocks, that met in a
+        short key of the smaller set and whose bits that differ leave enough for the overlap."""
+        self.count()
+        node, n, label, own, shared = self.node, self.n, self.label, self.own, self.shared
+        width = np.array([width_of(int(x)) for x in n]) // 64
+        maps, folded, first = {}, {}, {}
+        for w in np.unique(width).tolist():              # sets of one width follow each other, as they are sorted by size
+            inside = np.flatnonzero(width == w)
+            first[w] = int(inside[0])
+            maps[w] = np.frombuffer(b"".join(self.bits.slice(first[w], len(inside)).to_pylist()), np.uint64).reshape(-1, w)
+            folded[w] = maps[w][:, :w // 2] ^ maps[w][:, w // 2:] if w > 1 else None
+        reach = np.searchsorted(n, n * 100 // percent, "right")
+        left, right = [], []
+        for k in np.flatnonzero(shared.any(axis=1)).tolist():
+            near = np.flatnonzero(shared[k, k + 1:reach[k]]) + k + 1
+            near = near[(label[near] != label[k]) & ((own[near] != own[k]) | (not self.crossing))]
+            w = int(width[k])
+            for wide, table in ((w, maps), (2 * w, folded)):
+                some = near[width[near] == wide]
+                if len(some):
+                    apart = np.bitwise_count(table[wide][some - first[wide]] ^ maps[w][k - first[w]]).sum(axis=1, dtype=np.int64)
+                    both = n[k] + n[some]
+                    some = some[both - apart >= 2 * -(-both * percent // (100 + percent))]
+                    left.append(np.full(len(some), k))
+                    right.append(some)
+        x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+        a, b = np.where(node[x] > node[y], y, x), np.where(node[x] > node[y], x, y)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node[a], node[b], n[a], n[b], shared[x, y])], names=["a", "b", "n", "m", "shared"])
 
 
 def trie_matches(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:

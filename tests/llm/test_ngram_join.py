@@ -177,11 +177,19 @@ def test_tiles_lose_no_similar_pair(seed):
     half = [k % 2 for k in range(len(sets))]
     for percent in (85, 80):
         for crossing in (False, True):
-            tile = pa.RecordBatch.from_pydict({
-                "i": pa.array([0] * len(sets)), "j": pa.array([int(crossing)] * len(sets)), "node": pa.array(range(len(sets))), "n": pa.array([len(s) for s in sets]),
-                "label": pa.array(labels), "own": pa.array(half if crossing else [0] * len(sets)), "short": pa.array([True] * len(sets)),
-                "bits": pa.array([nj.bitmap(s) for s in sets], pa.binary())})
-            got = set(zip(*(nj.tile_matches(tile, percent).column(c).to_pylist() for c in "ab")))
+            tile = nj.Tile(crossing)
+            rows = pa.RecordBatch.from_pydict({
+                "node": pa.array(range(len(sets))), "n": pa.array([len(s) for s in sets]), "label": pa.array(labels),
+                "own": pa.array(half if crossing else [0] * len(sets)), "bits": pa.array([nj.bitmap(s) for s in sets], pa.binary())})
+            tile.add(rows.slice(0, 20))
+            tile.add(rows.slice(20))
+            keys = np.repeat([5, 9], len(sets))              # all sets meet in two keys; the rows of a key come in several parts
+            for part in np.array_split(np.arange(len(keys)), 5):
+                tile.meet(keys[part], part % len(sets), np.ones(len(part), bool))
+            pairs = tile.matches(percent)
+            assert set(pairs.column("shared").to_pylist()) == {2}
+            got = set(zip(*(pairs.column(c).to_pylist() for c in "ab")))
+            assert len(got) == pairs.num_rows
             for a, b in itertools.combinations(range(len(sets)), 2):
                 x, y = set(sets[a].tolist()), set(sets[b].tolist())
                 allowed = labels[a] != labels[b] and (not crossing or half[a] != half[b])
