@@ -12,9 +12,9 @@ Connecting needs no list of all pairs. In each of the first rounds a key links i
 the one with the fewest n-grams of its own, the centre of a family of copies), and only nodes of other groups;
 nodes of a key that are already in one group are never compared. The last round compares, for every key, what
 is still in different groups, so no link between groups is missed. There keys with the same smallest group are a family; its
-nodes are dealt to tiles of two blocks, with a bitmap of each set, which comes once and not for every key. A tile counts the keys
-that each two of its nodes share. Bits that differ come of n-grams that differ, which bounds the overlap from above. Pairs that
-the bound rules out never become rows, the others once per family, and texts are fetched for these alone. A key has few nodes
+nodes are dealt to tiles of two blocks, with bitmaps of each set, which come once and not for every key. A tile counts the keys
+that each two of its nodes share. Bits that differ come of n-grams that differ, so each bitmap bounds the overlap from above. Pairs
+that a bound rules out never become rows, the others once per family, and texts are fetched for these alone. A key has few nodes
 unless it is frequent, and frequent keys come last in the order.
 
 Words and n-grams have 64-bit hashes. A set has a 64-bit number; its size and a second hash are compared over all texts,
@@ -49,7 +49,9 @@ STAR_ROUNDS = 2
 OWN = 1 << 20                 # more than the n-grams of one text that are counted as its own
 BLOCK = 256                   # candidates in one trie
 TILE = 1024                   # nodes of a block; two blocks meet at once
-TILE_SHINGLES = 1 << 26       # n-grams of a block's sets
+TILE_SHINGLES = 1 << 24       # n-grams of a block's sets
+MAPS = 4                      # bitmaps of a set
+MAP_SHIFTS = np.arange(MAPS, dtype=np.uint64) * np.uint64(11)
 SEND_TEXTS = 200_000          # ids of wanted texts up to which they are broadcast
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -115,16 +117,17 @@ def node_of(shingles: np.ndarray, seed: int = 0) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits in the bitmap of a set of n."""
+    """Bits in a bitmap of a set of n."""
     return 1 << max(6, (2 * n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """For each remainder of the hashes whether an odd number of n-grams has it."""
+    """`MAPS` bitmaps by different bits of the hashes: for each remainder whether an odd number of n-grams has it."""
     if not len(shingles):
         return b""
     width = width_of(len(shingles))
-    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    place = (shingles[None, :] >> MAP_SHIFTS[:, None]) & np.uint64(width - 1)
+    odd = np.bincount((place + np.arange(MAPS, dtype=np.uint64)[:, None] * np.uint64(width)).astype(np.int64).ravel(), minlength=MAPS * width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -387,8 +390,8 @@ class Tile:
         for w in np.unique(width).tolist():              # sets of one width follow each other, as they are sorted by size
             inside = np.flatnonzero(width == w)
             first[w] = int(inside[0])
-            maps[w] = np.frombuffer(b"".join(self.bits.slice(first[w], len(inside)).to_pylist()), np.uint64).reshape(-1, w)
-            folded[w] = maps[w][:, :w // 2] ^ maps[w][:, w // 2:] if w > 1 else None
+            maps[w] = np.frombuffer(b"".join(self.bits.slice(first[w], len(inside)).to_pylist()), np.uint64).reshape(-1, MAPS, w)
+            folded[w] = maps[w][:, :, :w // 2] ^ maps[w][:, :, w // 2:] if w > 1 else None
         reach = np.searchsorted(n, n * 100 // percent, "right")
         left, right = [], []
         for k in np.flatnonzero(shared.any(axis=1)).tolist():
@@ -398,7 +401,7 @@ class Tile:
             for wide, table in ((w, maps), (2 * w, folded)):
                 some = near[width[near] == wide]
                 if len(some):
-                    apart = np.bitwise_count(table[wide][some - first[wide]] ^ maps[w][k - first[w]]).sum(axis=1, dtype=np.int64)
+                    apart = np.bitwise_count(table[wide][some - first[wide]] ^ maps[w][k - first[w]]).sum(axis=2, dtype=np.int64).max(axis=1)
                     both = n[k] + n[some]
                     some = some[both - apart >= 2 * -(-both * percent // (100 + percent))]
                     left.append(np.full(len(some), k))
