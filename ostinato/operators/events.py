@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ostinato.operators.blocks import BLOCK, CORE, DEFAULT_BLOCK, with_halo
 from ostinato.operators.ordering import exact_percentiles, previous
 from ostinato.operators.skew import ROWS, attach
-from ostinato.operators.windows import series_lengths, window_strength, window_table
+from ostinato.operators.windows import NOT_DENSE, window_strength, window_table
 from ostinato.session import forget, settled
 
 # The tempo prior and its range.
 TEMPO_CENTRE = 120.0
 TEMPO_MAX = 320.0
+FRAMES_PER_TASK = 1 << 19       # frames of which one task takes the lag profiles
+BLOCKS_AT_ONCE = 32             # blocks whose profiles are taken together
+VALUES_AT_ONCE = 1 << 15        # values of the windows that are worked on together
+HELD_VALUES = 1 << 20           # values of windows that wait for others of their length
+TILE = 64                       # frames of a window in one product of matrices
 # Channel order of a rhythm window.
 RHYTHM_NAMES = ("onset_density", "onset_strength_mean", "onset_strength_std", "onset_strength_max",
                 "ioi_mean", "ioi_std", "ioi_cv", "tempo_bpm", "tempo_confidence")
@@ -97,44 +104,134 @@ def lag_autocorr(envelope: DataFrame, lags: int, value: str = "strength", block:
             .groupBy("id", "lag").agg(F.sum("r").alias("r")))
 
 
-def _framed_profile(x: np.ndarray, win: int, lead: int, tail: int) -> np.ndarray:
-    """Local autocorrelation at each frame of x[lead:len(x)-tail], scaled to a maximum of 1 per frame.
+def _block_rows(envelope: DataFrame, before: int, after: int, value: str, block: int) -> DataFrame:
+    """Frames of each (series, block) with their neighbours, sorted by frame; for `_blocks`.
 
-    Centred Hann frames; a series end is padded by a ramp down to 0, as x holds no neighbours there.
+    The rows are numbers and compress well, but each means much work, so they are dealt out by their count, not by bytes.
     """
-    half = win // 2
-    left, right = max(0, half - lead), max(0, half - tail)
-    padded = np.pad(x, (left, right), mode="linear_ramp", end_values=0.0)
-    skip = lead + left - half
-    n = len(x) - lead - tail
-    frames = np.lib.stride_tricks.sliding_window_view(padded[skip:], win)[:n]
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
-    size = 1 << int(math.ceil(math.log2(2 * win - 1)))
-    spectrum = np.fft.rfft(frames * hann, size, axis=1)
-    r = np.fft.irfft(np.abs(spectrum) ** 2, size, axis=1)[:, :win]
-    top = np.abs(r).max(axis=1, keepdims=True)
-    return r / np.where(top < np.finfo(float).tiny, 1.0, top)
+    frame = F.coalesce(F.col("frame").cast("long"), F.raise_error(F.lit(NOT_DENSE)).cast("long"))
+    own = envelope.filter("id is not null").select("id", frame.alias("frame"), F.col(value).cast("double").alias("x"))
+    tasks = max(1, -(-envelope.count() // FRAMES_PER_TASK))
+    around = with_halo(own, "frame", before, after, block).select("id", BLOCK, "frame", "x")
+    return around.repartition(tasks, "id", BLOCK).sortWithinPartitions("id", BLOCK, "frame")
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], before: int, block: int) -> Iterator[tuple[object, int, np.ndarray, int, int]]:
+    """(id, first own frame, values with neighbours, values ahead of the first own one, own values) of `_block_rows`.
+
+    Fails where the frames of a series are not 0..n-1, each once. A block sees the frame after its last one, so a gap between
+    blocks shows as well.
+    """
+    def whole(key, parts):
+        series, number = key
+        frame, x = (np.concatenate(p) if len(p) > 1 else p[0] for p in zip(*parts))
+        first = number * block
+        if frame[-1] < first:                                # the end of a series that has no frame of this block
+            return
+        start = max(0, first - before)
+        if frame[0] != start or frame[-1] != start + len(frame) - 1 or (np.diff(frame) != 1).any():
+            raise ValueError(NOT_DENSE)
+        yield series, first, x, first - start, min(block, len(x) - (first - start))
+
+    key, parts = None, []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        ids, number = batch.column("id"), batch.column(BLOCK).to_numpy()
+        frame, x = batch.column("frame").to_numpy(), batch.column("x").to_numpy(zero_copy_only=False)
+        new = (number[1:] != number[:-1]) | pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            here = ids[a].as_py(), int(number[a])
+            if parts and here != key:
+                yield from whole(key, parts)
+                parts = []
+            key = here
+            parts.append((frame[a:b], x[a:b]))
+    if parts:
+        yield from whole(key, parts)
+
+
+def _padded(x: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Rows of x with ramps from 0 to the first value and from the last to 0."""
+    return np.pad(x, ((0, 0), (left, right)), mode="linear_ramp", end_values=0.0)
+
+
+def _local_lags(x: np.ndarray, size: int, tile: int) -> Iterator[np.ndarray]:
+    """Local autocorrelation, lag by lag, of the frames of `size` values that start at the first `tile` columns: rows by frames.
+
+    Frames are Hann windows, scaled to a maximum of 1, which is that of lag 0. A lag of a frame is a sum of products of values
+    under a window that moves with the frame: a product of matrices for all rows and frames.
+    """
+    hann, zeros = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size), np.zeros(tile - 1)
+    top = 1.0
+    for k in range(size):
+        long = tile + size - 1 - k
+        moved = np.concatenate((zeros, hann[:size - k] * hann[k:], zeros))
+        band = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(moved, tile)[:long, ::-1])
+        r = (x[:, :long] * x[:, k:k + long]) @ band
+        if not k:
+            top = np.where(r < np.finfo(float).tiny, 1.0, r)
+        r /= top
+        yield r
+
+
+def _mean_profiles(x: np.ndarray, size: int) -> np.ndarray:
+    """The mean over its values of the local autocorrelation about each, for every row of x."""
+    n, half = x.shape[1], size // 2
+    padded, out = _padded(x, half, half), np.zeros((len(x), size))
+    for at in range(0, n, TILE):
+        tile = min(TILE, n - at)
+        for k, r in enumerate(_local_lags(padded[:, at:at + tile + size - 1], size, tile)):
+            out[:, k] += r.sum(axis=1)
+    return out / n
+
+
+def _block_moments(blocks: Sequence[tuple[np.ndarray, int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and sums of squared deviations by lag of the local autocorrelation in blocks (values, values ahead, own values)."""
+    half, tiles, valid, firsts = size // 2, [], [], []
+    for x, lead, core in blocks:
+        behind = len(x) - lead - core
+        # fewer neighbours than a frame reaches: the series ends there, and its ramp has its whole length
+        left, right = half * (lead < half), half * (behind < half)
+        whole = _padded(x[None, :], left, right)[0, left + lead - half:]
+        count = -(-core // TILE)
+        whole = np.concatenate((whole, np.zeros(max(0, count * TILE + size - 1 - len(whole)))))
+        firsts.append(sum(map(len, tiles)))
+        tiles.append(np.lib.stride_tricks.sliding_window_view(whole, TILE + size - 1)[:count * TILE:TILE])
+        valid.append(np.arange(count * TILE).reshape(count, TILE) < core)
+    x, own, n = np.concatenate(tiles), np.concatenate(valid), np.array([core for *_, core in blocks])
+    many, means, spreads = np.diff([*firsts, len(x)]), np.zeros((len(blocks), size)), np.zeros((len(blocks), size))
+    for k, r in enumerate(_local_lags(x, size, TILE)):
+        means[:, k] = np.add.reduceat(r.sum(axis=1, where=own), firsts) / n
+        away = r - np.repeat(means[:, k], many)[:, None]
+        spreads[:, k] = np.add.reduceat((away * away).sum(axis=1, where=own), firsts)
+    return means, spreads
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
 
 
 def lag_profile(envelope: DataFrame, lags: int = 192, value: str = "strength", block: int = 2048) -> DataFrame:
-    """Mean and population deviation over time of the local autocorrelation: id, lag, mean, std."""
-    half = lags // 2
-    lengths = series_lengths(envelope).drop(ROWS)
-    blocks = _block_arrays(envelope, half, half, value, block).join(lengths, "id")
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                x = np.asarray(row.xs, float)
-                tail = len(x) - row.lead - row.core
-                r = _framed_profile(x, lags, int(row.lead), int(tail))
-                mean = r.mean(axis=0)
-                out.append((row.id, int(row.core), mean.tolist(), ((r - mean) ** 2).sum(axis=0).tolist()))
-            yield pd.DataFrame(out, columns=["id", "c", "m", "v"])
+    """Mean and population deviation over time of the local autocorrelation: id, lag, mean, std.
+
+    Centred Hann frames; a series end is padded by a ramp down to 0. A task holds the frames and the sums of a few blocks.
+    """
+    half, at_once = lags // 2, BLOCKS_AT_ONCE
+    kind = to_arrow_type(envelope.schema["id"].dataType)
+
+    def summed(batches):
+        blocks = _blocks(batches, half, block)
+        while some := list(islice(blocks, at_once)):
+            means, spreads = _block_moments([(x, lead, core) for _, _, x, lead, core in some], lags)
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in some], kind), pa.array([b[-1] for b in some], pa.int64()), _lists(means), _lists(spreads)],
+                                             names=["id", "c", "m", "v"])
 
     id_type = envelope.schema["id"].dataType.simpleString()
-    parts = blocks.mapInPandas(summed, f"id {id_type}, c long, m array<double>, v array<double>")
+    rows = _block_rows(envelope, half, max(1, half), value, block)
+    parts = rows.mapInArrow(summed, f"id {id_type}, c long, m array<double>, v array<double>")
     rows = parts.select("id", "c", F.posexplode(F.arrays_zip("m", "v")).alias("lag", "p"))
     c, m = F.col("c"), F.col("p.m")
     n, mean = F.sum("c"), F.sum(c * m) / F.sum("c")
@@ -184,31 +281,59 @@ def onset_windows(onsets: DataFrame, windows: DataFrame, win: int, hop: int, fra
 
 def window_tempo(envelope: DataFrame, win: int, hop: int, frame_seconds: float, lags: int = 192,
                  value: str = "strength", block: int = 1024) -> DataFrame:
-    """Tempo and pulse clarity inside each window: id, start, tempo_bpm, tempo_confidence."""
-    lengths = series_lengths(envelope).drop(ROWS)
-    blocks = _block_arrays(envelope, 0, win - 1, value, block).join(lengths, "id")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                x = np.asarray(row.xs, float)
-                last = max(0, row.n - win)
-                for start in range(row.first, row.first + row.core):
-                    if start > last or (start % hop and start != last):
-                        continue
-                    seg = x[start - row.first:start - row.first + win]
-                    size = min(lags, max(2, len(seg)))
-                    profile = _framed_profile(seg, size, 0, 0).mean(axis=0)
-                    bpm = 60.0 / (np.arange(1, size) * frame_seconds)
-                    weight = np.log1p(1e6 * np.maximum(profile[1:], 0)) - 0.5 * np.log2(bpm / TEMPO_CENTRE) ** 2
-                    weight[bpm > TEMPO_MAX] = -np.inf
-                    best = float(bpm[int(np.argmax(weight))]) if np.isfinite(weight).any() else 0.0
-                    out.append((row.id, int(start), best, float(profile.max() / (profile.mean() + 1e-8))))
-            yield pd.DataFrame(out, columns=["id", "start", "tempo_bpm", "tempo_confidence"])
+    """Tempo and pulse clarity inside each window: id, start, tempo_bpm, tempo_confidence.
+
+    Windows of one length are worked on together, some hundred at a time, whichever series they are of.
+    """
+    kind = to_arrow_type(envelope.schema["id"].dataType)
+    at_once, most_held = VALUES_AT_ONCE, HELD_VALUES
+
+    def starts(first, seen, core):
+        # a block sees `win` frames beyond its own; where it sees fewer, the series ends, and the last window is known
+        n = first + seen if seen < block + win else None
+        at = np.arange(-(-first // hop) * hop, first + core, hop)
+        if n is None:
+            return at
+        last = max(0, n - win)
+        at = at[at <= last]
+        return np.append(at, last) if last % hop and first <= last < first + core else at
+
+    def found(held):
+        x = np.concatenate([w for *_, w in held])
+        size = min(lags, max(2, x.shape[1]))
+        profile = _mean_profiles(x, size)
+        bpm = 60.0 / (np.arange(1, size) * frame_seconds)
+        weight = np.log1p(1e6 * np.maximum(profile[:, 1:], 0)) - 0.5 * np.log2(bpm / TEMPO_CENTRE) ** 2
+        weight[:, bpm > TEMPO_MAX] = -np.inf
+        best = np.where(np.isfinite(weight).any(axis=1), bpm[np.argmax(weight, axis=1)], 0.0)
+        ids = [series for series, at, _ in held for _ in range(len(at))]
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids, kind), pa.array(np.concatenate([at for _, at, _ in held]), pa.int64()), pa.array(best),
+            pa.array(profile.max(axis=1) / (profile.mean(axis=1) + 1e-8))], names=["id", "start", "tempo_bpm", "tempo_confidence"])
+
+    def rows(batches):
+        held, many = {}, {}
+        for series, first, x, _, core in _blocks(batches, 0, block):
+            at = starts(first, len(x), core)
+            if not len(at):
+                continue
+            long = min(win, len(x))
+            windows, room = np.lib.stride_tricks.sliding_window_view(x, long), max(1, at_once // long)
+            for a in range(0, len(at), room):
+                some = at[a:a + room]
+                held.setdefault(long, []).append((series, some, windows[some - first]))
+                many[long] = many.get(long, 0) + len(some)
+                if many[long] >= room:
+                    yield found(held.pop(long))
+                    many[long] = 0
+            if sum(n * size for size, n in many.items()) > most_held:      # short series of many lengths
+                yield from map(found, held.values())
+                held, many = {}, {}
+        yield from map(found, held.values())
 
     id_type = envelope.schema["id"].dataType.simpleString()
-    return blocks.mapInPandas(rows, f"id {id_type}, start long, tempo_bpm double, tempo_confidence double")
+    around = _block_rows(envelope, 0, win, value, block)
+    return around.mapInArrow(rows, f"id {id_type}, start long, tempo_bpm double, tempo_confidence double")
 
 
 def event_windows(onsets: DataFrame, envelope: DataFrame, win: int, hop: int, frame_seconds: float,

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.operators.skew import ROWS, attach, row_count
+from ostinato.operators.skew import ROWS, attach
+
+NOT_DENSE = "frame index must be 0..n-1 without gaps"
 
 
 def _require_sizes(*sizes: int) -> None:
@@ -17,11 +19,18 @@ def _require_sizes(*sizes: int) -> None:
 
 
 def series_lengths(df: DataFrame, key: str = "id", index: str = "frame") -> DataFrame:
-    """Frames per series; fails where the index is not 0..n-1, each number once. Keys and numbers alone are shuffled."""
-    n = F.max(index) + 1
-    dense = (F.max("_times") == 1) & (F.count(F.lit(1)) == n) & (F.min(index) == 0)
-    checked = F.when(dense, n).otherwise(F.raise_error(F.lit("frame index must be 0..n-1 without gaps")).cast("long"))
-    return df.groupBy(key, index).agg(F.count(F.lit(1)).alias("_times")).groupBy(key).agg(checked.alias("n"), row_count())
+    """Frames per series; fails where the index is not 0..n-1, each number once.
+
+    Numbers meet as bits of words of 64, most of them before the shuffle; a word with fewer bits than rows has seen one twice.
+    """
+    at = F.col(index).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = df.groupBy(key, F.floor(at / 64).alias("_word")).agg(
+        F.bit_or(bit).alias("_bits"), F.count(F.lit(1)).alias("_times"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+    n = F.max("_high") + 1
+    dense = F.bool_and(F.coalesce(F.bit_count("_bits") == F.col("_times"), F.lit(False))) & (F.sum("_times") == n) & (F.min("_low") == 0)
+    checked = F.when(dense, n).otherwise(F.raise_error(F.lit(NOT_DENSE)).cast("long"))
+    return words.groupBy(key).agg(checked.alias("n"), F.sum("_times").alias(ROWS))
 
 
 def window_starts(n: Column, win: int, hop: int) -> Column:
@@ -63,24 +72,25 @@ def window_strength(envelope: DataFrame, win: int, hop: int, value: str = "stren
     """Mean, population deviation and maximum of a scalar series per window.
 
     Frames are first reduced to blocks of gcd(win, hop). A window start is a multiple of the block, so a
-    window is a run of whole blocks; only the forced last window reads frames again. With 200/10 frames
+    window is a run of whole blocks; the block in which the forced last window starts is cut there. With 200/10 frames
     this moves two block rows per frame instead of twenty.
     """
     _require_sizes(win, hop)
     size = math.gcd(win, hop)
     sized = attach(envelope.select("id", "frame", value), series_lengths(envelope), ["id"])
     x = F.col(value).cast("double")
-    parts = [F.count(x).alias("c"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.max(x).alias("top")]
-    last = F.greatest(F.col("n") - win, F.lit(0))
-    blocks = sized.groupBy("id", "n", F.floor(F.col("frame") / size).alias("b")).agg(*parts)
+    last = F.greatest(F.col("n") - win, F.lit(0)).cast("long")
+    # a block is cut where the forced window starts
+    forced = (last % hop != 0) & (F.col("frame") >= last)
+    blocks = sized.groupBy("id", "n", F.floor(F.col("frame") / size).alias("b"), forced.alias("forced")).agg(
+        F.count(x).alias("c"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.max(x).alias("top"))
     first_frame = F.col("b") * size
     low = F.greatest(F.lit(0), F.ceil((first_frame - (win - 1)) / hop)).cast("long")
     high = F.floor(F.least(first_frame, last) / hop).cast("long")
-    regular = blocks.filter(low <= high).select(
-        "id", F.explode(F.transform(F.sequence(low, high), lambda k: k * hop)).alias("start"), "c", "m", "v", "top")
-    tail = (sized.filter((last % hop != 0) & (F.col("frame") >= last))
-            .groupBy("id", last.cast("long").alias("start")).agg(*parts))
-    rows = regular.unionByName(tail)
+    none = F.array().cast("array<bigint>")
+    regular = F.when(low <= high, F.transform(F.sequence(low, high), lambda k: k * hop)).otherwise(none)
+    starts = F.concat(regular, F.when(F.col("forced"), F.array(last)).otherwise(none))
+    rows = blocks.select("id", F.explode(starts).alias("start"), "c", "m", "v", "top")
     n, mean = F.sum("c"), F.sum(F.col("c") * F.col("m")) / F.sum("c")
     spread = F.sum(F.col("c") * (F.col("v") + F.col("m") * F.col("m"))) / n - mean * mean
     return rows.groupBy("id", "start").agg(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.operators.ordering import positions
+from ostinato.operators.ordering import positions, previous
 from ostinato.operators.skew import attach, row_count
 from ostinato.operators.splits import assign_split
-from ostinato.session import settled
+from ostinato.session import forget, settled
 
 MODELS = {"hgb_cqt": 7919, "hgb_cqt_rhythm": 6101, "hgb_cqt_structure": 9973, "hgb_cqt_rhythm_structure": 3571}
 HOUR = 3600
@@ -65,11 +65,17 @@ def durations(on: DataFrame) -> DataFrame:
 
 
 def envelope(on: DataFrame) -> DataFrame:
-    """Sum of the values per hour since the first event, hours without events as 0."""
-    sums = on.groupBy("id", F.floor(F.col("t") / HOUR).alias("frame")).agg(F.sum("value").alias("s"))
-    span = on.groupBy("id").agg(F.max(F.floor(F.col("t") / HOUR)).alias("last"))
-    grid = span.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame"))
-    return settled(grid.join(sums, ["id", "frame"], "left").select("id", "frame", F.coalesce("s", F.lit(0.0)).alias("strength")))
+    """Sum of the values per hour since the first event, hours without events as 0.
+
+    An hour with events brings the empty ones ahead of it, so only hours with events are shuffled.
+    """
+    hour = F.floor(F.col("t") / HOUR)
+    sums = settled(on.filter(hour.isNotNull()).groupBy("id", hour.alias("hour")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s")))
+    since = F.coalesce(F.col("before") + 1, F.lit(0).cast("long"))
+    filled = previous(sums, ["id"], ["hour"], {"before": "hour"}).select("id", "hour", "s", F.explode(F.sequence(since, "hour")).alias("frame"))
+    out = settled(filled.select("id", "frame", F.when(F.col("frame") == F.col("hour"), F.col("s")).otherwise(0.0).alias("strength")))
+    forget(sums)
+    return out
 
 
 ENVELOPE = ONSETS + f""",
