@@ -28,8 +28,9 @@ from ostinato.session import forget, settled
 BINS = 256
 CELLS = 1 << 23                 # sums that a task holds in one pass; more nodes take more passes
 CELLS_PER_MERGE = 1 << 20       # sums of nodes that one task brings together
-DRIVER_CELLS = 1 << 23          # sums of all tasks that the driver brings together itself
-BYTES_PER_TASK = 8 << 20        # of bins
+DRIVER_CELLS = 1 << 17          # sums of all tasks that the driver brings together itself
+BYTES_PER_TASK = 8 << 20        # of bins, at most
+BYTES_PER_CORE = 64 << 10       # of bins that are worth a task of their own while there are cores for it
 ROUNDS_PER_WRITE = 20           # rounds after which the scores of the rows are written, so that lost ones are soon made again
 LEAF = -1
 
@@ -149,10 +150,12 @@ def best_splits(rows: DataFrame, width: int, tasks: int, grown: list[tuple[np.nd
     """
     size, nodes = width * BINS, [(m, node) for m, some in enumerate(wanted) for node in some]
     under = [_leaves_under(tree, some) for tree, some in zip(grown, wanted)]
-    number, leaves = [np.full(len(tree[0]), -1) for tree in grown], 0
+    number, leaves, firsts = [np.full(len(tree[0]), -1) for tree in grown], 0, []
     for m, own in enumerate(under):
+        firsts.append(leaves)
         for leaf in sorted({x for some in own.values() for x in some}):
             number[m][leaf], leaves = leaves, leaves + 1
+    firsts.append(leaves)
     place = np.arange(width) * BINS
 
     def sums(batches):
@@ -167,9 +170,10 @@ def best_splits(rows: DataFrame, width: int, tasks: int, grown: list[tuple[np.nd
                     continue
                 own = number[m][leaves_of(grown[m], bins)]
                 inside = np.flatnonzero(own >= 0)
-                cells = (own[inside, None] * size + place + bins[inside]).ravel()
-                total += np.bincount(cells, np.repeat(scores[inside, m] - y[inside], width), len(total))
-                count += np.bincount(cells, minlength=len(count))
+                cells = ((own[inside, None] - firsts[m]) * size + place + bins[inside]).ravel()
+                part = slice(firsts[m] * size, firsts[m + 1] * size)       # the sums of this model
+                total[part] += np.bincount(cells, np.repeat(scores[inside, m] - y[inside], width), part.stop - part.start)
+                count[part] += np.bincount(cells, minlength=part.stop - part.start)
         total, count, found = total.reshape(-1, size), count.reshape(-1, size), []
         for k, (m, node) in enumerate(nodes):
             parts = number[m][under[m][node]]
@@ -331,6 +335,11 @@ def _moved(rows: DataFrame, width: int, trees: list[tuple[np.ndarray, ...]]) ->
     return rows.mapInArrow(run, "bins binary, y double, s array<double>")
 
 
+def _tasks(size: int, cores: int) -> int:
+    """Tasks for so many bytes of bins: all cores if there is work for them, no more while the rows fit, as each task reports sums of its own."""
+    return max(1, size // BYTES_PER_TASK, min(size // BYTES_PER_CORE, cores))
+
+
 def fit_boosted_trees(train: DataFrame, columns: Sequence[str], leaves: Sequence[int], label: str = "grade", rounds: int = 300,
                       rate: float = 0.05, l2: float = 1.0, min_rows: int = 20) -> dict[int, BoostedTrees]:
     """Models of `rounds` trees with at most so many leaves each, fitted at the same time: leaves -> model.
@@ -346,8 +355,7 @@ def fit_boosted_trees(train: DataFrame, columns: Sequence[str], leaves: Sequence
     if not n or bad:
         raise ValueError("a fit needs rows, and labels that are finite numbers")
     bounds = bin_bounds(rows, len(columns))
-    # every pass is short, so rows are dealt to no more tasks than their size asks for
-    tasks = max(1, n * len(columns) // BYTES_PER_TASK)
+    tasks = _tasks(n * len(columns), rows.sparkSession.sparkContext.defaultParallelism)
     stored = settled(binned(rows, bounds, label, base, len(leaves)).repartition(tasks))
     forget(rows)
     here, older, grown, made = stored, None, None, [[] for _ in leaves]
