@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from ostinato.operators.metrics import evaluate
 from ostinato.operators.ordering import positions, running_sums
 from ostinato.operators.registry import best_trial
 from ostinato.operators.skew import attach, row_count
-from ostinato.operators.trees import BoostedTrees, _matrix, feature_rows, fit_boosted_trees, score_trees
+from ostinato.operators.trees import BoostedTrees, _matrix, _tasks, feature_rows, fit_boosted_trees, score_trees
 from ostinato.session import forget, settled, shared_folder
 
 
@@ -174,26 +174,124 @@ def boosted_trees(**settings) -> Callable[[DataFrame, Sequence[str], Sequence[in
     return lambda train, columns, leaves: fit_boosted_trees(train, columns, leaves, **settings)
 
 
-def gbt_pipeline(train: DataFrame, columns: Sequence[str], depth: int, label: str = "grade", rounds: int = 300,
-                 rate: float = 0.05, min_rows: int = 20, seed: int = 42) -> PipelineModel:
-    """Boosted regression trees of Spark's own; the depth bounds a tree. Rounds are checkpointed to the shared folder."""
-    shared_folder(train.sparkSession)
-    stages = [VectorAssembler(inputCols=list(columns), outputCol="features"),
-              GBTRegressor(labelCol=label, predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=rate,
-                           minInstancesPerNode=min_rows, checkpointInterval=10, seed=seed)]
-    return Pipeline(stages=stages).fit(train)
+MAX_BINS = 32             # of a feature, as Spark's trees have by default
+
+
+def _cut_points(firsts: Mapping[int, int], distinct: int, bins: int) -> list[int]:
+    """Positions of the values that a bin begins with, from the first position of each share of the rows.
+
+    At most `bins` values have a bin each. Of more, a bin ends where its rows come nearest to their share; after a value
+    of several shares the values that follow have bins of their own, until the bins are again as many as the shares.
+    """
+    if distinct <= bins:
+        return list(range(1, distinct))
+    out, at = [], 0
+    for k in range(1, bins):
+        at = max(at + 1, min((first for share, first in firsts.items() if share >= k), default=distinct))
+        if at >= distinct:
+            break
+        out.append(at)
+    return out
+
+
+def even_bins(rows: DataFrame, width: int, bins: int = MAX_BINS) -> tuple[int, list[list[float]]]:
+    """Number of rows, and for each feature the ascending last values of its bins but the last, from all rows.
+
+    The rule is that of Spark's trees, which apply it to about 10,000 rows: bins of about equally many rows, bounds halfway
+    between neighbouring values.
+    """
+    n = rows.count()
+    counts = rows.select(F.posexplode("_x").alias("feature", "value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    one = counts.withColumn("one", F.lit(1).cast("long"))
+    placed = settled(running_sums(one, ["feature"], ["value"], {"before": "n", "at": "one"}).drop("one"))
+    share = F.expr(f"({bins} * (2 * before + n) - 1) div {2 * max(n, 1)}")
+    firsts = placed.filter("at > 0").groupBy("feature", share.alias("share")).agg(F.min("at").alias("first"))
+    sizes = {r["feature"]: r["count"] for r in placed.groupBy("feature").count().collect()}
+    of = [{} for _ in range(width)]
+    for r in firsts.collect():                                # at most `bins` rows a feature
+        of[r["feature"]][r["share"]] = r["first"]
+    cuts = [_cut_points(of[f], sizes.get(f, 0), bins) for f in range(width)]
+    wanted = sorted({(f, at) for f, own in enumerate(cuts) for cut in own for at in (cut - 1, cut)})
+    asked = rows.sparkSession.createDataFrame(wanted, "feature int, at long")
+    value = {(r["feature"], r["at"]): r["value"] for r in placed.join(F.broadcast(asked), ["feature", "at"]).collect()}
+    forget(placed)
+    return n, [sorted({(value[f, at - 1] + value[f, at]) / 2 for at in own}) for f, own in enumerate(cuts)]
+
 
+@dataclass
+class FeatureCells:
+    """Training rows whose features lie in the same bins as one row: the bins, `_n` rows and their mean label `_y`.
+
+    Trees on squared error split and predict the same on these as on the rows. However long the table, there are no more
+    cells than combinations of bins.
+    """
+    bins: Bucketizer
+    table: DataFrame
+    cells: int
+    rows: int
 
-def one_by_one(fit: Callable[[DataFrame, Sequence[str], float], PipelineModel]) -> Callable[[DataFrame, Sequence[str], Sequence], dict]:
-    """A fit for `select_model` from one that takes a single parameter; they run at the same time, as their small jobs wait more than they work."""
+    def unpersist(self) -> None:
+        forget(self.table)
+
+
+def feature_cells(train: DataFrame, columns: Sequence[str], label: str = "grade", bins: int = MAX_BINS) -> FeatureCells:
+    """The cells of a table. A value or label that is no finite number fails, and an empty table."""
+    columns = list(columns)
+    n, bounds = even_bins(feature_rows(train, columns), len(columns), bins)
+    if not n:
+        raise ValueError("a fit needs rows")
+    # a bin holds its last value, a bucket does not; a constant feature still needs one inner bound
+    inner = [[float(np.nextafter(b, np.inf)) for b in own] or [0.0] for own in bounds]
+    split = Bucketizer(inputCols=columns, outputCols=[f"_bin{f}" for f in range(len(columns))], splitsArray=[[-np.inf, *own, np.inf] for own in inner])
+    y = F.col(label).cast("double")
+    y = F.when(y.isNull() | is_bad_number(y), F.raise_error(F.lit("labels must be finite numbers")).cast("double")).otherwise(y)
+    grouped = split.transform(train.select(*columns, y.alias("_y"))).groupBy(*split.getOutputCols()).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_y").alias("_y"))
+    # buckets are marked as categories, but the trees have to keep their order
+    cells = settled(grouped.select(*[F.col(c).alias(c, metadata={"ml_attr": {"type": "numeric"}}) for c in split.getOutputCols()], "_n", "_y"))
+    many = cells.count()
+    tasks = _tasks(many * len(columns), train.sparkSession.sparkContext.defaultParallelism)
+    dealt = settled(cells.repartition(tasks, *split.getOutputCols()))
+    forget(cells)
+    return FeatureCells(split, dealt, many, n)
+
+
+def gbt_pipeline(train: DataFrame | FeatureCells, columns: Sequence[str], depth: int, label: str = "grade", rounds: int = 300,
+                 rate: float = 0.05, min_rows: int = 20, seed: int = 42) -> PipelineModel:
+    """Boosted regression trees of Spark's own; the depth bounds a tree. Rounds are checkpointed to the shared folder.
+
+    They are fitted to the cells of the rows, so that the rows are read for the cells only and not once a level of a tree.
+    """
+    shared_folder((train.table if isinstance(train, FeatureCells) else train).sparkSession)
+    cells = train if isinstance(train, FeatureCells) else feature_cells(train, columns, label)
+    if list(columns) != list(cells.bins.getInputCols()):
+        raise ValueError("feature names differ from those of the cells")
+    whole = cells.rows < 2 * min_rows                       # no side of a split has so many rows
+    vector = VectorAssembler(inputCols=cells.bins.getOutputCols(), outputCol="features")
+    # so many bins that Spark looks at the bins of all cells and not of a sample
+    trees = GBTRegressor(labelCol="_y", weightCol="_n", predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=rate,
+                         minInstancesPerNode=cells.cells if whole else 1, minWeightFractionPerNode=0.0 if whole else (min_rows - .5) / cells.rows,
+                         maxBins=max(MAX_BINS, int(cells.cells ** .5) + 1), checkpointInterval=10, seed=seed)
+    try:
+        return PipelineModel([cells.bins, vector, trees.fit(vector.transform(cells.table))])
+    finally:
+        if cells is not train:
+            cells.unpersist()
+
+
+def one_by_one(fit: Callable[[DataFrame | FeatureCells, Sequence[str], float], PipelineModel],
+               prepare: Callable[[DataFrame, Sequence[str]], FeatureCells] | None = None) -> Callable[[DataFrame, Sequence[str], Sequence], dict]:
+    """A fit for `select_model` from one that takes a single parameter; they run at the same time, as their small jobs wait more than they work.
+
+    `prepare` makes once what all of them are fitted to, in place of the cached rows.
+    """
     def every(train, columns, params):
-        train = train.cache()
+        ready = prepare(train, columns) if prepare else train.cache()
         try:
             with ThreadPoolExecutor(max(1, len(params))) as pool:
-                fits = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), train, columns, param) for param in params]
+                fits = [pool.submit(inheritable_thread_target(train.sparkSession)(fit), ready, columns, param) for param in params]
                 return {param: one.result() for param, one in zip(params, fits)}
         finally:
-            train.unpersist()
+            ready.unpersist()
     return every
 
 
@@ -202,10 +300,12 @@ def score(model: Ridge | BoostedTrees | PipelineModel, table: DataFrame, columns
     if isinstance(model, BoostedTrees):
         return score_trees(model, table, columns)
     own = isinstance(model, Ridge)
-    names = model.names if own else next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    names = model.names if own else next(s for s in model.stages if isinstance(s, (Bucketizer, VectorAssembler))).getInputCols()
     if list(columns) != list(names):
         raise ValueError("feature names differ from those of the model")
-    return model.score(table) if own else model.transform(table).drop("features")
+    if own:
+        return model.score(table)
+    return model.transform(table).drop("features", *(c for s in model.stages if isinstance(s, Bucketizer) for c in s.getOutputCols()))
 
 
 def save_ridge(spark: SparkSession, model: Ridge, path: str) -> None:
@@ -234,8 +334,10 @@ def select_model(table: DataFrame, columns: Sequence[str], params: Iterable, fit
     for param, model in fitted.items():
         rows = score(model, val, columns).select(F.lit(float(param)).alias("param"), "grade", "score")
         scored = rows if scored is None else scored.unionByName(rows)
+    scored = settled(scored)                                 # the metrics read the scores more than once
     trials = evaluate(scored, ["param"], truth="grade")
     trials = used.sparkSession.createDataFrame(trials.collect(), trials.schema)  # one row per candidate
+    forget(scored)
     best = fitted[type(next(iter(fitted)))(best_trial(trials).first()["param"])]
     predictions = settled(score(best, val, columns).select("id", F.col("grade").alias("truth"), "score"))
     forget(used)

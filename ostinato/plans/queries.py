@@ -985,7 +985,7 @@ def ridge_grid(spark, sf):
 @query("gbt_predictions")
 def gbt_predictions(spark, sf):
     """Boosted trees of 300 rounds in five sizes, chosen by depth on the validation part; scores of that part."""
-    fit = models.one_by_one(lambda train, cols, depth: models.gbt_pipeline(train, cols, int(depth)))
+    fit = models.one_by_one(lambda cells, cols, depth: models.gbt_pipeline(cells, cols, int(depth)), models.feature_cells)
     _, _, predictions = models.select_model(_model_table(spark, sf), FEATURES, [3, 4, 5, 6, 7], fit)
     return rounded(predictions)
 
